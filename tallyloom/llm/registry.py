@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import exact_dedup
+from tallyloom.llm import exact_dedup, packing, wavelet
 
-QUERIES = {"op3_exact_dedup": exact_dedup.op3_exact_dedup}
+QUERIES = {
+    "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_wavelet_files": wavelet.op9_wavelet_files,
+}
 ORACLE_SQL = {"op3_exact_dedup": exact_dedup.SQL}
