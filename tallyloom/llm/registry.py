@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import exact_dedup, packing, wavelet
+from tallyloom.llm import exact_dedup, packing, pieces, wavelet
 
 QUERIES = {
+    "op1_sentencepiece": pieces.op1_sentencepiece,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_wavelet_files": wavelet.op9_wavelet_files,
