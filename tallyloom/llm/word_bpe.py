@@ -7,9 +7,11 @@ the ids of the words it has seen as packed bytes, in a table of bounded size tha
 from __future__ import annotations
 
 import re
+import sys
+from array import array
+from collections.abc import Iterable
 from functools import lru_cache
 
-import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -17,13 +19,20 @@ MODEL = "word_bpe_49k.json"
 #: The end id after each document.
 END = 1
 #: Words in a worker's table.
-WORDS = 400_000
+WORDS = 1_000_000
 
 
 #: A lower-case Latin-1 word and what follows it; both are pre-tokens of their own.
 LETTERS = "a-zß-öø-ÿ"
 WORD = re.compile(rf"([{LETTERS}]+)([^\s0-9A-Za-zª²³µ¹º¼-¾À-ÖØ-öø-ÿ\u0100-\U0010ffff]*)")
-OTHER = re.compile(r"[^\x00-\xff]|<\|")
+
+
+def is_latin_1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def byte_letters() -> dict[int, str]:
@@ -33,59 +42,62 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(0x100 + n) for n, b in enumerate(rest)}
 
 
-class WordEncoder:
+def packed(ids: Iterable[int]) -> bytes:
+    """Little-endian unsigned 32-bit ids."""
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
+
+
+class WordEncoder(dict):
     """ids(text) for a byte-level tokenizer that normalises to NFC and lower case and splits into letters, digits and the rest.
 
     Latin-1 texts are lower-cased before the look-up, and their plain words go straight to the library's model; all else, and any text
-    with the start of a special token, goes through the library's whole pipeline word by word.
+    with the start of a special token, goes through the library's whole pipeline word by word. The dict holds the words' packed ids.
     """
 
     def __init__(self, path: str, words: int = WORDS) -> None:
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.limit = words
-        self.seen: dict[str, bytes] = {"": b""}
         self.small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.byte = byte_letters()
 
     def words(self, text: str) -> list[str]:
-        if not OTHER.search(text):
+        if "<|" not in text and (text.isascii() or is_latin_1(text)):
             text = text.lower()
         return text.replace("\n", " ").split(" ")
 
-    def _plain(self, word: str) -> bytes:
+    def _whole(self, word: str) -> bytes:
+        return packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def _letters(self, word: str) -> bytes:
         if not word.isascii():
             word = "".join([self.byte[b] for b in word.encode()])
-        return np.array([x.id for x in self.model.tokenize(word)], "<u4").tobytes()
-
-    def learn(self, missing: set[str]) -> None:
-        seen, rest = self.seen, []
-        for word in missing:
-            if not (parts := WORD.fullmatch(word)):
-                rest.append(word)
-                continue
+        return packed([x.id for x in self.model.tokenize(word)])
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha() and word.islower():
+            found = packed([x.id for x in self.model.tokenize(word)])
+        elif parts := WORD.fullmatch(word):
             letters, mark = parts.groups()
-            if letters not in seen:
-                seen[letters] = self._plain(letters)
             if mark:
-                if mark not in seen:
-                    seen[mark] = np.array(self.tokenizer.encode(mark, add_special_tokens=False).ids, "<u4").tobytes()
-                seen[word] = seen[letters] + seen[mark]
-        for start in range(0, len(rest), 4096):
-            some = rest[start : start + 4096]
-            for word, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                seen[word] = np.array(found.ids, "<u4").tobytes()
+                found = self[letters] + (self[mark] if mark in self else self._whole(mark))
+            else:
+                found = self._letters(letters)
+        else:
+            found = self._whole(word)
+        self[word] = found
+        return found
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids, without an end id."""
-        words = self.words(text)
-        try:
-            return b"".join(map(self.seen.__getitem__, words))
-        except KeyError:
-            if len(self.seen) > self.limit:
-                self.seen = {"": b""}
-            self.learn({w for w in words if w not in self.seen})
-        return b"".join(map(self.seen.__getitem__, words))
+        if len(self) > self.limit:
+            self.clear()
+            self[""] = b""
+        return b"".join(map(self.__getitem__, self.words(text)))
 
 
 @lru_cache(maxsize=2)
