@@ -26,7 +26,7 @@ from tallyloom.llm.word_bpe import END, default_path, encoder
 MAGIC = b"WM01"
 BLOCK = 512
 #: Ids from which on a shard is closed; it ends with a whole document.
-SHARD = 4_000_000
+SHARD = 1_000_000
 
 
 def _ones_before(bits: np.ndarray) -> np.ndarray:
@@ -46,10 +46,13 @@ class WaveletMatrix:
         kind = np.uint16 if not ids.size or ids.max() < 1 << 16 else np.uint32
         now, planes, ones = ids.astype(kind), [], []
         for level in range(max(1, int(now.max()).bit_length() if now.size else 1))[::-1]:
-            bit = (now >> kind(level)) & kind(1) != 0
+            bit = (now & kind(1 << level)).astype(bool)
             planes.append(np.packbits(bit))
             ones.append(_ones_before(planes[-1]))
-            now = np.concatenate([now[~bit], now[bit]])
+            zeros, dealt = len(now) - int(ones[-1][-1]), np.empty_like(now)
+            np.compress(bit, now, out=dealt[zeros:])
+            np.compress(~bit, now, out=dealt[:zeros])
+            now = dealt
         return cls(len(ids), planes, ones)
 
     def _rank(self, level: int, place: int) -> int:
@@ -113,9 +116,9 @@ class WaveletMatrix:
         now = np.zeros(self.size, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for level in range(len(self.planes))[::-1]:
             bit = np.unpackbits(self.planes[level], count=self.size).view(bool)
-            above = np.empty_like(now)
-            above[~bit] = now[: self.zeros[level]]
-            above[bit] = now[self.zeros[level] :] | now.dtype.type(1 << (len(self.planes) - 1 - level))
+            zeros, above = self.zeros[level], np.empty_like(now)
+            now[zeros:] |= now.dtype.type(1 << (len(self.planes) - 1 - level))
+            above[np.flatnonzero(bit)], above[np.flatnonzero(~bit)] = now[zeros:], now[:zeros]
             now = above
         return now
 
@@ -203,7 +206,7 @@ def read_files(files: DataFrame) -> DataFrame:
 
 
 def with_global_start(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """start as the number of ids of all documents before it. files has a row for some millions of ids, so one task orders them."""
+    """start as the number of ids of all documents before it. files has a row for about SHARD ids, so one task orders them."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = files.select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("_base"))
     return rows.join(base, "part").select("doc_id", (F.col("start") + F.col("_base")).alias("start"), "n_tokens", "ids_crc32")
