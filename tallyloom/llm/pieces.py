@@ -217,15 +217,16 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None
     """df with the ids of each whole text (null and empty: the end id alone) as array<int>. A column of that name is replaced."""
     path = path or public_tokenizers.path(MODEL)
     kept = df.drop(out)
+    columns = kept.columns
     schema = T.StructType([*kept.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = model_of(path).encode
         for batch in batches:
-            found = [one(x or "") for x in batch.column(len(kept.columns)).to_pylist()]
+            found = [one(x or "") for x in batch.column(len(columns)).to_pylist()]
             ends = np.cumsum([0, *map(len, found)]) // 4
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*kept.columns, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*columns, out])
 
     return kept.withColumn("_whole", text_or_empty(text)).mapInArrow(run, schema)
 
@@ -234,15 +235,16 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
     """df with the text of each array of ids (null: null). A column of that name is replaced."""
     path = path or public_tokenizers.path(MODEL)
     kept = df.drop(out)
+    columns = kept.columns
     schema = T.StructType([*kept.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path)
         for batch in batches:
-            lists = batch.column(kept.columns.index(ids))
+            lists = batch.column(columns.index(ids))
             flat = np.asarray(lists.flatten())
             texts = model.decode(flat, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t if there else None for t, there in zip(texts, lists.is_valid().to_pylist(), strict=True)], pa.string())], names=[*kept.columns, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t if there else None for t, there in zip(texts, lists.is_valid().to_pylist(), strict=True)], pa.string())], names=[*columns, out])
 
     return kept.mapInArrow(run, schema)
 
