@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import exact_dedup, packing, pieces, wavelet
+from tallyloom.llm import exact_dedup, hnsw, html_text, packing, pieces, url_filter, wavelet
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_html_text": html_text.op4_html_text,
+    "op5_url_filter": url_filter.op5_url_filter,
+    "op7_hnsw_shards": hnsw.op7_hnsw_shards,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_wavelet_files": wavelet.op9_wavelet_files,
 }
