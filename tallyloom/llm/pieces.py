@@ -29,7 +29,11 @@ from tallyloom.llm.common import table, text_or_empty
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Words and parts in a worker's tables.
-WORDS = 300_000
+WORDS = 250_000
+#: Pairs of tokens in a worker's table.
+PAIRS = 500_000
+#: Ids decoded at once.
+AT_ONCE = 100_000
 FIRST = float("-inf")  # when single characters were there
 NEVER = float("inf")
 
@@ -139,7 +143,7 @@ class PieceModel:
         if (found := self.part.get(part)) is None:
             if len(self.part) >= self.limit:
                 self.part.clear()
-            if len(self.fits) >= 8 * self.limit:
+            if len(self.fits) >= PAIRS:
                 self.fits.clear()
             found = self.part[part] = tuple(self.by_prefixes(part)) if part[0] in self.id else tuple(self.byte[b] for b in part.encode())
         return found
@@ -190,6 +194,15 @@ class PieceModel:
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         """Texts of rows of ids that lie one after the other; ends: where each row ends. Bytes that aren't UTF-8 become U+FFFD each."""
+        texts, row = [], 0
+        while row < len(ends):  # some rows at a time
+            begin = int(ends[row - 1]) if row else 0
+            stop = max(row + 1, int(np.searchsorted(ends, begin + AT_ONCE, "right")))
+            texts += self._decode(ids[begin : int(ends[stop - 1])], ends[row:stop] - begin)
+            row = stop
+        return texts
+
+    def _decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         size = self.size[ids]
         to = np.cumsum(size)
         flat = self.flat[np.repeat(self.start[ids] - (to - size), size) + np.arange(int(to[-1]) if len(to) else 0)].tobytes()
