@@ -4,8 +4,11 @@ Plane by plane from the highest bit, each id gives a bit, and the ids are dealt
 at each block of BLOCK bits, every plane answers rank and select, and those give the id at a place (access), the
 number of an id up to a place (count), and the place of its k-th occurrence (locate).
 
-File, little-endian: b"WM01", unsigned 64-bit number of ids, documents, planes; then as (length, zstd frame): document
-ids (64-bit, with a mask of nulls before them), their lengths (64-bit) and each plane (bits, high bit first, and the counts).
+The most frequent ids have a matrix of their own, so that most ids are 9 planes deep.
+
+File, little-endian: b"WM01"; as unsigned 64-bit numbers: documents, ids, planes of the root, planes of the frequent ids' matrix, rare ids and planes of
+their matrix; then as (64-bit length, zstd frame): document ids (64-bit, with a mask of nulls before them), their lengths (64-bit), the ids
+that occur (32-bit, most frequent first) and each plane of the three (bits, high bit first, and the counts of ones, 32-bit).
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ MAGIC = b"WM01"
 BLOCK = 512
 #: Ids from which on a shard is closed; it ends with a whole document.
 SHARD = 1_000_000
+#: Ids that have 8 planes, under a plane that parts them from the others.
+FREQUENT = 256
 
 
 def _ones_before(bits: np.ndarray) -> np.ndarray:
@@ -43,9 +48,10 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         """ids: unsigned integers, below 2 ** 32."""
-        kind = np.uint16 if not ids.size or ids.max() < 1 << 16 else np.uint32
+        most = int(ids.max()) if ids.size else 0
+        kind = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32
         now, planes, ones = ids.astype(kind), [], []
-        for level in range(max(1, int(now.max()).bit_length() if now.size else 1))[::-1]:
+        for level in range(max(1, most.bit_length()))[::-1]:
             bit = (now & kind(1 << level)).astype(bool)
             planes.append(np.packbits(bit))
             ones.append(_ones_before(planes[-1]))
@@ -113,7 +119,7 @@ class WaveletMatrix:
 
     def ids(self) -> np.ndarray:
         """All ids in order."""
-        now = np.zeros(self.size, np.uint16 if len(self.planes) <= 16 else np.uint32)
+        now = np.zeros(self.size, np.uint8 if len(self.planes) <= 8 else np.uint16 if len(self.planes) <= 16 else np.uint32)
         for level in range(len(self.planes))[::-1]:
             bit = np.unpackbits(self.planes[level], count=self.size).view(bool)
             zeros, above = self.zeros[level], np.empty_like(now)
@@ -126,29 +132,85 @@ class WaveletMatrix:
         return [p.tobytes() + o.astype("<u4").tobytes() for p, o in zip(self.planes, self.ones, strict=True)]
 
 
+class TokenStore:
+    """A sequence of ids in two wavelet matrices under a root plane: one of the FREQUENT most frequent ids, 8 planes deep, and one of all others.
+
+    symbols are the ids that occur, most frequent first (ties: smaller id); the matrices hold places in it.
+    """
+
+    def __init__(self, symbols: np.ndarray, root: WaveletMatrix, often: WaveletMatrix, rare: WaveletMatrix) -> None:
+        self.symbols, self.root, self.child, self.size = symbols, root, (often, rare), root.size
+        self.place = {int(s): n for n, s in enumerate(symbols)}
+
+    @classmethod
+    def build(cls, ids: np.ndarray) -> TokenStore:
+        count = np.bincount(ids)
+        symbols = np.flatnonzero(count)
+        symbols = symbols[np.argsort(-count[symbols], kind="stable")]
+        code = np.zeros(len(count), np.uint16 if len(symbols) <= 1 << 16 else np.uint32)
+        code[symbols] = np.arange(len(symbols))
+        coded = code[ids]
+        rare = coded >= FREQUENT
+        return cls(symbols, WaveletMatrix.build(rare.astype(np.uint8)), WaveletMatrix.build(np.compress(~rare, coded).astype(np.uint8)), WaveletMatrix.build(np.compress(rare, coded) - code.dtype.type(FREQUENT)))
+
+    def access(self, place: int) -> int:
+        bit = self.root.access(place)
+        return int(self.symbols[self.child[bit].access(self.root.count(bit, place)) + bit * FREQUENT])
+
+    def count(self, token: int, end: int | None = None) -> int:
+        """Occurrences of token among the first end ids (all, if None)."""
+        if (n := self.place.get(token)) is None:
+            return 0
+        bit = int(n >= FREQUENT)
+        return self.child[bit].count(n - bit * FREQUENT, self.root.count(bit, self.size if end is None else end))
+
+    def locate(self, token: int, k: int) -> int:
+        """Place of the k-th (from 0) occurrence of token."""
+        if (n := self.place.get(token)) is None:
+            raise IndexError(k)
+        bit = int(n >= FREQUENT)
+        return self.root.locate(bit, self.child[bit].locate(n - bit * FREQUENT, k))
+
+    def ids(self) -> np.ndarray:
+        """All ids in order, unsigned 32-bit."""
+        rare = self.root.ids().astype(bool)
+        found = np.empty(self.size, np.uint32)
+        symbols = self.symbols.astype(np.uint32)
+        found[np.flatnonzero(~rare)] = symbols[self.child[0].ids()]
+        found[np.flatnonzero(rare)] = symbols[FREQUENT:][self.child[1].ids()]
+        return found
+
+
 def to_file(docs: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    matrix, pack = WaveletMatrix.build(ids), zstandard.ZstdCompressor(level=1).compress
+    store, pack = TokenStore.build(ids), zstandard.ZstdCompressor(level=1).compress
     names = np.packbits(np.array([d is None for d in docs], bool)).tobytes() + np.array([d or 0 for d in docs], "<i8").tobytes()
-    parts = [pack(x) for x in (names, np.asarray(lengths, "<i8").tobytes(), *matrix.parts())]
-    return MAGIC + struct.pack("<QQQ", len(ids), len(docs), len(matrix.planes)) + b"".join(struct.pack("<Q", len(x)) + x for x in parts)
+    parts = [names, np.asarray(lengths, "<i8").tobytes(), store.symbols.astype("<u4").tobytes()]
+    matrices = (store.root, *store.child)
+    head = struct.pack("<QQQQQQ", len(docs), *(x for m in matrices[:1] for x in (m.size, len(m.planes))), len(store.child[0].planes), store.child[1].size, len(store.child[1].planes))
+    return MAGIC + head + b"".join(struct.pack("<Q", len(x)) + x for x in map(pack, parts + [p for m in matrices for p in m.parts()]))
 
 
-def from_file(blob: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
-    """Documents' ids, their lengths, and the matrix of all their token ids."""
+def from_file(blob: bytes) -> tuple[list[int | None], np.ndarray, TokenStore]:
+    """Documents' ids, their lengths, and the store of all their token ids."""
     if blob[:4] != MAGIC:
         raise ValueError("not a file of this format")
-    size, docs, planes = struct.unpack_from("<QQQ", blob, 4)
-    at, parts = 28, []
-    for _ in range(planes + 2):
+    docs, size, top, often, rare, deep = struct.unpack_from("<QQQQQQ", blob, 4)
+    at, parts = 52, []
+    for _ in range(3 + top + often + deep):
         (n,) = struct.unpack_from("<Q", blob, at)
         parts.append(zstandard.ZstdDecompressor().decompress(blob[at + 8 : at + 8 + n]))
         at += 8 + n
     mask = -(-docs // 8)
     null = np.unpackbits(np.frombuffer(parts[0][:mask], np.uint8), count=docs)
     names = [None if x else int(d) for x, d in zip(null, np.frombuffer(parts[0][mask:], "<i8"), strict=True)]
-    bits = -(-size // 8)
-    matrix = WaveletMatrix(size, [np.frombuffer(x[:bits], np.uint8) for x in parts[2:]], [np.frombuffer(x[bits:], "<u4") for x in parts[2:]])
-    return names, np.frombuffer(parts[1], "<i8"), matrix
+
+    def matrix(n: int, planes: list[bytes]) -> WaveletMatrix:
+        bits = -(-n // 8)
+        return WaveletMatrix(n, [np.frombuffer(x[:bits], np.uint8) for x in planes], [np.frombuffer(x[bits:], "<u4") for x in planes])
+
+    cut = (3, 3 + top, 3 + top + often, len(parts))
+    held = [matrix(n, parts[a:b]) for n, a, b in zip((size, size - rare, rare), cut, cut[1:], strict=False)]
+    return names, np.frombuffer(parts[1], "<i8"), TokenStore(np.frombuffer(parts[2], "<u4"), *held)
 
 
 FILES = "first_id long, part long, n_docs long, n_tokens long, file binary"
@@ -197,7 +259,7 @@ def read_files(files: DataFrame) -> DataFrame:
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 docs, lengths, matrix = from_file(blob.as_py())
-                ids = matrix.ids().astype("<u4")
+                ids = matrix.ids().astype("<u4", copy=False)
                 ends = np.cumsum(lengths)
                 crc = [zlib.crc32(ids[b - n : b]) for n, b in zip(lengths.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(docs), pa.int64()), pa.array(docs, pa.int64()), pa.array(ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], names=["part", "doc_id", "start", "n_tokens", "ids_crc32"])
