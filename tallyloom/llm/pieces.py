@@ -34,6 +34,8 @@ WORDS = 250_000
 PAIRS = 500_000
 #: Ids decoded at once.
 AT_ONCE = 100_000
+#: Rows of a batch that are coded at once.
+ROWS_AT_ONCE = 512
 FIRST = float("-inf")  # when single characters were there
 NEVER = float("inf")
 
@@ -262,8 +264,31 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
     return kept.mapInArrow(run, schema)
 
 
+def round_trip(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", path: str | None = None) -> DataFrame:
+    """df without its text column, encoded and then decoded in one pass over the rows."""
+    path = path or public_tokenizers.path(MODEL)
+    kept = df.drop(ids, decoded).withColumn("_whole", text_or_empty(text)).drop(text)
+    whole_rows, kept = kept, kept.drop("_whole")
+    columns = kept.columns
+    schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_of(path)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                found = [model.encode(x or "") for x in batch.column(len(columns)).to_pylist()]
+                ends = np.cumsum([0, *map(len, found)]) // 4
+                flat = np.frombuffer(b"".join(found), "<i4")
+                texts = model.decode(flat, ends[1:])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, pa.array(texts, pa.string())], names=[*columns, ids, decoded])
+
+    return whole_rows.mapInArrow(run, schema)
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    coded = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
