@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import exact_dedup, hnsw, html_text, packing, pieces, toxicity, url_filter, wavelet
+from tallyloom.llm import exact_dedup, hnsw, html_text, packing, pieces, quality, toxicity, url_filter, wavelet
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
+    "op10_quality": quality.op10_quality,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_html_text": html_text.op4_html_text,
