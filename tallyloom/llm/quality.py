@@ -31,9 +31,11 @@ QUANTILE, MARGIN = 0.995, 1.05
 #: Trusted rows that a language needs for a threshold of its own; others have that of all rows.
 ENOUGH = 50
 #: Code points and rows of a chunk, and rows of the model in a shard, about.
-CHUNK_CHARS, CHUNK_ROWS, SHARD_ROWS = 3_000_000, 2000, 20_000
+CHUNK_CHARS, CHUNK_ROWS, SHARD_ROWS = 1_500_000, 2000, 20_000
 #: Chunks that one task answers for a shard, about.
 CHUNKS_A_TASK = 128
+#: Trusted rows up to which their ids are broadcast.
+BROADCAST_IDS = 2_000_000
 
 
 def symbols(text: str) -> np.ndarray:
@@ -169,8 +171,11 @@ def requests(docs: DataFrame, shards: int) -> DataFrame:
             for ids, hashes, texts in _chunks(*(batch.column(c).to_pylist() for c in range(3))):
                 keys, place = grams(texts)
                 both, n = np.unique((keys << 11) | place, return_counts=True)
-                times = -(-n // 255)
-                both, n = np.repeat(both, times), np.concatenate([n, []]).astype(np.int64) if times.max(initial=1) == 1 else np.concatenate([[255] * (t - 1) + [x - 255 * (t - 1)] for x, t in zip(n.tolist(), times.tolist(), strict=True)]).astype(np.int64)
+                times = -(-n // 255)  # a count above 255 takes several entries
+                last = np.cumsum(times) - 1
+                both, rest = np.repeat(both, times), n - 255 * (times - 1)
+                n = np.full(len(both), 255)
+                n[last] = rest
                 keys, place = both >> 11, both & 2047
                 shard = (((keys >> BITS) & (ALPHABET**2 - 1)) * 2654435761 >> 16) % shards
                 names = np.packbits(np.array([i is None for i in ids], bool)).tobytes() + np.array([i or 0 for i in ids], "<i8").tobytes() + np.array(hashes, "<i8").tobytes()
@@ -238,6 +243,8 @@ def judged(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str =
     columns = docs.columns
     trusted = labels.where("quality is not null").groupBy(F.col(row_id).alias("_id")).agg(F.min("quality").alias("_q")).where("_q = 1").select("_id")
     keyed = docs.withColumn("_whole", text_or_empty(text)).withColumn("_id", F.col(row_id).cast("long")).withColumn("_hash", F.xxhash64("_whole")).withColumn("_lang", F.coalesce(lang, F.lit("")))
+    if trusted.count() <= BROADCAST_IDS:
+        trusted = F.broadcast(trusted)
     fold = F.pmod(F.xxhash64("_id"), F.lit(FOLDS)) == 0
     counts = written(count_grams(keyed.join(trusted, "_id", "left_semi").where(~fold).select("_whole")), "kn-counts")
     if counts.isEmpty():
