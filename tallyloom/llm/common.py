@@ -55,3 +55,16 @@ def free_name(df: DataFrame, name: str) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes some of the tables that written() made."""
+    for where in paths:
+        if where in _tables:
+            _tables.remove(where)
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written_tables() -> list[str]:
+    return list(_tables)
