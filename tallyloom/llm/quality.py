@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ QUANTILE, MARGIN = 0.995, 1.05
 ENOUGH = 50
 #: Code points and rows of a chunk, and rows of the model in a shard, about.
 CHUNK_CHARS, CHUNK_ROWS, SHARD_ROWS = 1_500_000, 2000, 20_000
-#: Chunks that one task answers for a shard, about.
-CHUNKS_A_TASK = 128
+#: Documents whose requests one task answers for a shard, about.
+DOCS_A_TASK = 25_000
 #: Trusted rows up to which their ids are broadcast.
 BROADCAST_IDS = 2_000_000
 
@@ -162,6 +163,38 @@ class ShardModel:
         return np.log(p)
 
 
+def _pack(docs: int, names: bytes, keys: np.ndarray, place: np.ndarray, n: np.ndarray) -> bytes:
+    """Entries in order of keys and then places, compressed: keys and places as steps, a place step of 255 and more apart."""
+    different, each = np.unique(keys, return_counts=True)
+    steps = np.diff(place, prepend=0)
+    first = np.cumsum(each)[:-1]
+    steps[first] = place[first]
+    far = steps[steps >= 255].astype("<u2").tobytes()
+    planes = np.diff(different, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    body = planes + each.astype("<u2").tobytes() + np.minimum(steps, 255).astype(np.uint8).tobytes() + n.astype(np.uint8).tobytes() + far
+    return struct.pack("<QQQ", docs, len(different), len(keys)) + names + zstandard.ZstdCompressor(level=1).compress(body)
+
+
+def _unpack(payload: bytes) -> tuple[int, list[np.ndarray]]:
+    """Documents, and: nulls among ids, ids, hashes, keys, entries of each key, places and counts of entries."""
+    docs, different, entries = struct.unpack_from("<QQQ", payload)
+    at, parts = 24, []
+    for kind, n in ((np.uint8, -(-docs // 8)), ("<i8", docs), ("<i8", docs)):
+        parts.append(np.frombuffer(payload, kind, n, at))
+        at += parts[-1].nbytes
+    body = zstandard.ZstdDecompressor().decompress(payload[at:])
+    keys = np.cumsum(np.ascontiguousarray(np.frombuffer(body, np.uint8, 8 * different).reshape(8, -1).T).view("<i8").ravel())
+    at = 8 * different
+    each = np.frombuffer(body, "<u2", different, at).astype(np.int64)
+    steps = np.frombuffer(body, np.uint8, entries, at + 2 * different).astype(np.int64)
+    n = np.frombuffer(body, np.uint8, entries, at + 2 * different + entries)
+    steps[steps == 255] = np.frombuffer(body, "<u2", -1, at + 2 * different + 2 * entries)
+    total = np.cumsum(steps)
+    first = np.cumsum(each) - each
+    place = total - np.repeat(total[first] - steps[first], each)
+    return docs, [*parts, keys, each, place, n]
+
+
 def requests(docs: DataFrame, shards: int) -> DataFrame:
     """From _id, _hash, _whole: rows of shard, chunk and payload for each shard that a chunk of documents asks."""
 
@@ -182,9 +215,7 @@ def requests(docs: DataFrame, shards: int) -> DataFrame:
                 found = []
                 for s in np.unique(shard).tolist():
                     own = shard == s
-                    different, each = np.unique(keys[own], return_counts=True)
-                    head = struct.pack("<QQQ", len(ids), len(different), int(own.sum()))
-                    found.append((s, head + names + different.astype("<i8").tobytes() + each.astype("<u2").tobytes() + place[own].astype("<u2").tobytes() + n[own].astype(np.uint8).tobytes()))
+                    found.append((s, _pack(len(ids), names, keys[own], place[own], n[own])))
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int32()), pa.array([chunk] * len(found), pa.int64()), pa.array([p for _, p in found], pa.binary())], names=["shard", "chunk", "payload"])
                 chunk += 1
 
@@ -192,12 +223,7 @@ def requests(docs: DataFrame, shards: int) -> DataFrame:
 
 
 def _answer(model: ShardModel, payload: bytes) -> pa.RecordBatch:
-    docs, different, entries = struct.unpack_from("<QQQ", payload)
-    at = 24
-    parts = []
-    for kind, n in ((np.uint8, -(-docs // 8)), ("<i8", docs), ("<i8", docs), ("<i8", different), ("<u2", different), ("<u2", entries), (np.uint8, entries)):
-        parts.append(np.frombuffer(payload, kind, n, at))
-        at += parts[-1].nbytes
+    docs, parts = _unpack(payload)
     null, ids, hashes, keys, each, place, n = parts
     n = n.astype(np.float64)
     total = np.bincount(place, np.repeat(model.log_probability(keys), each) * n, docs)
@@ -210,7 +236,7 @@ def _answer(model: ShardModel, payload: bytes) -> pa.RecordBatch:
 def scores(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """_id, _hash and perplexity of each different document in docs (_id, _hash, _whole) under a model (see model_rows)."""
     shards = max(8, -(-rows.count() // SHARD_ROWS))
-    salts = max(1, docs.count() // (CHUNK_ROWS * CHUNKS_A_TASK))
+    salts = max(1, docs.count() // DOCS_A_TASK)
     held = in_shards(rows, shards).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     asked = requests(docs, shards).withColumn("salt", F.pmod(F.xxhash64("payload"), F.lit(salts)).cast("int"))
     kinds = (("level", "array<int>"), ("context", "array<boolean>"), ("key", "array<bigint>"), ("value", "array<double>"))
