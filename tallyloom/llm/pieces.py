@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import codecs
 import heapq
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +31,7 @@ from tallyloom.llm.common import table, text_or_empty
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Words and parts in a worker's tables.
-WORDS = 250_000
+WORDS = 600_000
 #: Pairs of tokens in a worker's table.
 PAIRS = 500_000
 #: Ids decoded at once.
@@ -40,6 +42,14 @@ FIRST = float("-inf")  # when single characters were there
 NEVER = float("inf")
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian 32-bit ids."""
+    found = array("i", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
+
+
 class PieceModel:
     """Pieces of a merge-type model. encode() has no options: a space before the text, no sampling, and the end id last."""
 
@@ -63,11 +73,12 @@ class PieceModel:
             if len(piece) > 1 and not piece.strip(SPACE):
                 continue
             if self.agenda(piece, remember=True) == [i]:
-                self.automaton.add_word(piece, (i, len(piece)))
+                self.automaton.add_word(piece, i)
                 self.beside.update(piece[k : k + 2] for k in range(len(piece) - 1))
         self.automaton.make_automaton()
+        self.length = [len(p) for p in self.piece]
         self.fits: dict[int, bool] = {}
-        self.part: dict[str, tuple[int, ...]] = {}
+        self.part: dict[str, bytes] = {}
         self.word: dict[str, bytes] = {}
         self.bytes_of = [b"" if model.is_control(i) else b" \xe2\x81\x87 " if model.is_unknown(i) else bytes([int(self.piece[i][1:-1], 16)]) if model.is_byte(i) else self.piece[i].replace(SPACE, " ").encode() for i in every]
         self.spaced = np.array([self.piece[i][:1] == SPACE for i in every])
@@ -118,51 +129,54 @@ class PieceModel:
 
     def by_prefixes(self, text: str) -> list[int]:
         """Ids of a text of known characters, without runs of spaces."""
-        last, fits = [-1] * (len(text) + 1), self.fits
-        size = [0] * (len(text) + 1)
-        for stop, (token, length) in self.automaton.iter(text):
+        last, fits, length, span = [-1] * (len(text) + 1), self.fits, self.length, len(self.piece)
+        for stop, token in self.automaton.iter(text):
             stop += 1
-            if last[stop] >= 0:
-                continue
-            if length < stop:
-                left = last[stop - length]
-                if left < 0:
-                    continue
-                key = left << 32 | token
-                fit = fits.get(key)
-                if fit is None:
-                    fit = fits[key] = self.compatible(left, token)
-                if not fit:
-                    continue
-            last[stop], size[stop] = token, length
+            if last[stop] < 0:
+                start = stop - length[token]
+                if start:
+                    left = last[start]
+                    if left < 0:
+                        continue
+                    key = left * span + token
+                    fit = fits.get(key)
+                    if fit is None:
+                        fit = fits[key] = self.compatible(left, token)
+                    if not fit:
+                        continue
+                last[stop] = token
         found, at = [], len(text)
         while at:
             found.append(last[at])
-            at -= size[at]
-        return found[::-1]
+            at -= length[last[at]]
+        found.reverse()
+        return found
 
-    def of_part(self, part: str) -> tuple[int, ...]:
+    def of_part(self, part: str) -> bytes:
         if (found := self.part.get(part)) is None:
             if len(self.part) >= self.limit:
                 self.part.clear()
             if len(self.fits) >= PAIRS:
                 self.fits.clear()
-            found = self.part[part] = tuple(self.by_prefixes(part)) if part[0] in self.id else tuple(self.byte[b] for b in part.encode())
+            found = self.part[part] = packed(self.by_prefixes(part) if part[0] in self.id else [self.byte[b] for b in part.encode()])
         return found
 
-    def of_word(self, word: str) -> tuple[int, ...]:
-        """Ids of a space and what follows up to the next one."""
-        whole, cut, found = SPACE + word, 0, ()
+    def of_word(self, word: str) -> bytes:
+        """Packed ids of a space and what follows up to the next one."""
+        whole, cut, found = SPACE + word, 0, []
         beside = self.beside
         for k in range(1, len(whole)):
             if whole[k - 1 : k + 1] not in beside:
-                found += self.of_part(whole[cut:k])
+                found.append(self.of_part(whole[cut:k]))
                 cut = k
-        return found + self.of_part(whole[cut:])
+        if not found:
+            return self.of_part(whole)
+        found.append(self.of_part(whole[cut:]))
+        return b"".join(found)
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids, the end id last."""
-        end = np.array([self.end], "<i4").tobytes()
+        end = packed([self.end])
         if not text:
             return end
         words, known = text.replace(SPACE, " ").split(" "), self.word
@@ -175,24 +189,24 @@ class PieceModel:
                 known.clear()
         for word in words:
             if word not in known:
-                known[word] = np.array(self.of_word(word), "<i4").tobytes()
+                known[word] = self.of_word(word)
         return b"".join(map(known.__getitem__, words)) + end
 
     def _with_runs(self, words: list[str]) -> bytes:
-        found: list[tuple[int, ...]] = []
-        run = 0
+        found: list[bytes] = []
+        run, space = 0, packed([self.id[SPACE]])
         for word in [*words, None]:
             if word == "":
                 run += 1
                 continue
-            ids = self.of_word(word) if word is not None else ()
+            ids = self.of_word(word) if word is not None else b""
             if run:
-                alone = ids[:1] == (self.id[SPACE],)
-                found.append(tuple(self.agenda(SPACE * (run + alone))))
-                ids = ids[alone:]
+                alone = ids[:4] == space
+                found.append(packed(self.agenda(SPACE * (run + alone))))
+                ids = ids[4 * alone :]
             found.append(ids)
             run = 0
-        return np.array([i for ids in found for i in ids], "<i4").tobytes()
+        return b"".join(found)
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         """Texts of rows of ids that lie one after the other; ends: where each row ends. Bytes that aren't UTF-8 become U+FFFD each."""
