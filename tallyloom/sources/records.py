@@ -69,7 +69,7 @@ def read_calls(spark: SparkSession, path: str) -> DataFrame:
     n, ids = rows.agg(F.count(F.lit(1)), F.countDistinct("call_id")).collect()[0]
     if not n or n != ids:
         raise ValueError("no calls, or repeated ids")
-    return rows.withColumn("tactic_ids", F.filter(F.transform(F.split("tactic_ids", ";"), F.trim), lambda t: t != ""))
+    return rows.withColumn("tactic_ids", F.filter(F.transform(F.split("tactic_ids", ";"), lambda t: F.trim(t)), lambda t: t != ""))
 
 
 def embedded(rows: DataFrame, cache: DataFrame, embed, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -93,5 +93,5 @@ def html_text(html: Column) -> Column:
 
 def spoken_lines(text: Column) -> Column:
     """speaker and text of each line that isn't blank; a speaker is a word before a colon, without blanks, else "speaker"."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(lines, lambda x: F.struct(F.when(x.rlike(r"^[^\s:]+:\s*\S"), F.regexp_extract(x, r"^([^\s:]+):", 1)).otherwise("speaker").alias("speaker"), F.when(x.rlike(r"^[^\s:]+:\s*\S"), F.regexp_extract(x, r"^[^\s:]+:\s*(.*)$", 1)).otherwise(x).alias("text")))
