@@ -47,9 +47,10 @@ def meter_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "s.turn", F.round("s.score", 6).alias("score"), "s.latched", F.size("s.ids").alias("hard"))
 
 
-@query("turns_to_alert", f"WITH {STATES} SELECT conv_id, min(CASE WHEN s.latched THEN s.t END)::INTEGER AS turns_to_alert, round(max(s.score), 6) AS top, arg_max({BAND.format('s.score')}, turn) AS final_band FROM s GROUP BY conv_id")
+@query("turns_to_alert", f"WITH {STATES} SELECT conv_id, coalesce(min(CASE WHEN s.latched THEN s.t END), 0)::INTEGER AS turns_to_alert, round(max(s.score), 6) AS top, arg_max({BAND.format('s.score')}, turn) AS final_band FROM s GROUP BY conv_id")
 def turns_to_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return live.alerts(live.meter(turns(spark, sf_dir)))
+    """0: no alert."""
+    return live.alerts(live.meter(turns(spark, sf_dir))).fillna(0, ["turns_to_alert"])
 
 
 @query("stream_report", f"""WITH {STATES}, a AS (SELECT conv_id, conv_id % 3 = 0 AS positive, min(CASE WHEN s.latched THEN s.t END) AS hit FROM s GROUP BY conv_id)

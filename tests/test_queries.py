@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tallyloom.plans import catalog
@@ -16,7 +17,7 @@ def plain(frame):
     def value(v):
         if hasattr(v, "tolist"):
             v = v.tolist()
-        return None if v is None or v != v else v
+        return None if v is None or (not isinstance(v, list) and pd.isna(v)) else v
 
     columns = sorted(frame.columns)
     return columns, sorted(repr([value(v) for v in row]) for row in frame[columns].astype(object).values.tolist())
