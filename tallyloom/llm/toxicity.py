@@ -28,7 +28,7 @@ from tallyloom.llm.common import table, text_or_empty
 DECAY, SPAN, LETTERS = 0.8, 6, 64
 LANDMARKS, WHITEN = 256, 1e-4
 #: Labelled rows of each class to learn from, and their code points in all, at most.
-TRAIN_ROWS, TRAIN_CHARS = 4000, 24_000_000
+TRAIN_ROWS, TRAIN_CHARS = 3000, 12_000_000
 #: Longer words are scored in windows of so many letters, half of which overlap.
 WINDOW = 24
 FLOOR = -1.0
@@ -137,7 +137,7 @@ class ToxicityModel:
             if near.size:
                 value[near] = np.maximum(FLOOR, raw[near] / norms(codes[near], weights) + self.bias)
             found.update(zip(some, value.tolist(), strict=True))
-        return {w: max(found[p] for p in windows(w)) for w in words}
+        return {w: found[w] if len(w) <= WINDOW else max(found[p] for p in windows(w)) for w in words}
 
     def score(self, value: float) -> float:
         return float(1 / (1 + np.exp(-(self.slope * value + self.offset))))
@@ -190,16 +190,11 @@ def _nystrom(landmarks: list[str], words: list[str], y: np.ndarray, c: np.ndarra
     return weight, bias
 
 
-def first_copies(rows: list[list[str]]) -> list[bool]:
-    """Whether no row before is a near copy: one that shares the smallest hash of its word pairs, under one of SKETCH hashes."""
-    met, found = set(), []
-    for row in rows:
-        pairs = {zlib.crc32(f"{a} {b}".encode()) for a, b in zip(row, row[1:], strict=False)} or {0}
-        own = np.fromiter(pairs, np.uint64, len(pairs))
-        marks = [(k, int(((own * np.uint64(2 * k + 0x9E3779B1)) % np.uint64(0xFFFFFFFB)).min())) for k in range(SKETCH)]
-        found.append(met.isdisjoint(marks))
-        met.update(marks)
-    return found
+def sketch(row: list[str]) -> list[tuple[int, int]]:
+    """The smallest hash of a text's word pairs, under each of SKETCH hashes: near copies most likely share one, other texts hardly ever."""
+    pairs = {zlib.crc32(f"{a} {b}".encode()) for a, b in zip(row, row[1:], strict=False)} or {0}
+    own = np.fromiter(pairs, np.uint64, len(pairs))
+    return [(k, int(((own * np.uint64(2 * k + 0x9E3779B1)) % np.uint64(0xFFFFFFFB)).min())) for k in range(SKETCH)]
 
 
 def marking(each: list[set[str]], toxic: list[int]) -> list[str]:
@@ -238,8 +233,14 @@ def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
     """From whole texts and their labels. With one class only, or nothing that marks a class, all texts score alike: the part of toxic ones."""
     part = (sum(toxic) + 0.5) / (len(toxic) + 1)
     blank = ToxicityModel(np.zeros(LETTERS**3, np.float32), FLOOR, 0.0, float(np.log(part / (1 - part))))
-    rows = [[w for sentence in SENTENCE.split(text) for w in words_of(sentence)] for text in texts]
-    each, new = [set(r) for r in rows], first_copies(rows)
+    each, new, met, one = [], [], set(), {}
+    for text in texts:
+        row = [one.setdefault(w, w) for sentence in SENTENCE.split(text) for w in words_of(sentence)]
+        own = sketch(row)
+        each.append(set(row))
+        new.append(met.isdisjoint(own))
+        met.update(own)
+    del one, met
     marks = marking([h for h, n in zip(each, new, strict=True) if n], [y for y, n in zip(toxic, new, strict=True) if n])
     if not marks:
         return blank
