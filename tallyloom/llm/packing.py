@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import table, text_or_empty
+from tallyloom.llm.common import in_slices, table, text_or_empty
 from tallyloom.llm.word_bpe import END, default_path, encoder
 
 LENGTH = 4096
@@ -95,7 +95,7 @@ def pieces(df: DataFrame, text: str = "text", row_id: str = "doc_id", path: str
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, last = encoder(path).ids, np.array([end], "<u4").tobytes()
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = [[], [], [], [], []]
             for doc, whole in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encode(whole.as_py()) + last

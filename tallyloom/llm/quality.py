@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import table, text_or_empty, written
+from tallyloom.llm.common import in_slices, table, text_or_empty, written
 
 ORDER, BITS = 4, 12
 ALPHABET = 1 << BITS
@@ -32,7 +32,7 @@ QUANTILE, MARGIN = 0.995, 1.05
 #: Trusted rows that a language needs for a threshold of its own; others have that of all rows.
 ENOUGH = 50
 #: Code points and rows of a chunk, and rows of the model in a shard, about.
-CHUNK_CHARS, CHUNK_ROWS, SHARD_ROWS = 1_500_000, 2000, 20_000
+CHUNK_CHARS, CHUNK_ROWS, SHARD_ROWS = 1_000_000, 2000, 20_000
 #: Documents whose requests one task answers for a shard, about.
 DOCS_A_TASK = 25_000
 #: Trusted rows up to which their ids are broadcast.
@@ -74,7 +74,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in in_slices(batches, CHUNK_ROWS // 4):
             rows = batch.column(0).to_pylist()
             for _, _, some in _chunks(rows, rows, rows):
                 keys, n = np.unique(grams(some)[0], return_counts=True)
@@ -200,7 +200,7 @@ def requests(docs: DataFrame, shards: int) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = 0
-        for batch in batches:
+        for batch in in_slices(batches, CHUNK_ROWS // 4):
             for ids, hashes, texts in _chunks(*(batch.column(c).to_pylist() for c in range(3))):
                 keys, place = grams(texts)
                 both, n = np.unique((keys << 11) | place, return_counts=True)

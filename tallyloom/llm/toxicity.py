@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import table, text_or_empty
+from tallyloom.llm.common import in_slices, table, text_or_empty
 
 DECAY, SPAN, LETTERS = 0.8, 6, 64
 LANDMARKS, WHITEN = 256, 1e-4
@@ -34,7 +34,7 @@ WINDOW = 24
 FLOOR = -1.0
 THRESHOLD = 0.3
 #: Words in a worker's table.
-WORDS = 600_000
+WORDS = 200_000
 #: A word marks toxic texts if it is in so many times the part of them than of others, with this log-likelihood against chance at least.
 ODDS, SURPRISE, SKETCH = 20, 13.8, 3
 #: Marks of which disguised forms are learned too, and how many of each.
@@ -308,20 +308,18 @@ def with_score(df: DataFrame, model: ToxicityModel, text: str = "text", out: str
         model = shared.value
         plain: set[str] = set()  # words at FLOOR
         other: dict[str, float] = {}
-        for batch in batches:
-            texts = batch.column(len(columns)).to_pylist()
-            for at in range(0, len(texts), 256):
-                rows = [set(words_of(t)) - plain for t in texts[at : at + 256]]
-                for w, v in model.values([w for w in set().union(*rows) if w not in other]).items():
-                    if v > FLOOR:
-                        other[w] = v
-                    else:
-                        plain.add(w)
-                texts[at : at + 256] = [model.score(max((other.get(w, FLOOR) for w in r), default=FLOOR)) for r in rows]
-                if len(plain) + len(other) > WORDS:
-                    plain.clear()
-                    other.clear()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.float64())], names=[*columns, out])
+        for batch in in_slices(batches):
+            rows = [set(words_of(t)) - plain for t in batch.column(len(columns)).to_pylist()]
+            for w, v in model.values([w for w in set().union(*rows) if w not in other]).items():
+                if v > FLOOR:
+                    other[w] = v
+                else:
+                    plain.add(w)
+            found = [model.score(max((other.get(w, FLOOR) for w in r), default=FLOOR)) for r in rows]
+            if len(plain) + len(other) > WORDS:
+                plain.clear()
+                other.clear()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], names=[*columns, out])
 
     return kept.withColumn("_whole", text_or_empty(text)).mapInArrow(run, schema)
 
