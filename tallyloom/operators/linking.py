@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Pairs and records up to which labels (two numbers each) are broadcast; with more, all joins are shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir, or a folder of our own where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,12 +37,19 @@ def link_by_shared_keys(keys: DataFrame, record: str = "id", key: str = "key", r
     """
     pairs = settled(keys.select(F.col(record).alias("r"), F.col(key).alias("k")).where("k is not null").dropDuplicates(), "pairs")
     label = keys.select(F.col(record).alias("r")).dropDuplicates().withColumn("c", F.col("r"))
+    if max(pairs.count(), label.count()) <= BROADCAST_ROWS:
+        aside = F.broadcast
+    else:
+
+        def aside(df: DataFrame) -> DataFrame:
+            return df
+
     for _ in range(rounds):
-        low = pairs.join(label, "r").groupBy("k").agg(F.min("c").alias("m"))
-        near = pairs.join(low, "k").groupBy("r").agg(F.min("m").alias("m"))
-        spread = label.join(near, "r", "left").select("r", F.col("c").alias("was"), F.least("c", "m").alias("c"))
+        low = pairs.join(aside(label), "r").groupBy("k").agg(F.min("c").alias("m"))
+        near = pairs.join(aside(low), "k").groupBy("r").agg(F.min("m").alias("m"))
+        spread = label.join(aside(near), "r", "left").select("r", F.col("c").alias("was"), F.least("c", "m").alias("c"))
         onward = label.select(F.col("r").alias("o"), F.col("c").alias("oc"))
-        new = settled(spread.join(onward, spread["c"] == onward["o"]).select("r", "was", F.least("c", "oc").alias("c")), "labels")
+        new = settled(spread.join(aside(onward), spread["c"] == onward["o"]).select("r", "was", F.least("c", "oc").alias("c")), "labels")
         label = new.select("r", "c")
         if new.where("c <> was").isEmpty():
             return label.select(F.col("r").alias(record), F.col("c").alias("component"))
