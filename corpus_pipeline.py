@@ -19,11 +19,14 @@ from tallyloom.llm.quality import judged
 from tallyloom.llm.toxicity import THRESHOLD, learn, with_score
 
 _left: list[str] = []
+#: Rows that go to a Python worker at once: whole texts can be long.
+BATCH_ROWS = 1000
 
 
 def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         drop_tables(spark, _left)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         before = set(written_tables())
         result = work(spark, docs, sf_dir)
         _left[:] = [t for t in written_tables() if t not in before]

@@ -308,7 +308,7 @@ def with_score(df: DataFrame, model: ToxicityModel, text: str = "text", out: str
         model = shared.value
         plain: set[str] = set()  # words at FLOOR
         other: dict[str, float] = {}
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, 256):
             rows = [set(words_of(t)) - plain for t in batch.column(len(columns)).to_pylist()]
             for w, v in model.values([w for w in set().union(*rows) if w not in other]).items():
                 if v > FLOOR:
