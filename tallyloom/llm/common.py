@@ -75,13 +75,18 @@ def written_tables() -> list[str]:
     return list(_tables)
 
 
+def give_back() -> None:
+    """Returns free memory to the system: a worker may lie idle for a while after its task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches of rows at most, so that few texts are Python objects at a time. At the end, memory that is free goes back to the system, since the worker may lie idle."""
+    """Batches of rows at most, so that few texts are Python objects at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
     batch = None
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
+    give_back()
