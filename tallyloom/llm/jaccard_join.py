@@ -8,7 +8,8 @@
 3. Groups are joined by what they share. Later keys only bring together sets of different groups, until KEYS have been used: a link at the threshold
    is found with probability 1 - 0.2 ** KEYS, any closer one with more.
 
-A place where more than MEETING sets meet is split at random, anew for each key.
+A place where more than MEETING sets meet is first split at random, anew for each key, which settles large groups at little cost. Afterwards every two sets of such
+a place that aren't in one group yet are compared in full: its largest group and its other sets are cut into blocks, and all pairs of blocks but those within that group meet.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ PASSES = ((0, 1), tuple(range(2, 12)))
 KEYS = sum(map(len, PASSES))
 MEETING, LEAF, BITS = 1500, 8, 1024
 BATCH = 2000
+#: In blocks of a large place: shingles with a column of bits, and pairs of sets, at a time.
+COLUMNS, PAIRS = 4096, 1 << 20
 #: Documents that can have a link, up to which their ids are broadcast.
 BROADCAST_IDS = 2_000_000
 #: Documents for each part of the hash space, about.
@@ -123,6 +126,74 @@ def links(sets: list[np.ndarray]) -> list[int]:
     return [root(i) for i in range(len(sets))]
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of left and each of right share, exactly: rows of bits for shingles that many sets hold, lists of pairs for others."""
+    flat = [np.concatenate(x) for x in (left, right)]
+    known = np.intersect1d(*flat)
+    out = np.zeros((len(left), len(right)), np.int32)
+    if not len(known):
+        return out
+    held = []
+    for sets, tokens in zip((left, right), flat, strict=True):
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        there = known[at] == tokens
+        at, owner = at[there], owner[there]
+        order = np.argsort(at, kind="stable")
+        held.append((at[order], owner[order], np.bincount(at, minlength=len(known))))
+    (at_l, own_l, n_l), (at_r, own_r, n_r) = held
+    often = n_l * n_r * 64 > len(left) * len(right)
+    column = np.cumsum(often) - 1
+    for first in range(0, int(often.sum()), COLUMNS):
+        rows = []
+        for sets, at, own in ((left, at_l, own_l), (right, at_r, own_r)):
+            flag = np.zeros((len(sets), COLUMNS), bool)
+            some = often[at] & (column[at] >= first) & (column[at] < first + COLUMNS)
+            flag[own[some], column[at[some]] - first] = True
+            rows.append(np.packbits(flag, 1).view(np.uint64))
+        for i, row in enumerate(rows[0]):
+            out[i] += np.bitwise_count(rows[1] & row).sum(1, dtype=np.int32)
+    begin_l, begin_r = np.cumsum(n_l) - n_l, np.cumsum(n_r) - n_r
+    seldom = np.flatnonzero(~often)
+    pairs = np.cumsum(n_l[seldom] * n_r[seldom])
+    at = 0
+    while at < len(seldom):
+        stop = max(at + 1, int(np.searchsorted(pairs, (pairs[at - 1] if at else 0) + PAIRS, "right")))
+        some = seldom[at:stop]
+        each = n_l[some] * n_r[some]
+        nth = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+        wide = np.repeat(n_r[some], each)
+        i, j = own_l[np.repeat(begin_l[some], each) + nth // wide], own_r[np.repeat(begin_r[some], each) + nth % wide]
+        np.add.at(out, (i, j), 1)
+        at = stop
+    return out
+
+
+def cross_links(sets: list[np.ndarray], groups: list[int], blocks: list[int]) -> list[tuple[int, int]]:
+    """Links, as places of two sets, that join the groups of two blocks, or of one if there is only one: every two sets of different groups are compared."""
+    parent: dict[int, int] = {}
+
+    def root(g: int) -> int:
+        while (up := parent.get(g, g)) != g:
+            g = up
+        return g
+
+    low = min(blocks)
+    one = [i for i, b in enumerate(blocks) if b == low]
+    two = [i for i, b in enumerate(blocks) if b != low] or one
+    size = np.array([len(s) for s in sets])
+    of = np.unique(groups, return_inverse=True)[1]
+    both = overlaps([sets[i] for i in one], [sets[j] for j in two])
+    near = (9 * both.astype(np.int64) >= 4 * (size[one][:, None] + size[two][None, :])) & (of[one][:, None] != of[two][None, :])
+    found = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+        p, q = root(groups[one[i]]), root(groups[two[j]])
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            found.append((one[i], two[j]))
+    return found
+
+
 def sizes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Batches of docs (_id, _whole) as rows for the parts of the hash space that they ask: see candidates()."""
     parts = max(shuffle_partitions(docs.sparkSession), docs.count() // PART_ROWS)
@@ -248,22 +319,66 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of two blocks of a large place: links that join their groups."""
+    for (*_, x, y), rows in _groups(batches, 4):
+        if x == y or len({r[0] for r in rows}) == 2:
+            rows.sort(key=lambda r: r[1])
+            found = cross_links([np.frombuffer(r[3], "<u8") for r in rows], [r[2] for r in rows], [r[0] for r in rows])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i, _ in found], pa.int64()), pa.array([rows[j][1] for _, j in found], pa.int64())], names=["a", "b"])
+
+
+def _keyed(classes: DataFrame, keys: tuple[int, ...], label: DataFrame | None) -> DataFrame:
+    """_class, _k, _v and _group for each of keys."""
+    rows = classes.select("_class", F.explode(F.arrays_zip(F.array(*map(F.lit, keys)).alias("k"), F.array(*(F.col("_keys")[k] for k in keys)).alias("v"))).alias("z")).select("_class", F.col("z.k").alias("_k"), F.col("z.v").alias("_v"))
+    if label is None:
+        return rows.withColumn("_group", F.col("_class"))
+    held = F.broadcast(label) if label.count() <= BROADCAST_IDS else label
+    return rows.join(held, F.col("_class") == F.col("node"), "left").select("_class", "_k", "_v", F.coalesce("component", "_class").alias("_group"))
+
+
+def _places(rows: DataFrame) -> DataFrame:
+    """Where sets of different groups meet, and how many sets: _m."""
+    return rows.groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_m"), F.min("_group").alias("_lo"), F.max("_group").alias("_hi")).where("_lo < _hi").select("_k", "_v", "_m")
+
+
+def large_links(classes: DataFrame, label: DataFrame | None) -> DataFrame | None:
+    """Edges between groups that only meet where more than MEETING sets do; None if there is no such place.
+
+    A place's largest group is cut into blocks, and so are its other sets. All pairs of blocks meet, but for those within the largest group.
+    """
+    rows = _keyed(classes, tuple(range(KEYS)), label)
+    large = written(_places(rows).where(F.col("_m") > MEETING), "large-places")
+    if large.isEmpty():
+        return None
+    rows = written(rows.join(large, ["_k", "_v"]), "large-rows")
+    groups = rows.groupBy("_k", "_v", "_m", "_group").agg(F.count(F.lit(1)).alias("_n"))
+    most = groups.groupBy("_k", "_v").agg(F.max("_m").alias("_all"), F.max(F.struct("_n", "_group")).alias("_most"))
+    half = max(1, MEETING // 2)
+    cut = most.select("_k", "_v", F.col("_most._group").alias("_largest"), F.ceil((F.col("_all") - F.col("_most._n")) / half).alias("_r"), F.ceil(F.col("_most._n") / half).alias("_b"))
+    rows = rows.join(cut, ["_k", "_v"])
+    largest, salt = F.col("_group") == F.col("_largest"), F.xxhash64("_class", "_k")
+    rows = rows.withColumn("_block", F.when(largest, F.col("_r") + F.pmod(salt, "_b")).otherwise(F.pmod(salt, "_r")))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(largest, F.col("_r") - 1).otherwise(F.col("_r") + F.col("_b") - 1))))
+    rows = rows.select("_k", "_v", F.least("_block", "_other").alias("_x"), F.greatest("_block", "_other").alias("_y"), "_block", "_class", "_group").join(classes.select("_class", "_set"), "_class")
+    met = rows.select("_k", "_v", "_x", "_y", "_block", "_class", "_group", "_set").repartition("_k", "_v", "_x", "_y").sortWithinPartitions("_k", "_v", "_x", "_y")
+    return written(met.mapInArrow(_meet_blocks, "a long, b long"), "links")
+
+
 def class_links(classes: DataFrame) -> DataFrame | None:
     """node, component of classes (_class, _keys, _set: different sets) that have a link; None if no two meet."""
     found, label = None, None
-    for keys in PASSES:
-        rows = classes.select("_class", F.explode(F.arrays_zip(F.array(*map(F.lit, keys)).alias("k"), F.array(*(F.col("_keys")[k] for k in keys)).alias("v"))).alias("z")).select("_class", F.col("z.k").alias("_k"), F.col("z.v").alias("_v"))
-        if label is not None:
-            held = F.broadcast(label) if label.count() <= BROADCAST_IDS else label
-            rows = rows.join(held, F.col("_class") == F.col("node"), "left").select("_class", "_k", "_v", F.coalesce("component", "_class").alias("_group"))
+    for keys in (*PASSES, None):
+        if keys is None:
+            edges = large_links(classes, label)
         else:
-            rows = rows.withColumn("_group", F.col("_class"))
-        places = rows.groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_m"), F.min("_group").alias("_lo"), F.max("_group").alias("_hi")).where("_lo < _hi").select("_k", "_v", "_m")
-        met = rows.join(places, ["_k", "_v"]).withColumn("_salt", F.pmod(F.xxhash64("_class", "_k"), F.ceil(F.col("_m") / MEETING)))
-        met = met.select("_class", "_k", "_v", "_salt").join(classes.select("_class", "_set"), "_class")
-        met = met.select("_k", "_v", "_salt", "_class", "_set").repartition("_k", "_v", "_salt").sortWithinPartitions("_k", "_v", "_salt")
-        edges = written(met.mapInArrow(_meet, "a long, b long"), "links")
-        if not edges.isEmpty():
+            rows = _keyed(classes, keys, label)
+            met = rows.join(_places(rows), ["_k", "_v"]).withColumn("_salt", F.pmod(F.xxhash64("_class", "_k"), F.ceil(F.col("_m") / MEETING)))
+            met = met.select("_class", "_k", "_v", "_salt").join(classes.select("_class", "_set"), "_class")
+            met = met.select("_k", "_v", "_salt", "_class", "_set").repartition("_k", "_v", "_salt").sortWithinPartitions("_k", "_v", "_salt")
+            edges = written(met.mapInArrow(_meet, "a long, b long"), "links")
+        if edges is not None and not edges.isEmpty():
             found = edges if found is None else found.unionByName(edges)
             label = components(found)
     return label

@@ -278,6 +278,28 @@ def test_tree_finds_what_all_pairs_find():
     assert jaccard_join.links(sets) == parent
 
 
+def test_jaccard_join_compares_all_sets_of_a_large_place(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "MEETING", 10)
+    stem, texts = words(70, 84), []
+    for pair in range(40):
+        shared = words(100 + pair, 5)
+        texts += [f"{stem} {shared} {words(200 + 2 * pair + k, 7)}" for k in (0, 1)]
+    texts += [f"{stem} {words(900, 12)} x{k}" for k in range(30)]  # a group of its own
+    ids = list(range(len(texts)))
+    want = brute_components(texts, ids)
+    assert len({c for _, c in want}) == 41
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_copies(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in ids] == want
+
+
+def test_overlaps_are_exact(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 64)
+    monkeypatch.setattr(jaccard_join, "PAIRS", 50)
+    rng = np.random.default_rng(5)
+    one, two = ([np.unique(np.minimum(rng.zipf(1.2, 60), 4000)).astype(np.uint64) for _ in range(n)] for n in (30, 41))
+    assert (jaccard_join.overlaps(one, two) == [[len(np.intersect1d(x, y)) for y in two] for x in one]).all()
+
+
 def test_shingles_count_words_as_stated():
     got = shingles.shingle_sets(["a b c d e f", "A  B\tc d e f", "a b", "", " ", "a b c d e a b c d e a b c d e", "é É"])
     assert [len(s) for s in got] == [2, 2, 1, 0, 0, 5, 1] and (got[0] == got[1]).all() and (got[2] != got[6]).all()
