@@ -1,8 +1,9 @@
 """Main text of web pages by consensus of each host's pages on where it stands.
 
-First every page names the container that holds its text: the deepest one with most of the page's prose outside of boilerplate. It is named by a
-generalised path, the tags and classes from the body down with digits masked. The paths are counted per host in Spark, and then each page
-is read again: its text is what stands in its host's most frequent path that the page has, or in the page's own container if it has none.
+First every page names the container that holds its text: the deepest one with all of its article, or, on a page without one, with most of the
+page's prose outside of boilerplate. It is named by a generalised path, the tags and classes from the body down with digits masked. The paths are counted
+per host in Spark, and then each page is read again: its text is what stands in its host's most frequent path that holds all of the page's article (on a page
+without one, all of its prose), or in the page's own container if that does. If no container does, its text is all prose outside of boilerplate.
 
 Boilerplate (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) is told by tags and by words in classes, ids and roles.
 """
@@ -37,16 +38,16 @@ BOILERPLATE = re.compile(
     r"|login|search|searchbox|pagination|pager|copyright|legal|complementary|contentinfo|tracking)(?:$|[\s_-])",
     re.I,
 )
-#: A container is a page's if it has this part of the page's prose.
+#: A container is a page's, and its article and main elements are its article, if they have this part of the page's prose.
 MOST = 0.6
 
 
 class Block:
-    __slots__ = ("parts", "linked", "boilerplate", "path")
+    __slots__ = ("parts", "linked", "boilerplate", "path", "article")
 
-    def __init__(self, boilerplate: bool, path: tuple[str, ...]) -> None:
+    def __init__(self, boilerplate: bool, path: tuple[str, ...], article: bool = False) -> None:
         self.parts: list[str] = []
-        self.linked, self.boilerplate, self.path = 0, boilerplate, path
+        self.linked, self.boilerplate, self.path, self.article = 0, boilerplate, path, article
 
     def text(self) -> str:
         whole = "".join(self.parts)
@@ -68,15 +69,15 @@ def _step(tag: str, attributes: str) -> tuple[str, bool]:
 def blocks(page: str) -> list[Block]:
     """The blocks of text of a page in order, each with its containers' paths and whether it stands in boilerplate."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, tuple[str, ...]]] = []  # tag, boilerplate, path of containers
+    stack: list[tuple[str, bool, tuple[str, ...], bool]] = []  # tag, boilerplate, path of containers, in an article
     now, links, at, size = Block(False, ()), 0, 0, len(page)
 
     def close() -> None:
         nonlocal now
         if now.parts:
             found.append(now)
-        top = stack[-1] if stack else ("", False, ())
-        now = Block(top[1], top[2])
+        top = stack[-1] if stack else ("", False, (), False)
+        now = Block(*top[1:])
 
     while at < size:
         token = TOKEN.search(page, at)
@@ -119,30 +120,49 @@ def blocks(page: str) -> list[Block]:
                 while stack and stack[-1][0] == "p" or stack and tag == stack[-1][0] and tag in ("li", "dt", "dd", "td", "th", "tr", "option"):
                     stack.pop()  # their end tags may be left out
                 name, marked = _step(tag, attributes or "")
-                _, under, path = stack[-1] if stack else ("", False, ())
+                _, under, path, article = stack[-1] if stack else ("", False, (), False)
                 if tag == "header" and not any(x[0] in ("article", "main") for x in stack):
                     marked = True
                 path = (*path, f"{path[-1] if path else ''}/{name}") if tag in CONTAINERS else path
-                stack.append((tag, under or marked, path))
+                stack.append((tag, under or marked, path, article or tag in ("article", "main")))
                 close()
     close()
     return found
 
 
+def _weight(block: Block) -> float:
+    return max(0, len(block.text()) - 2 * block.linked)
+
+
+def needed(found: list[Block]) -> tuple[list[Block], bool]:
+    """The blocks that a page's text must have, and whether they are those of an article: what stands in article and main elements if most prose does, else all prose. Nothing of boilerplate."""
+    there = [(b, _weight(b)) for b in found if not b.boilerplate]
+    total, inside = sum(w for _, w in there), sum(w for b, w in there if b.article)
+    if total and inside >= MOST * total:
+        return [b for b, _ in there if b.article and b.text()], True
+    return [b for b, w in there if w], False
+
+
+def covering(found: list[Block], paths: list[str]) -> list[str]:
+    """Those of paths under which all blocks stand that the page's text must have."""
+    must, _ = needed(found)
+    return [p for p in paths if p and must and all(p in b.path for b in must)]
+
+
 def own_path(found: list[Block]) -> tuple[str, float]:
-    """The path of the deepest container with most of a page's prose, and its share; of several as deep, the one with most."""
+    """The path of the deepest container with all of a page's article, or, without one, with most of its prose; and its share of the prose. Of several as deep, the one with most."""
     prose: defaultdict[str, float] = defaultdict(float)
     depth: dict[str, int] = {}
     total = 0.0
     for block in found:
         if block.boilerplate:
             continue
-        weight = max(0, len(block.text()) - 2 * block.linked)
+        weight = _weight(block)
         total += weight
         for k, path in enumerate(block.path):
             prose[path] += weight
             depth[path] = k
-    able = [p for p, x in prose.items() if total and x >= MOST * total]
+    able = covering(found, list(prose)) if needed(found)[1] else [p for p, x in prose.items() if total and x >= MOST * total]
     best = max(able, key=lambda p: (depth[p], prose[p], p), default="")
     return best, prose[best] / total if best else 0.0
 
@@ -177,7 +197,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", out: str = "
     """pages with the main text of each page in out; a column of that name is replaced.
 
     Null and empty pages, and those without prose, give an empty text. Pages without a url are one host. A host's RANKED most frequent paths are tried in
-    turn, ties in order of the path; then the page's own, so that every page is read whole.
+    turn, ties in order of the path; then the page's own. One that leaves out a part of the page's article is passed over, so that every page is read whole.
     """
     pages = pages.drop(out)
     keyed = pages.withColumn("_host", host_of(F.col(url)))
@@ -194,7 +214,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", out: str = "
             texts = []
             for page, paths in zip(batch.column(place).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
                 found = blocks(page or "")
-                texts.append(text_at(found, [*(paths or []), own_path(found)[0]]))
+                texts.append(text_at(found, covering(found, [*(paths or []), own_path(found)[0]])))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*columns, out])
 
     return joined.select(*pages.columns, "_paths").mapInArrow(read, schema)

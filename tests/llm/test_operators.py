@@ -162,6 +162,17 @@ def test_consensus_overrules_a_page():
     assert html_text.text_at(found, ["/nothere", "/body/div.main"]) == "short"
 
 
+def test_no_part_of_an_article_is_left_out(spark):
+    long = "a long paragraph of the text " * 20
+    parts = ["Title here", "The lead of it", long.strip(), "Second section with some words"]
+    split = "<body><div class=top>Chrome</div><article><h1>{}</h1><p>{}</p><div class=body><p>{}</p></div><section id=b><p>{}</p></section></article><footer>f</footer></body>"
+    stray = "<body><div class=story><p>A stray line</p></div><div class=text><p>" + long + "</p></div></body>"
+    usual = "<body><div class=story><article><p>" + long + "</p></article></div></body>"
+    pages = [(i, f"http://h.org/{i}", usual) for i in range(3)] + [(3, "http://h.org/3", split.format(*parts)), (4, "http://h.org/4", stray), (5, "http://g.org/5", split.format(*parts))]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[0] == long.strip() and got[3] == got[5] == "\n".join(parts) and got[4] == "A stray line\n" + long.strip()
+
+
 # 5
 
 
