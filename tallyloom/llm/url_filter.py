@@ -1,13 +1,13 @@
 """Judges URLs by rules, and where no rule fits by two character models of the URLs that rules accept and reject.
 
 Each model is a Markov model of variable order: a character's probability after its last ORDER - 1 characters is mixed with that after fewer, by how many
-different ones were seen there (Witten and Bell). Counts are kept in hashed tables of a fixed size, so a model's size doesn't grow with the input
-while all rows are counted. The score is the difference of the two log-likelihoods, divided by the length. Rows that aren't counted (a part, by hash)
+different ones were seen there (Witten and Bell). Counts of all n-grams are exact, gathered and looked up by joins, over whole urls. The score is the difference of the two log-likelihoods, divided by the length. Rows that aren't counted (a part, by hash)
 calibrate it: the threshold is where the mean of both classes' error rates is smallest.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,17 +16,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import table
+from tallyloom.llm.common import in_slices, table, written
 
 #: host, path, verdict.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 ORDER = 5
+#: Slots of the hashed form of a small model (UrlModel), which judge() doesn't use.
 SLOTS = 1 << 16
 #: Of the rows that rules judge, one in so many calibrates and isn't counted.
 CALIBRATES = 5
 #: Scores are calibrated in steps of 1 / STEPS, between -RANGE and RANGE.
 STEPS, RANGE = 500, 4
 START = 2
+VERDICTS = ("allow", "block")
+#: Log-likelihoods are added up in steps of 1 / UNIT.
+UNIT = 1_000_000_000
 
 
 def host_of(url: Column) -> Column:
@@ -69,7 +73,7 @@ def _contexts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class UrlModel:
-    """Counts of one class: pair[k] (context of k characters and the next one), context[k], and kinds[k] (different next ones)."""
+    """A small model in hashed tables, to look at; judge() counts exactly. Counts of one class: pair[k] (context of k characters and the next one), context[k], and kinds[k] (different next ones)."""
 
     def __init__(self, pair: np.ndarray, context: np.ndarray, kinds: np.ndarray) -> None:
         self.pair, self.context, self.kinds = pair.astype(np.float64), context.astype(np.float64), kinds.astype(np.float64)
@@ -82,51 +86,50 @@ class UrlModel:
         return np.bincount(text, np.log(p), texts)
 
 
-def _count(labelled: DataFrame) -> dict[str, UrlModel]:
-    """labelled: text and verdict. The tables are of a fixed size, so what reaches the driver is bounded: 2 x ORDER x 2 x SLOTS numbers at most."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {v: np.zeros((ORDER, SLOTS), np.int64) for v in ("allow", "block")}
-        met = {v: np.zeros((ORDER, SLOTS), np.int64) for v in ("allow", "block")}
-        for batch in batches:
-            texts, verdict = np.array(batch.column(0).to_pylist(), object), np.array(batch.column(1).to_pylist())
-            for v in sums:
-                slots, pairs, _ = _contexts(list(texts[verdict == v]))
-                for k in range(ORDER):
-                    sums[v][k] += np.bincount(pairs[k], minlength=SLOTS)
-                    met[v][k][pairs[k]] = slots[k] + 1
-        for v, counted in sums.items():
-            level, slot = np.nonzero(counted)
-            yield pa.RecordBatch.from_arrays([pa.array([v] * len(slot), pa.string()), pa.array(level), pa.array(slot), pa.array(met[v][level, slot] - 1), pa.array(counted[level, slot])], names=["verdict", "level", "pair", "context", "n"])
-
-    rows = labelled.mapInArrow(count, "verdict string, level long, pair long, context long, n long")
-    rows = rows.groupBy("verdict", "level", "pair").agg(F.min("context").alias("context"), F.sum("n").alias("n")).toPandas()
-    models = {}
-    for v in ("allow", "block"):
-        pair, context, kinds = (np.zeros((ORDER, SLOTS)) for _ in range(3))
-        own = rows[rows.verdict == v]
-        pair[own.level, own.pair] = own.n
-        np.add.at(context, (own.level, own.context), own.n)
-        np.add.at(kinds, (own.level, own.context), 1)
-        models[v] = UrlModel(pair, context, kinds)
-    return models
-
-
-def with_score(df: DataFrame, text: str, models: dict[str, UrlModel], out: str = "score") -> DataFrame:
-    """df with the length-normalised difference of log-likelihoods, allow less block; 0 for an empty text."""
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
-    place, names = df.columns.index(text), [*df.columns, out]
-    shared = df.sparkSession.sparkContext.broadcast(models)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        allow, block = shared.value["allow"], shared.value["block"]
-        for batch in batches:
-            texts = [t or "" for t in batch.column(place).to_pylist()]
-            where = _contexts(texts)
-            gap = allow.log_likelihoods(*where, len(texts)) - block.log_likelihoods(*where, len(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(gap / np.maximum(1, [len(t) for t in texts]))], names=names)
-
-    return df.mapInArrow(score, schema)
+def _grams(texts: DataFrame, column: str) -> DataFrame:
+    """column, gram, n: for the characters of text in rows of texts (column, text), the last ORDER - 1 before each (START before the first) and itself, and how many there are."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches):
+            keys, grams, n = [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                padded = chr(START) * (ORDER - 1) + text
+                held = Counter(padded[i : i + ORDER] for i in range(len(text)))
+                keys += [key] * len(held)
+                grams += held.keys()
+                n += held.values()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(grams, pa.string()), pa.array(n, pa.int64())], names=[column, "gram", "n"])
+
+    schema = T.StructType([texts.schema[column], T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())])
+    return texts.select(column, "text").mapInArrow(cut, schema)
+
+
+def _counts(labelled: DataFrame) -> DataFrame:
+    """gram, allow, block: how often each class of labelled (text, verdict) has each n-gram of ORDER characters."""
+    return _grams(labelled, "verdict").groupBy("gram").agg(*(F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v) for v in VERDICTS))
+
+
+def _gaps(asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """gram, gap: for each n-gram of asked its log-probability when allowed less that when blocked, in steps of 1 / UNIT. All counts are exact, by joins."""
+    rows = asked.select("gram", *(F.lit(1 / 256).alias("p_" + v) for v in VERDICTS))
+    for k in range(ORDER):
+        pair, context = F.substring("gram", ORDER - k, k + 1), F.substring("gram", ORDER - k, k)
+        pairs = counts.groupBy(pair.alias("pair")).agg(*(F.sum(v).alias("n_" + v) for v in VERDICTS))
+        of = F.substring("pair", 1, k)
+        contexts = pairs.groupBy(of.alias("context")).agg(*(F.sum("n_" + v).alias("seen_" + v) for v in VERDICTS), *(F.count(F.when(F.col("n_" + v) > 0, 1)).alias("kinds_" + v) for v in VERDICTS))
+        rows = rows.withColumn("pair", pair).withColumn("context", context).join(pairs, "pair", "left").join(contexts, "context", "left")
+        mixed = (F.when(F.col("seen_" + v) > 0, (F.coalesce("n_" + v, F.lit(0)) + F.col("kinds_" + v) * F.col("p_" + v)) / (F.col("seen_" + v) + F.col("kinds_" + v))).otherwise(F.col("p_" + v)).alias("p_" + v) for v in VERDICTS)
+        rows = rows.select("gram", *mixed)
+    return rows.select("gram", F.round((F.log("p_allow") - F.log("p_block")) * UNIT).cast("long").alias("gap"))
+
+
+def text_scores(texts: DataFrame, counts: DataFrame) -> DataFrame:
+    """text, score of each different text that isn't empty: the length-normalised difference of log-likelihoods, allow less block. Sums are of whole numbers, so no partitioning changes them."""
+    named = written(texts.where("text <> ''").select("text").dropDuplicates().withColumn("_text", F.monotonically_increasing_id()), "urls")
+    held = written(_grams(named, "_text"), "url-grams")
+    gaps = _gaps(held.select("gram").dropDuplicates(), counts)
+    sums = held.join(gaps, "gram").groupBy("_text").agg(F.sum(F.col("gap") * F.col("n")).alias("gap"))
+    return named.join(sums, "_text").select("text", (F.col("gap") / UNIT / F.length("text")).alias("score"))
 
 
 def threshold(scored: DataFrame) -> float:
@@ -144,24 +147,37 @@ def threshold(scored: DataFrame) -> float:
     return float(grid[best[np.argmin(np.abs(grid[best]))]] - 0.5) / STEPS
 
 
+def whole_of(url: Column, host: Column) -> Column:
+    """The url with its scheme and host in lower case, so that only the rest's case counts; a null one is empty."""
+    text = F.coalesce(url, F.lit(""))
+    scheme = F.translate(F.regexp_extract(text, r"(?s)^(.*?)://", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rest = F.regexp_extract(text, r"(?s)^.*?://[^/?#]*(.*)$", 1)
+    return F.when(text.contains("://"), F.concat(scheme, F.lit("://"), host, rest)).otherwise(text)
+
+
 def judge(pages: DataFrame, url: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
     """pages with host, path, rule, verdict and score (of the models). Columns of these names are replaced.
 
-    Null urls, and those without "://", have an empty host and path, score 0 and so the models' verdict at 0. If rules judge no url, or none of one
-    verdict, every other url scores 0 and is allowed.
+    The models see whole urls, query and fragment too. Null and empty urls score 0 and so have the models' verdict at 0; those without "://" have an empty host
+    and path. If rules judge no url, or none of one verdict, every other url scores 0 and is allowed.
     """
     pages = pages.drop("host", "path", "rule", "verdict", "score")
     host, path = host_of(F.col(url)), path_of(F.col(url))
     parted = pages.withColumn("host", host).withColumn("path", path)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    parted = parted.withColumn("rule", rule).withColumn("_ruled", verdict).withColumn("_whole", F.concat("host", "path"))
+    parted = parted.withColumn("rule", rule).withColumn("_ruled", verdict).withColumn("_whole", whole_of(F.col(url), F.col("host")))
     ruled = parted.where("_ruled is not null").select(F.col("_whole").alias("text"), F.col("_ruled").alias("verdict"))
     calibrates = F.pmod(F.xxhash64("text"), F.lit(CALIBRATES)) == 0
-    models = _count(ruled.where(~calibrates))
-    if not all(m.context[0].sum() for m in models.values()):
-        models = {v: UrlModel(*(np.zeros((ORDER, SLOTS)) for _ in range(3))) for v in models}
-    cut = threshold(with_score(ruled.where(calibrates), "text", models))
-    scored = with_score(parted, "_whole", models)
+    counts = written(_counts(ruled.where(~calibrates)), "url-counts")
+    totals = counts.agg(*(F.sum(v).alias(v) for v in VERDICTS)).collect()[0]
+    if all(totals[v] for v in VERDICTS):
+        scores = written(text_scores(parted.select(F.col("_whole").alias("text")), counts), "url-scores")
+        cut = threshold(ruled.where(calibrates).join(scores, "text", "left").select(F.coalesce("score", F.lit(0.0)).alias("score"), "verdict"))
+        # empty ones take no part in the join, where they would all be in one place
+        scored = parted.where("_whole <> ''").join(scores, F.col("_whole") == F.col("text"), "left").drop("text")
+        scored = scored.withColumn("score", F.coalesce("score", F.lit(0.0))).unionByName(parted.where("_whole = ''").withColumn("score", F.lit(0.0)))
+    else:
+        cut, scored = 0.0, parted.withColumn("score", F.lit(0.0))
     verdict = F.coalesce("_ruled", F.when(F.col("score") >= cut, "allow").otherwise("block"))
     return scored.withColumn("verdict", verdict).select(*pages.columns, "host", "path", "rule", "verdict", "score")
 

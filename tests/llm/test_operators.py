@@ -221,6 +221,43 @@ def test_url_models_tell_two_languages():
     assert gap[0] > 0 > gap[1]
 
 
+def test_url_scores_are_exact_over_whole_urls(spark):
+    rng = random.Random(3)
+    kept = [f"http://x.com/fr/{rng.randrange(10**9):x}?kind=green" for _ in range(60)]
+    cut = [f"http://x.com/de/{rng.randrange(10**9):x}?kind=casino#top" for _ in range(60)]
+    other = ["http://y.net/1?kind=green", "HTTP://Y.net/1?kind=casino#top", "nothing", "😀"]
+    n, seen = url_filter.ORDER, {}
+
+    def grams(t):
+        t = chr(url_filter.START) * (n - 1) + t
+        return [t[i : i + n] for i in range(len(t) - n + 1)]
+
+    for v, texts in (("allow", kept), ("block", cut)):
+        for g in itertools.chain(*map(grams, texts)):
+            for k in range(n):
+                seen.setdefault((v, g[n - 1 - k : n - 1]), {}).setdefault(g[-1], 0)
+                seen[v, g[n - 1 - k : n - 1]][g[-1]] += 1
+
+    def likelihood(v, t):
+        total = 0.0
+        for g in grams(t):
+            p = 1 / 256
+            for k in range(n):
+                if c := seen.get((v, g[n - 1 - k : n - 1])):
+                    p = (c.get(g[-1], 0) + len(c) * p) / (sum(c.values()) + len(c))
+            total += np.log(p)
+        return total
+
+    labelled = spark.createDataFrame([(t, "allow") for t in kept] + [(t, "block") for t in cut], "text string, verdict string")
+    texts = spark.createDataFrame([(t,) for t in [*kept[:5], *cut[:5], *other, ""]], "text string")
+    got = {r["text"]: r["score"] for r in url_filter.text_scores(texts, url_filter._counts(labelled)).collect()}
+    assert set(got) == {*kept[:5], *cut[:5], *other}
+    assert all(abs(got[t] - (likelihood("allow", t) - likelihood("block", t)) / len(t)) < 1e-7 for t in got)
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(kept + cut + other[:2])], "page_id long, url string")
+    judged = {r["page_id"]: r["score"] for r in url_filter.judge(df).collect()}
+    assert judged[120] > judged[121]  # host and path are the same
+
+
 # 6
 
 
