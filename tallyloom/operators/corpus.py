@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,6 +76,23 @@ def gram_overlap(rows: DataFrame, row_id: str, text: str = "text", n: int = 5, l
     return full.select("a", "b", (both / (F.size("ga") + F.size("gb") - both)).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
+def gram_contamination(rows: DataFrame, row_id: str, other: DataFrame, other_id: str, text: str = "text", n: int = 5, least: float = 0.7) -> DataFrame:
+    """row_id, other_id, jaccard of each row and row of other whose sets of n-character runs are that similar; ids are unique. Rows whose sets are too small or large for any of other take no part."""
+    held = other.select(F.col(other_id).alias("o"), char_grams(normal_form(F.col(text)), n).alias("g")).where(F.size("g") > 0)
+    ends = held.agg(F.min(F.size("g")).alias("low"), F.max(F.size("g")).alias("high")).collect()[0]
+    low, high = ends["low"] or 0, ends["high"] or 0
+
+    @F.pandas_udf("array<string>")
+    def grams(texts: pd.Series) -> pd.Series:
+        sets = ({t[i : i + n] for i in range(len(t or "") - n + 1)} for t in texts)
+        return pd.Series([sorted(g) if g and len(g) >= least * low - 1e-9 and least * len(g) <= high + 1e-9 else None for g in sets], dtype=object)
+
+    sets = rows.select(F.col(row_id).alias("r"), grams(normal_form(F.col(text))).alias("g")).where("g is not null")
+    a, b = (s.select(x, F.size("g").alias("m" + x), F.explode("g").alias("t")) for s, x in ((sets, "r"), (held, "o")))
+    both = a.join(b, "t").where((F.col("mr") >= least * F.col("mo") - 1e-9) & (F.col("mo") >= least * F.col("mr") - 1e-9)).groupBy("r", "o", "mr", "mo").agg(F.count(F.lit(1)).alias("i"))
+    return both.select(F.col("r").alias(row_id), F.col("o").alias(other_id), (F.col("i") / (F.col("mr") + F.col("mo") - F.col("i"))).alias("jaccard")).where(F.col("jaccard") >= least)
+
+
 def degenerate(turns: DataFrame, call: str, text: str, most: int = 2) -> DataFrame:
     """Calls in which a normalised turn is repeated more than most times."""
     return turns.groupBy(call, normal_form(F.col(text)).alias("t")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(call).dropDuplicates()

@@ -48,6 +48,15 @@ def contamination_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.seen_in(docs, held).select("doc_id").dropDuplicates()
 
 
+@query("contamination_jaccard")
+def contamination_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the benchmark item that is nearest by its 5-character runs, if its Jaccard similarity is 0.7 or more."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    near = corpus.gram_contamination(docs, "doc_id", load(spark, sf_dir, "benchmark"), "item_id")
+    best = near.groupBy("doc_id").agg(F.max(F.struct(F.round("jaccard", 6).alias("jaccard"), "item_id")).alias("b"))
+    return docs.select("doc_id").join(best, "doc_id", "left").select("doc_id", "b.item_id", "b.jaccard", F.col("b").isNotNull().alias("contaminated"))
+
+
 @query("phrase_jaccard", r"""WITH s AS (SELECT p_partkey AS id, list_distinct(list_transform(range(1, length(n) - 3), lambda i: substr(n, i, 5))) AS g FROM (SELECT p_partkey, lower(p_name || ' ' || p_type || ' ' || p_brand) AS n FROM part)),
 t AS (SELECT id, len(g) AS m, unnest(g) AS t FROM s), u AS (SELECT a.id AS a, b.id AS b, count(*) AS i, any_value(a.m) AS ma, any_value(b.m) AS mb FROM t a JOIN t b ON a.t = b.t AND a.id < b.id GROUP BY ALL)
 SELECT a, b, round(i / (ma + mb - i), 6) AS jaccard FROM u WHERE i / (ma + mb - i) >= 0.95""")

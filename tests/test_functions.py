@@ -207,3 +207,13 @@ def test_vectors(spark):
 def test_largest_remainder_and_order(spark):
     w = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 1.0)], "key string, weight double")
     assert dict(corpus.largest_remainder(w, 10).collect()) == {"a": 4, "b": 3, "c": 3}
+
+
+def test_gram_contamination_against_all_pairs(spark):
+    base = ["the quick brown fox jumps over it", "pack my box with five dozen jugs", "ab", "xyzxyzxyz"]
+    docs = [base[0] + " now", base[1][:-6], base[0][:15], base[0] * 40, "xyz" * 500, "", None, "THE quick  brown fox jumps over it", "unlike the others here"]
+    grams = [{t[i : i + 5] for i in range(len(t) - 4)} for t in (" ".join((d or "").lower().split()) for d in docs + base)]
+    want = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(grams[: len(docs)]) for j, b in enumerate(grams[len(docs) :]) if a and b and len(a & b) >= 0.7 * len(a | b)}
+    left, right = (spark.createDataFrame(list(enumerate(x)), f"{n} long, text string") for n, x in (("doc_id", docs), ("item_id", base)))
+    got = {(r["doc_id"], r["item_id"]): r["jaccard"] for r in corpus.gram_contamination(left, "doc_id", right, "item_id").collect()}
+    assert got == want and {(0, 0), (4, 3), (7, 0)} <= set(got)
