@@ -147,7 +147,7 @@ def _vectors(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Codes and weights of each word's unit vector."""
     found = []
     for w in words:
-        codes, weights = triples([w[:WINDOW]])
+        codes, weights = triples([w])
         codes, which = np.unique(codes[0], return_inverse=True)
         sums = np.bincount(which, weights)
         found.append((codes, sums / np.sqrt((sums**2).sum())))
@@ -170,7 +170,10 @@ def _machine(x: np.ndarray, y: np.ndarray, c: np.ndarray, rounds: int = 100) ->
 
 
 def _nystrom(landmarks: list[str], words: list[str], y: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, float]:
-    """A weight for each triple, and the bias."""
+    """A weight for each triple, and the bias. Long words are learned in the windows that are scored, each with its word's class."""
+    landmarks = [p for w in landmarks for p in windows(w)]
+    each = [windows(w) for w in words]
+    words, y, c = [p for some in each for p in some], *(np.repeat(v, [len(some) for some in each]) for v in (y, c))
     base = _vectors(landmarks)
     place = {c: n for n, c in enumerate(sorted({int(c) for codes, _ in base for c in codes}))}
     wide = np.zeros((len(base), len(place)))
@@ -281,18 +284,17 @@ def held_out(row_id: str = "doc_id") -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "doc_id", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> ToxicityModel:
-    """Fits on a bounded sample of the labelled rows that aren't held out: rows of each class at most, and chars code points in all. The sample is by a hash of the id."""
+    """Fits on a bounded sample of the labelled rows that aren't held out: rows of each class at most, and chars code points in all. The sample is by a hash of the id; rows that don't fit any more are left out of it."""
     known = labels.where("toxic is not null").groupBy(F.col(row_id).alias("_id")).agg(F.max("toxic").alias("_toxic"))
     slim = docs.select(F.col(row_id).alias("_id"), F.length(text_or_empty(text)).alias("_size")).where(~held_out("_id"))
     sized = slim.join(known, "_id")
     chosen = []
     for label in (0, 1):
         left = chars // 2
-        for r in sized.where(F.col("_toxic") == label).orderBy(F.xxhash64("_id"), "_id").limit(rows).collect():
-            left -= r["_size"]
-            if left < 0:
-                break
-            chosen.append((r["_id"], label))
+        for r in sized.where((F.col("_toxic") == label) & (F.col("_size") <= left)).orderBy(F.xxhash64("_id"), "_id").limit(rows).collect():
+            if r["_size"] <= left:
+                left -= r["_size"]
+                chosen.append((r["_id"], label))
     ids = docs.sparkSession.createDataFrame(chosen, "_id long, _toxic int")
     found = docs.select(F.col(row_id).alias("_id"), text_or_empty(text).alias("_text")).join(F.broadcast(ids), "_id").dropDuplicates(["_id"]).orderBy("_id").collect()
     return fit([r["_text"] for r in found], [r["_toxic"] for r in found])

@@ -116,6 +116,21 @@ def test_toxicity_with_one_class_or_nothing(spark):
     assert toxicity.learn(table(spark, ODD), labels).slope == 0.0
 
 
+def test_toxicity_learns_beside_a_long_row_and_in_long_words(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"row {i}") for i in range(40)], "doc_id long, text string").where(~toxicity.held_out())
+    first = docs.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").first()[0]
+    long = docs.withColumn("text", F.when(F.col("doc_id") == first, F.lit("z" * 5000)).otherwise(F.col("text")))
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: seen.append((texts, toxic)))
+    for label in (0, 1):
+        labels = docs.select("doc_id", F.when(F.col("doc_id") == first, label).otherwise(F.col("doc_id") % 2).cast("int").alias("toxic"))
+        toxicity.learn(long, labels, chars=2000)
+        texts, toxic = seen.pop()
+        assert len(texts) == docs.count() - 1 and set(toxic) == {0, 1}
+    weight, _ = toxicity._nystrom(["q" * 30 + "idiot", "plain"], ["q" * 30 + "idiot", "plain"], np.array([1.0, -1.0]), np.array([9.0, 9.0]))
+    assert weight[toxicity.triples(["idiot"])[0][0]].any() and (weight[[(9 * 64 + 4) * 64 + 9]] > 0).all()
+
+
 # 3
 
 
