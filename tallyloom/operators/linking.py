@@ -2,64 +2,75 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.sources.shared import drop_tables, written, written_tables
 
-#: Pairs and records up to which labels (two numbers each) are broadcast; with more, all joins are shuffles.
-BROADCAST_ROWS = 1_000_000
-
+#: Nodes up to which where they go (two of their names each) is broadcast; with more, all joins are shuffles.
+BROADCAST_NODES = 1_000_000
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir, or a folder of our own where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
 
+def _aside(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_NODES else df
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back, which cuts its lineage."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (the smallest node that can be reached) of all nodes in edges (a, b: of one type with an order). Loops and null ends are left out.
 
-def link_by_shared_keys(keys: DataFrame, record: str = "id", key: str = "key", rounds: int = 60) -> DataFrame:
+    By contraction: each node moves to the node within two steps that has the smallest hash of the round, and once more from there, and edges follow. Only the places
+    moved to are left, at most a half of the nodes as expected in each round, whatever the shape: the rounds grow with the logarithm of a path's length, and a star
+    takes one. The rounds' moves are followed backwards in the end. No node's neighbours are ever gathered.
+    """
+    spark, before = edges.sparkSession, set(written_tables())
+    pairs = edges.select("a", "b").where("a <> b")
+    now = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).dropDuplicates(), "edges")
+    moves: list[tuple[DataFrame, int]] = []
+    while not now.isEmpty():
+        turn = F.lit(len(moves))
+        near = now.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", turn).alias("h"), F.col("b").alias("n"))).alias("m"))
+        least = near.select(F.col("a").alias("b"), F.least("m", F.struct(F.xxhash64("a", turn).alias("h"), F.col("a").alias("n"))).alias("m"))
+        step = now.join(least, "b").groupBy("a").agg(F.min("m").alias("m")).select(F.col("a").alias("node"), F.col("m.n").alias("up"))
+        onward = step.select(F.col("node").alias("up"), F.col("up").alias("to"))
+        moved = written(step.join(onward, "up").select("node", "to"), "moves")
+        rows = moved.count()
+        moves.append((moved, rows))
+        ends = [_aside(moved.select(F.col("node").alias(c), F.col("to").alias(c + "_to")), rows) for c in "ab"]
+        met = now.join(ends[0], "a").join(ends[1], "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))
+        now = written(met.where("a <> b").dropDuplicates(), "edges")
+    if not moves:
+        return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    label = moves[-1][0]
+    for (moved, _), (_, rows) in zip(moves[-2::-1], moves[:0:-1], strict=True):
+        on = label.select(F.col("node").alias("to"), F.col("to").alias("last"))
+        label = moved.join(_aside(on, rows), "to", "left").select("node", F.coalesce("last", "to").alias("to"))
+    label = written(label, "labels")
+    first = label.groupBy("to").agg(F.min("node").alias("component"))
+    named = written(label.join(_aside(first, moves[0][1]), "to").select("node", "component"), "components")
+    kept = named.inputFiles()[0].rsplit("/", 1)[0].rsplit("/", 1)[-1]
+    drop_tables(spark, [t for t in written_tables() if t not in before and not t.endswith(kept)])
+    return named
+
+
+def link_by_shared_keys(keys: DataFrame, record: str = "id", key: str = "key") -> DataFrame:
     """record, component: the smallest record that is reached by shared keys, transitively.
 
-    keys has a row for each record and key; a record without keys has a row with a null key and is a component of its own. The smallest label is spread
-    from records to keys and back, and labels are followed to their own label, so the distance covered at least doubles each round.
+    keys has a row for each record and key; a record without keys has a row with a null key and is a component of its own. Each record has an edge to the smallest
+    record of each of its keys, so a key that many records have costs no more than its rows. Rows without a record are left out.
     """
-    pairs = settled(keys.select(F.col(record).alias("r"), F.col(key).alias("k")).where("k is not null").dropDuplicates(), "pairs")
-    label = keys.select(F.col(record).alias("r")).dropDuplicates().withColumn("c", F.col("r"))
-    if max(pairs.count(), label.count()) <= BROADCAST_ROWS:
-        aside = F.broadcast
-    else:
-
-        def aside(df: DataFrame) -> DataFrame:
-            return df
-
-    for _ in range(rounds):
-        low = pairs.join(aside(label), "r").groupBy("k").agg(F.min("c").alias("m"))
-        near = pairs.join(aside(low), "k").groupBy("r").agg(F.min("m").alias("m"))
-        spread = label.join(aside(near), "r", "left").select("r", F.col("c").alias("was"), F.least("c", "m").alias("c"))
-        onward = label.select(F.col("r").alias("o"), F.col("c").alias("oc"))
-        new = settled(spread.join(aside(onward), spread["c"] == onward["o"]).select("r", "was", F.least("c", "oc").alias("c")), "labels")
-        label = new.select("r", "c")
-        if new.where("c <> was").isEmpty():
-            return label.select(F.col("r").alias(record), F.col("c").alias("component"))
-    raise RuntimeError("components did not settle")
+    rows = keys.select(F.col(record).alias("r"), F.col(key).alias("k")).where("r is not null")
+    low = rows.where("k is not null").groupBy("k").agg(F.min("r").alias("m"))
+    edges = rows.where("k is not null").join(low, "k").select(F.col("r").alias("a"), F.col("m").alias("b"))
+    label = components(edges)
+    found = rows.select("r").dropDuplicates().join(label, F.col("r") == F.col("node"), "left")
+    return found.select(F.col("r").alias(record), F.coalesce("component", "r").alias("component"))
 
 
 def merge_overlay(label: DataFrame, overlay: DataFrame, most_share: float = 0.5) -> DataFrame:
     """Components joined further by a second grouping (id, cluster): a cluster only counts if it isn't noise (negative) and holds most_share of all records at most."""
     total = label.count()
-    sized = overlay.where("cluster >= 0").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cluster"))).where(F.col("n") <= most_share * total)
+    able = overlay.where("cluster >= 0").groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most_share * total)
+    sized = overlay.join(able, "cluster")
     keys = label.select("id", F.concat(F.lit("c"), "component").alias("key")).unionByName(sized.select("id", F.concat(F.lit("t"), "cluster").alias("key")))
     return link_by_shared_keys(keys)
 
