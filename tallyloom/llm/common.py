@@ -5,17 +5,15 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Written tables of this session that later steps may drop.
-_tables: list[str] = []
+from tallyloom.sources.shared import drop_tables, drop_written, shared_folder, written, written_tables
 
+__all__ = ["drop_tables", "drop_written", "shared_folder", "written", "written_tables"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,30 +24,6 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or a folder of our own where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table into the shared folder and reads it back: cuts the lineage, and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _tables.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_written(spark: SparkSession) -> None:
-    """Deletes the tables that written() made; only call it once nothing reads them any more."""
-    while _tables:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """name, or name with underscores before it where the input has such a column already."""
     taken = {c.lower() for c in df.columns}
@@ -62,19 +36,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def drop_tables(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes some of the tables that written() made."""
-    for where in paths:
-        if where in _tables:
-            _tables.remove(where)
-        path = spark._jvm.org.apache.hadoop.fs.Path(where)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def written_tables() -> list[str]:
-    return list(_tables)
-
-
 def give_back() -> None:
     """Returns free memory to the system: a worker may lie idle for a while after its task."""
     gc.collect()

@@ -2,18 +2,20 @@
 
 1. Which documents can have a link at all, exactly. Of a set's shingles in order of their hashes, a prefix must hold a known number of shingles that are also in
    its partner's prefix. Batches of documents send their prefixes, each different shingle once, to the parts of the hash space, and get back how many another document has too.
-2. The sets of those documents, once for each different set, meet by smallest hashes: two sets with a link agree in one with probability 0.8 or more. Where
-   they meet, a signature tree (nodes with OR-combined bitmaps, size ranges and the most collisions) is traversed against itself: node pairs
-   whose largest possible overlap is too small are left out, and so are those already in one group. What remains is compared in full.
-3. Groups are joined by what they share. Later keys only bring together sets of different groups, until KEYS have been used: a link at the threshold
-   is found with probability 1 - 0.2 ** KEYS, any closer one with more.
-
-A place where more than MEETING sets meet is first split at random, anew for each key, which settles large groups at little cost. Afterwards every two sets of such
-a place that aren't in one group yet are compared in full: its largest group and its other sets are cut into blocks, and all pairs of blocks but those within that group meet.
+2. The different sets of those documents are classes, told by a digest of 128 bits. Most groups are settled at little cost where classes agree in a smallest hash.
+3. What is left is found exactly. Each class has a prefix of shingles, rare ones first, in which any partner must share one, and a longer one in which it must share
+   more: classes that share too few with other groups go. The others meet at the shingles of their prefixes; of shingles with the same classes, one will do.
+
+Where classes meet, a signature tree (nodes with OR-combined bitmaps, size ranges and the most collisions) is traversed against itself or another: node pairs
+whose largest possible overlap is too small are left out, and so are those already in one group. What remains is compared in full.
+
+A place of more than MEETING classes, or of very long ones, is cut into blocks, all pairs of which meet but those within the place's largest group. No pair that could have a link is left out
+anywhere; only the first step over smallest hashes splits large places at random, since whatever it misses is found afterwards.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -23,13 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import give_back, in_slices, shuffle_partitions, table, text_or_empty, written
-from tallyloom.llm.components import components
 from tallyloom.llm.shingles import WIDTH, mixed, shingle_sets
+from tallyloom.operators.linking import components
 
-#: Keys used in each pass.
-PASSES = ((0, 1), tuple(range(2, 12)))
-KEYS = sum(map(len, PASSES))
+#: Smallest hashes by which groups are settled first.
+KEYS = 2
 MEETING, LEAF, BITS = 1500, 8, 1024
+#: Shingles of a place that stay together in one task, and sets of a node that are compared at once in blocks.
+TOGETHER, NODE = 4_000_000, 64
+#: Shingles that are put last in prefixes because many classes have them, at most. Any order gives the same links; this one keeps common shingles out of prefixes.
+COMMON = 65_536
 BATCH = 2000
 #: In blocks of a large place: shingles with a column of bits, and pairs of sets, at a time.
 COLUMNS, PAIRS = 4096, 1 << 20
@@ -82,9 +87,17 @@ class Tree:
         return found
 
 
-def links(sets: list[np.ndarray]) -> list[int]:
-    """For each set the place of the first set of its group, by a dual traversal of the signature tree."""
-    parent = list(range(len(sets)))
+def too_far(x: tuple[np.ndarray, int, int, int], y: tuple[np.ndarray, int, int, int]) -> bool:
+    """Whether no set of one node can have a link to one of the other: by their sizes, or by the largest overlap that their bitmaps allow."""
+    if 5 * x[2] < 4 * y[1] or 5 * y[2] < 4 * x[1]:
+        return True
+    return 9 * (int(np.bitwise_count(x[0] & y[0]).sum()) + min(x[3], y[3])) < 4 * (x[1] + y[1])
+
+
+def links(sets: list[np.ndarray], groups: list[int] | None = None) -> list[int]:
+    """For each set the place of the first set of its group, by a dual traversal of the signature tree. Sets of equal groups are together from the start."""
+    first_of: dict[int, int] = {}
+    parent = list(range(len(sets))) if groups is None else [first_of.setdefault(g, i) for i, g in enumerate(groups)]
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -99,16 +112,11 @@ def links(sets: list[np.ndarray]) -> list[int]:
         a, b, c, d = todo.pop()
         same = (a, b) == (c, d)
         if b - a > LEAF or d - c > LEAF or not same:
-            x, y = tree.node(a, b), tree.node(c, d)
-            if 5 * x[2] < 4 * y[1] or 5 * y[2] < 4 * x[1]:
+            if not same and too_far(tree.node(a, b), tree.node(c, d)):
+                continue
+            first = root(order[a])
+            if all(root(order[k]) == first for k in range(a, b)) and all(root(order[k]) == first for k in range(c, d)):
                 continue
-            if not same:
-                most = int(np.bitwise_count(x[0] & y[0]).sum()) + min(x[3], y[3])
-                if 9 * most < 4 * (x[1] + y[1]):
-                    continue
-                first = root(order[a])
-                if all(root(order[k]) == first for k in range(a, b)) and all(root(order[k]) == first for k in range(c, d)):
-                    continue
         if b - a <= LEAF and d - c <= LEAF:
             for i in range(a, b):
                 for j in range(max(c, i + 1) if same else c, d):
@@ -170,7 +178,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def cross_links(sets: list[np.ndarray], groups: list[int], blocks: list[int]) -> list[tuple[int, int]]:
-    """Links, as places of two sets, that join the groups of two blocks, or of one if there is only one: every two sets of different groups are compared."""
+    """Links, as places of two sets, that join the groups of two blocks, or of one if there is only one: nodes of both blocks' trees that may hold a link are compared in full."""
     parent: dict[int, int] = {}
 
     def root(g: int) -> int:
@@ -183,17 +191,37 @@ def cross_links(sets: list[np.ndarray], groups: list[int], blocks: list[int]) ->
     two = [i for i, b in enumerate(blocks) if b != low] or one
     size = np.array([len(s) for s in sets])
     of = np.unique(groups, return_inverse=True)[1]
-    both = overlaps([sets[i] for i in one], [sets[j] for j in two])
-    near = (9 * both.astype(np.int64) >= 4 * (size[one][:, None] + size[two][None, :])) & (of[one][:, None] != of[two][None, :])
+    trees = [Tree([sets[i] for i in side]) for side in (one, two)]
     found = []
-    for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-        p, q = root(groups[one[i]]), root(groups[two[j]])
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            found.append((one[i], two[j]))
+    todo = [(0, len(one), 0, len(two))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if too_far(trees[0].node(a, b), trees[1].node(c, d)):
+            continue
+        if b - a > NODE or d - c > NODE:
+            left = [(a, b)] if b - a <= NODE else [(a, (a + b) // 2), ((a + b) // 2, b)]
+            right = [(c, d)] if d - c <= NODE else [(c, (c + d) // 2), ((c + d) // 2, d)]
+            todo += [(*x, *y) for x in left for y in right]
+            continue
+        some, others = [one[i] for i in trees[0].order[a:b]], [two[j] for j in trees[1].order[c:d]]
+        apart = of[some][:, None] != of[others][None, :]
+        if not apart.any():
+            continue
+        both = overlaps([sets[i] for i in some], [sets[j] for j in others])
+        near = (9 * both.astype(np.int64) >= 4 * (size[some][:, None] + size[others][None, :])) & apart
+        for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+            p, q = root(groups[some[i]]), root(groups[others[j]])
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                found.append((some[i], others[j]))
     return found
 
 
+def digest(s: np.ndarray) -> bytes:
+    """128 bits that tell a set."""
+    return hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest()
+
+
 def sizes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Batches of docs (_id, _whole) as rows for the parts of the hash space that they ask: see candidates()."""
     parts = max(shuffle_partitions(docs.sparkSession), docs.count() // PART_ROWS)
@@ -220,7 +248,7 @@ def sizes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)]).tolist()
                 rows = [(int(part[a]), name, struct.pack("<Q", b - a) + tokens[a:b].astype("<u8").tobytes() + owner[a:b].tobytes()) for a, b in zip(starts, [*starts[1:], len(part)], strict=True)]
                 ids = some.column(0)
-                own = struct.pack("<Q", len(sets)) + np.array([len(s) for s in sets], "<i8").tobytes() + here.astype("<i8").tobytes() + np.array([int(mixed(s).sum(dtype=np.uint64)) if len(s) else 0 for s in sets], "<u8").tobytes()
+                own = struct.pack("<Q", len(sets)) + np.array([len(s) for s in sets], "<i8").tobytes() + here.astype("<i8").tobytes() + b"".join(map(digest, sets))
                 own += np.packbits(np.array([not x for x in ids.is_valid().to_pylist()], bool)).tobytes() + np.asarray(ids.fill_null(0)).astype("<i8").tobytes()
                 rows.append((-1, name, own))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "batch", "payload"])
@@ -271,20 +299,21 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each batch: its documents' ids, sizes, sums of hashes, and whether they can have a link."""
+    """For each batch: its documents' ids, sizes, digests, and whether they can have a link."""
     for _, rows in _groups(batches, 1):
         ((own,),) = ((p,) for kind, p in rows if kind)
         (n,) = struct.unpack_from("<Q", own)
-        size, here, digest = (np.frombuffer(own, t, n, 8 + 8 * n * k) for k, t in enumerate(("<i8", "<i8", "<i8")))
-        null = np.unpackbits(np.frombuffer(own, np.uint8, -(-n // 8), 8 + 24 * n), count=n).astype(bool)
-        ids = np.frombuffer(own, "<i8", n, 8 + 24 * n + -(-n // 8))
+        size, here = (np.frombuffer(own, "<i8", n, 8 + 8 * n * k) for k in range(2))
+        told = [own[8 + 16 * n + 16 * k : 24 + 16 * n + 16 * k] for k in range(n)]
+        null = np.unpackbits(np.frombuffer(own, np.uint8, -(-n // 8), 8 + 32 * n), count=n).astype(bool)
+        ids = np.frombuffer(own, "<i8", n, 8 + 32 * n + -(-n // 8))
         count = here.copy()
         for kind, payload in rows:
             if not kind:
                 got = np.frombuffer(payload, "<u2")
                 count[: len(got)] += got
         need = np.array([prefix_of(int(k))[1] for k in size])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null), pa.array(size), pa.array(digest), pa.array((count >= need) & (size > 0))], names=["_id", "_n", "_digest", "_can"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null), pa.array(size), pa.array(told, pa.binary()), pa.array((count >= need) & (size > 0))], names=["_id", "_n", "_digest", "_can"])
 
 
 def candidates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -293,7 +322,7 @@ def candidates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     told = asked.where("part >= 0").repartition("part").sortWithinPartitions("part").mapInArrow(_shared, "batch long, payload binary")
     own = asked.where("part < 0").select("batch", F.lit(True).alias("own"), "payload")
     both = told.select("batch", F.lit(False).alias("own"), "payload").unionByName(own).repartition("batch").sortWithinPartitions("batch")
-    return both.mapInArrow(_decide, "_id long, _n long, _digest long, _can boolean")
+    return both.mapInArrow(_decide, "_id long, _n long, _digest binary, _can boolean")
 
 
 def _with_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -301,108 +330,184 @@ def _with_sets(docs: DataFrame, width: int) -> DataFrame:
         for some in in_slices(batches):
             if some.num_rows:
                 sets = shingle_sets(some.column(1).to_pylist(), width)
-                digest = [int(mixed(s).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
-                least = [[int(mixed(s ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).min().astype(np.int64)) for k in range(KEYS)] for s in sets]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(digest, pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["_id", "_digest", "_keys", "_set"])
+                least = [[int(mixed(s ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).min().astype(np.int64)) for k in range(KEYS)] if len(s) else [] for s in sets]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(map(digest, sets), pa.binary()), pa.array(least, pa.list_(pa.int64())), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["_id", "_digest", "_keys", "_set"])
+
+    return docs.select("_id", "_whole").mapInArrow(make, "_id long, _digest binary, _keys array<long>, _set binary").where(F.size("_keys") > 0)
 
-    return docs.select("_id", "_whole").mapInArrow(make, "_id long, _digest long, _keys array<long>, _set binary")
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets that meet at a key: links between the first of each group and its others."""
+    """Classes that meet at a smallest hash: links between the first of each group and its others."""
     for _, rows in _groups(batches, 3):
         if len(rows) > 1:
             rows.sort(key=lambda r: r[0])
             first = links([np.frombuffer(s, "<u8") for _, s in rows])
-            a, b = [rows[f][0] for i, f in enumerate(first) if f != i], [rows[i][0] for i, f in enumerate(first) if f != i]
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            found = [(rows[f][0], rows[i][0]) for i, f in enumerate(first) if f != i]
+            if found:
+                yield _edges(found)
 
 
 def _meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets of two blocks of a large place: links that join their groups."""
-    for (*_, x, y), rows in _groups(batches, 4):
-        if x == y or len({r[0] for r in rows}) == 2:
-            rows.sort(key=lambda r: r[1])
-            found = cross_links([np.frombuffer(r[3], "<u8") for r in rows], [r[2] for r in rows], [r[0] for r in rows])
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i, _ in found], pa.int64()), pa.array([rows[j][1] for _, j in found], pa.int64())], names=["a", "b"])
+    """Classes of a place, or of two blocks of a large one: links that join their groups."""
+    for (_, cut, x, y), rows in _groups(batches, 4):
+        if x != y and len({r[0] for r in rows}) < 2:
+            continue
+        rows.sort(key=lambda r: r[1])
+        sets, groups = [np.frombuffer(r[3], "<u8") for r in rows], [r[2] for r in rows]
+        if cut:
+            found = cross_links(sets, groups, [r[0] for r in rows])
+        else:
+            first = links(sets, groups)
+            firsts = {g: i for i, g in reversed([*enumerate(groups)])}
+            found = [(first[i], i) for i in firsts.values() if first[i] != i]
+        if found:
+            yield _edges([(rows[i][1], rows[j][1]) for i, j in found])
 
 
-def _keyed(classes: DataFrame, keys: tuple[int, ...], label: DataFrame | None) -> DataFrame:
-    """_class, _k, _v and _group for each of keys."""
-    rows = classes.select("_class", F.explode(F.arrays_zip(F.array(*map(F.lit, keys)).alias("k"), F.array(*(F.col("_keys")[k] for k in keys)).alias("v"))).alias("z")).select("_class", F.col("z.k").alias("_k"), F.col("z.v").alias("_v"))
-    if label is None:
-        return rows.withColumn("_group", F.col("_class"))
-    held = F.broadcast(label) if label.count() <= BROADCAST_IDS else label
-    return rows.join(held, F.col("_class") == F.col("node"), "left").select("_class", "_k", "_v", F.coalesce("component", "_class").alias("_group"))
+def _aside(df: DataFrame) -> DataFrame:
+    """df, broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def _places(rows: DataFrame) -> DataFrame:
-    """Where sets of different groups meet, and how many sets: _m."""
-    return rows.groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_m"), F.min("_group").alias("_lo"), F.max("_group").alias("_hi")).where("_lo < _hi").select("_k", "_v", "_m")
+def _settling(classes: DataFrame) -> DataFrame:
+    """Links of classes that agree in a smallest hash; where more than MEETING do, of those in one part of the place."""
+    zipped = F.arrays_zip(F.array(*map(F.lit, range(KEYS))).alias("k"), F.col("_keys").alias("v"))
+    rows = classes.select("_class", F.explode(zipped).alias("z")).select("_class", F.col("z.k").alias("_k"), F.col("z.v").alias("_v"))
+    places = rows.groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
+    met = rows.join(places, ["_k", "_v"]).withColumn("_salt", F.pmod(F.xxhash64("_class", "_k"), F.ceil(F.col("_m") / MEETING)))
+    met = met.select("_class", "_k", "_v", "_salt").join(classes.select("_class", "_set"), "_class")
+    met = met.select("_k", "_v", "_salt", "_class", "_set").repartition("_k", "_v", "_salt").sortWithinPartitions("_k", "_v", "_salt")
+    return written(met.mapInArrow(_meet, "a long, b long"), "links")
 
 
-def large_links(classes: DataFrame, label: DataFrame | None) -> DataFrame | None:
-    """Edges between groups that only meet where more than MEETING sets do; None if there is no such place.
+def common_shingles(classes: DataFrame, most: int = COMMON) -> np.ndarray:
+    """Shingles that a hundredth of a batch's sets have, in order of how many sets have them: at most so many, to put them last in prefixes."""
 
-    A place's largest group is cut into blocks, and so are its other sets. All pairs of blocks meet, but for those within the largest group.
-    """
-    rows = _keyed(classes, tuple(range(KEYS)), label)
-    large = written(_places(rows).where(F.col("_m") > MEETING), "large-places")
-    if large.isEmpty():
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in in_slices(batches, BATCH):
+            flat = np.concatenate([np.frombuffer(s, "<u8") for s in some.column(0).to_pylist()]) if some.num_rows else np.zeros(0, "<u8")
+            known, n = np.unique(flat, return_counts=True)
+            often = (n > 8) & (n * 100 >= some.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(known[often].view("<i8")), pa.array(n[often].astype(np.int64))], names=["token", "n"])
+
+    rows = classes.select("_set").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(most)
+    return np.array([r["token"] for r in rows.collect()][::-1], np.int64).view(np.uint64)
+
+
+def prefix(s: np.ndarray, common: np.ndarray, rank: np.ndarray, size: int) -> np.ndarray:
+    """The first shingles of a set, by hash, common ones last. common is ascending, and rank the place of each of them in their order."""
+    if not len(common):
+        return s[:size]
+    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+    last = common[at] == s
+    rest = s[~last]
+    if len(rest) >= size:
+        return rest[:size]
+    return np.concatenate([rest, s[last][np.argsort(rank[at[last]], kind="stable")][: size - len(rest)]])
+
+
+def _prefixes(grouped: DataFrame, common: np.ndarray) -> DataFrame:
+    """_class, _group, _n (shingles), _token, _basic of grouped (_class, _group, _set): the longer prefix of each class. A partner shares one of the basic part, and _need of all."""
+    order = np.argsort(common, kind="stable")
+    known, rank = common[order], order
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in in_slices(batches):
+            if not some.num_rows:
+                continue
+            sets = [np.frombuffer(s, "<u8") for s in some.column(2).to_pylist()]
+            rows = [prefix(s, known, rank, prefix_of(len(s))[0]) for s in sets]
+            long = [len(r) for r in rows]
+            basic = np.concatenate([np.arange(len(r)) < len(s) - least_overlap(len(s)) + 1 for r, s in zip(rows, sets, strict=True)])
+            owner, total = np.repeat(np.arange(len(sets)), long), np.array([len(s) for s in sets], np.int64)
+            need = np.array([prefix_of(int(n))[1] for n in total], np.int64)
+            own = [pa.array(np.asarray(some.column(k))[owner]) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(total[owner]), pa.array(need[owner]), pa.array(np.concatenate(rows).astype("<u8").view("<i8")), pa.array(basic)], names=["_class", "_group", "_n", "_need", "_token", "_basic"])
+
+    return grouped.select("_class", "_group", "_set").mapInArrow(cut, "_class long, _group long, _n long, _need long, _token long, _basic boolean")
+
+
+def exact_links(classes: DataFrame, label: DataFrame | None) -> DataFrame | None:
+    """All links between different groups that are needed to join them; None if no two groups meet. label: node, component, of the classes that are in a group already."""
+    slim = classes.select("_class", "_set")
+    grouped = slim.withColumn("_group", F.col("_class"))
+    if label is not None:
+        grouped = slim.join(_aside(label), F.col("_class") == F.col("node"), "left").select("_class", "_set", F.coalesce("component", "_class").alias("_group"))
+    rows = written(_prefixes(grouped, common_shingles(classes)), "prefix-tokens")
+    for _ in range(2):  # classes that go take shingles with them, so that others can go as well
+        apart = rows.groupBy("_token").agg(F.min("_group").alias("_lo"), F.max("_group").alias("_hi")).where("_lo < _hi").select("_token")
+        able = rows.join(apart, "_token").groupBy("_class", "_need").agg(F.count(F.lit(1)).alias("_shared")).where("_shared >= _need").select("_class")
+        rows = written(rows.join(_aside(written(able, "able")), "_class", "left_semi"), "prefix-tokens")
+    rows = rows.where("_basic").select("_token", "_class", "_group", "_n")
+    who = [F.bit_xor(F.xxhash64("_class", F.lit(k))).alias(f"_x{k}") for k in range(2)]
+    places = rows.groupBy("_token").agg(F.count(F.lit(1)).alias("_m"), F.sum("_n").alias("_all"), F.min("_group").alias("_lo"), F.max("_group").alias("_hi"), F.min("_class").alias("_first"), F.max("_class").alias("_last"), *who).where("_lo < _hi")
+    # of places with the same classes one is enough
+    places = written(places.groupBy("_m", "_all", "_first", "_last", "_x0", "_x1").agg(F.min("_token").alias("_token")).select("_token", "_m", "_all"), "places")
+    if places.isEmpty():
         return None
-    rows = written(rows.join(large, ["_k", "_v"]), "large-rows")
-    groups = rows.groupBy("_k", "_v", "_m", "_group").agg(F.count(F.lit(1)).alias("_n"))
-    most = groups.groupBy("_k", "_v").agg(F.max("_m").alias("_all"), F.max(F.struct("_n", "_group")).alias("_most"))
-    half = max(1, MEETING // 2)
-    cut = most.select("_k", "_v", F.col("_most._group").alias("_largest"), F.ceil((F.col("_all") - F.col("_most._n")) / half).alias("_r"), F.ceil(F.col("_most._n") / half).alias("_b"))
-    rows = rows.join(cut, ["_k", "_v"])
-    largest, salt = F.col("_group") == F.col("_largest"), F.xxhash64("_class", "_k")
+    large = (F.col("_m") > MEETING) | (F.col("_all") > TOGETHER)
+    rows = written(rows.join(_aside(places), "_token").withColumn("_cut", large), "met")
+    zero = F.lit(0).cast("long")
+    whole = rows.where("not _cut").select("_token", "_cut", zero.alias("_x"), zero.alias("_y"), zero.alias("_block"), "_class", "_group")
+    split = rows.where("_cut")
+    if not split.isEmpty():
+        whole = whole.unionByName(_block_pairs(split))
+    met = whole.join(slim, "_class").select("_token", "_cut", "_x", "_y", "_block", "_class", "_group", "_set")
+    met = met.repartition("_token", "_x", "_y").sortWithinPartitions("_token", "_cut", "_x", "_y")
+    return written(met.mapInArrow(_meet_blocks, "a long, b long"), "links")
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """Rows of large places once for each pair of blocks (_x, _y) that they meet in.
+
+    A place's largest group is cut into blocks, and so are its other classes. All pairs of blocks meet, but for those within the largest group.
+    """
+    groups = rows.groupBy("_token", "_m", "_all", "_group").agg(F.count(F.lit(1)).alias("_count"))
+    most = groups.groupBy("_token", "_m", "_all").agg(F.max(F.struct("_count", "_group")).alias("_most"))
+    half = F.greatest(F.lit(1), F.least(F.lit(MEETING // 2), F.floor(F.col("_m") * (TOGETHER // 2) / F.col("_all"))))
+    cut = most.withColumn("_half", half).select("_token", F.col("_most._group").alias("_largest"), F.ceil((F.col("_m") - F.col("_most._count")) / F.col("_half")).alias("_r"), F.ceil(F.col("_most._count") / F.col("_half")).alias("_b"))
+    rows = rows.join(cut, "_token")
+    largest, salt = F.col("_group") == F.col("_largest"), F.xxhash64("_class", "_token")
     rows = rows.withColumn("_block", F.when(largest, F.col("_r") + F.pmod(salt, "_b")).otherwise(F.pmod(salt, "_r")))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(largest, F.col("_r") - 1).otherwise(F.col("_r") + F.col("_b") - 1))))
-    rows = rows.select("_k", "_v", F.least("_block", "_other").alias("_x"), F.greatest("_block", "_other").alias("_y"), "_block", "_class", "_group").join(classes.select("_class", "_set"), "_class")
-    met = rows.select("_k", "_v", "_x", "_y", "_block", "_class", "_group", "_set").repartition("_k", "_v", "_x", "_y").sortWithinPartitions("_k", "_v", "_x", "_y")
-    return written(met.mapInArrow(_meet_blocks, "a long, b long"), "links")
+    return rows.select("_token", "_cut", F.least("_block", "_other").alias("_x"), F.greatest("_block", "_other").alias("_y"), "_block", "_class", "_group")
 
 
 def class_links(classes: DataFrame) -> DataFrame | None:
-    """node, component of classes (_class, _keys, _set: different sets) that have a link; None if no two meet."""
-    found, label = None, None
-    for keys in (*PASSES, None):
-        if keys is None:
-            edges = large_links(classes, label)
-        else:
-            rows = _keyed(classes, keys, label)
-            met = rows.join(_places(rows), ["_k", "_v"]).withColumn("_salt", F.pmod(F.xxhash64("_class", "_k"), F.ceil(F.col("_m") / MEETING)))
-            met = met.select("_class", "_k", "_v", "_salt").join(classes.select("_class", "_set"), "_class")
-            met = met.select("_k", "_v", "_salt", "_class", "_set").repartition("_k", "_v", "_salt").sortWithinPartitions("_k", "_v", "_salt")
-            edges = written(met.mapInArrow(_meet, "a long, b long"), "links")
-        if edges is not None and not edges.isEmpty():
-            found = edges if found is None else found.unionByName(edges)
-            label = components(found)
-    return label
+    """node, component of classes (_class, _keys, _set: different sets) that have a link; None if no two have."""
+    settled = _settling(classes)
+    label = None if settled.isEmpty() else components(settled)
+    rest = exact_links(classes, label)
+    if rest is None or rest.isEmpty():
+        return label
+    return components(settled.unionByName(rest))
 
 
 def near_copies(df: DataFrame, text: str = "text", row_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach) of each row of df, and its columns otherwise not.
 
     Null and empty texts, and those without words, have no shingles and are linked with nothing. Rows of one id are linked as different documents are. Rows
-    without an id are linked too, but never name a component: theirs is null if no row of it has an id.
+    without an id are linked too, and link others, but never name a component: theirs is null if no row of it has an id.
     """
     docs = df.select(F.col(row_id).cast("long").alias("_id"), text_or_empty(text).alias("_whole"))
     sized = written(candidates(docs, width), "sizes")
-    able = sized.where("_can and _id is not null").select("_id").dropDuplicates()
-    if able.count() <= BROADCAST_IDS:
-        able = F.broadcast(able)
-    sets = _with_sets(docs.join(able, "_id", "left_semi"), width)
-    classes = written(sets.groupBy("_digest").agg(F.min("_id").alias("_class"), F.first("_keys").alias("_keys"), F.first("_set").alias("_set")), "classes")
+    able = _aside(sized.where("_can and _id is not null").select("_id").dropDuplicates())
+    sets = _with_sets(docs.join(able, "_id", "left_semi").unionByName(docs.where("_id is null")), width)
+    merged = sets.groupBy("_digest").agg(F.min("_id").alias("_id"), F.first("_keys").alias("_keys"), F.first("_set").alias("_set"))
+    classes = written(merged.withColumn("_class", F.monotonically_increasing_id()), "classes")
     label = class_links(classes)
-    named = classes.select(F.col("_digest").alias("_d"), "_class")
+    named = classes.select(F.col("_digest").alias("_d"), "_class", F.col("_id").alias("_least"))
     if label is not None:
-        named = named.join(label, F.col("_class") == F.col("node"), "left").select("_d", F.coalesce("component", "_class").alias("_class"))
+        named = named.join(_aside(label), F.col("_class") == F.col("node"), "left").select("_d", F.coalesce("component", "_class").alias("_class"), "_least")
+        least = written(named.groupBy("_class").agg(F.min("_least").alias("_least")), "named")
+        named = named.drop("_least").join(_aside(least), "_class")
+    named = written(named.select("_d", "_least"), "named")
     # most documents can have no link; they take no part in the join
-    met = sized.where("_can").join(named, F.col("_digest") == F.col("_d"), "left").select("_id", "_n", F.coalesce("_class", "_id").alias("_first"))
+    met = sized.where("_can").join(_aside(named), F.col("_digest") == F.col("_d"), "left").select("_id", "_n", F.coalesce("_least", "_id").alias("_first"))
     result = met.unionByName(sized.where("not _can").select("_id", "_n", F.col("_id").alias("_first")))
     return result.select(F.col("_id").alias(row_id), F.col("_n").alias("n_shingles"), F.col("_first").alias("component_id"))
 

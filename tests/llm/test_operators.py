@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyloom.llm import exact_dedup, hnsw, html_text, jaccard_join, packing, pieces, quality, shingles, toxicity, url_filter, wavelet, word_bpe
-from tallyloom.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", " ", "one", "a\tb  c\n", "a b c ", "日本 😀 x́", "\x00\x01", "long " * 30_000, "<|endoftext|> A", "▁x  y", "a b c"]
@@ -368,10 +367,40 @@ def test_shingles_count_words_as_stated():
     assert [len(s) for s in got] == [2, 2, 1, 0, 0, 5, 1] and (got[0] == got[1]).all() and (got[2] != got[6]).all()
 
 
-def test_components(spark):
-    edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 1), (20, 21), (30, 30)] + [(100 + k, 101 + k) for k in range(40)]
-    got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
-    assert {got[k] for k in (1, 2, 3, 7, 8, 9)} == {1} and got[21] == 20 and {got[100 + k] for k in range(41)} == {100} and 30 not in got
+def test_rows_without_an_id_are_linked_and_bridge(spark):
+    w = words(5, 60).split()
+    near = [" ".join([*w[:k], "edit", *w[k + 1 :]]) for k in (0, 59)]  # each links to w, but not to one another
+    rows = [(5, near[0]), (None, " ".join(w)), (9, near[1]), (None, words(6, 30)), (None, words(6, 30)), (7, words(8, 30)), (7, words(8, 30))]
+    want = [c for _, c in brute_components([t for _, t in rows], [i if i is not None else 1 << 40 for i, _ in rows])]
+    got = jaccard_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"] is not None) == [(5, 5), (7, 7), (7, 7), (9, 5)] and want[0] == want[2]
+    assert sorted([r["component_id"] for r in got if r["doc_id"] is None], key=str) == [5, None, None]
+
+
+@pytest.mark.parametrize("meeting,common", [(1500, 65536), (20, 65536), (4, 0)])
+def test_no_link_is_lost_under_a_shared_template(spark, monkeypatch, meeting, common):
+    """Pairs that only differ from all others by a few words, in places that every text takes part in. Without the step over smallest hashes nothing is found by luck."""
+    monkeypatch.setattr(jaccard_join, "MEETING", meeting)
+    monkeypatch.setattr(jaccard_join, "_settling", lambda classes: classes.sparkSession.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(jaccard_join.common_shingles, "__defaults__", (common,)) if common else monkeypatch.setattr(jaccard_join, "common_shingles", lambda classes: np.zeros(0, np.uint64))
+    stem, texts = words(70, 84), []
+    for pair in range(30):
+        shared = words(100 + pair, 5)
+        texts += [f"{stem} {shared} {words(200 + 2 * pair + k, 7)}" for k in (0, 1)]
+    ids = list(range(len(texts)))
+    want = brute_components(texts, ids)
+    assert len({c for _, c in want}) == 30
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_copies(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in ids] == want
+
+
+def test_a_long_chain_of_near_copies_is_one_group(spark):
+    base = words(31, 400).split()
+    texts = [" ".join(base[k * 3 : k * 3 + 120]) for k in range(90)]
+    ids = list(range(90))
+    random.Random(4).shuffle(ids)
+    got = jaccard_join.near_copies(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {0}
 
 
 # 7
