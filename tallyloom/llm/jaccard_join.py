@@ -4,7 +4,7 @@
    its partner's prefix. Batches of documents send their prefixes, each different shingle once, to the parts of the hash space, and get back how many another document has too.
 2. The different sets of those documents are classes, told by a digest of 128 bits. Most groups are settled at little cost where classes agree in a smallest hash.
 3. What is left is found exactly. Each class has a prefix of shingles, rare ones first, in which any partner must share one, and a longer one in which it must share
-   more: classes that share too few with other groups go. The others meet at the shingles of their prefixes; of shingles with the same classes, one will do.
+   more: classes that share too few with other groups go. The others meet at the shingles of their prefixes; shingles that have the same class first (by a hash) are one place.
 
 Where classes meet, a signature tree (nodes with OR-combined bitmaps, size ranges and the most collisions) is traversed against itself or another: node pairs
 whose largest possible overlap is too small are left out, and so are those already in one group. What remains is compared in full.
@@ -443,21 +443,23 @@ def exact_links(classes: DataFrame, label: DataFrame | None) -> DataFrame | None
         able = rows.join(apart, "_token").groupBy("_class", "_need").agg(F.count(F.lit(1)).alias("_shared")).where("_shared >= _need").select("_class")
         rows = written(rows.join(_aside(written(able, "able")), "_class", "left_semi"), "prefix-tokens")
     rows = rows.where("_basic").select("_token", "_class", "_group", "_n")
-    who = [F.bit_xor(F.xxhash64("_class", F.lit(k))).alias(f"_x{k}") for k in range(2)]
-    places = rows.groupBy("_token").agg(F.count(F.lit(1)).alias("_m"), F.sum("_n").alias("_all"), F.min("_group").alias("_lo"), F.max("_group").alias("_hi"), F.min("_class").alias("_first"), F.max("_class").alias("_last"), *who).where("_lo < _hi")
-    # of places with the same classes one is enough
-    places = written(places.groupBy("_m", "_all", "_first", "_last", "_x0", "_x1").agg(F.min("_token").alias("_token")).select("_token", "_m", "_all"), "places")
-    if places.isEmpty():
+    least = F.min(F.struct(F.xxhash64("_class").alias("h"), F.col("_class").alias("c")))
+    places = rows.groupBy("_token").agg(F.min("_group").alias("_lo"), F.max("_group").alias("_hi"), least.alias("_least")).where("_lo < _hi").select("_token", F.col("_least.c").alias("_cell"))
+    # shingles with the same first class make one place, so that a class isn't sent to one for each of its shingles
+    rows = rows.join(places, "_token").groupBy("_cell", "_class").agg(F.first("_group").alias("_group"), F.first("_n").alias("_n"))
+    rows = written(rows, "cells")
+    places = rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("_m"), F.sum("_n").alias("_all"))
+    if rows.isEmpty():
         return None
     large = (F.col("_m") > MEETING) | (F.col("_all") > TOGETHER)
-    rows = written(rows.join(_aside(places), "_token").withColumn("_cut", large), "met")
+    rows = rows.join(_aside(written(places, "places")), "_cell").withColumn("_cut", large)
     zero = F.lit(0).cast("long")
-    whole = rows.where("not _cut").select("_token", "_cut", zero.alias("_x"), zero.alias("_y"), zero.alias("_block"), "_class", "_group")
+    whole = rows.where("not _cut").select("_cell", "_cut", zero.alias("_x"), zero.alias("_y"), zero.alias("_block"), "_class", "_group")
     split = rows.where("_cut")
     if not split.isEmpty():
         whole = whole.unionByName(_block_pairs(split))
-    met = whole.join(slim, "_class").select("_token", "_cut", "_x", "_y", "_block", "_class", "_group", "_set")
-    met = met.repartition("_token", "_x", "_y").sortWithinPartitions("_token", "_cut", "_x", "_y")
+    met = whole.join(slim, "_class").select("_cell", "_cut", "_x", "_y", "_block", "_class", "_group", "_set")
+    met = met.repartition("_cell", "_x", "_y").sortWithinPartitions("_cell", "_cut", "_x", "_y")
     return written(met.mapInArrow(_meet_blocks, "a long, b long"), "links")
 
 
@@ -466,15 +468,15 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
 
     A place's largest group is cut into blocks, and so are its other classes. All pairs of blocks meet, but for those within the largest group.
     """
-    groups = rows.groupBy("_token", "_m", "_all", "_group").agg(F.count(F.lit(1)).alias("_count"))
-    most = groups.groupBy("_token", "_m", "_all").agg(F.max(F.struct("_count", "_group")).alias("_most"))
+    groups = rows.groupBy("_cell", "_m", "_all", "_group").agg(F.count(F.lit(1)).alias("_count"))
+    most = groups.groupBy("_cell", "_m", "_all").agg(F.max(F.struct("_count", "_group")).alias("_most"))
     half = F.greatest(F.lit(1), F.least(F.lit(MEETING // 2), F.floor(F.col("_m") * (TOGETHER // 2) / F.col("_all"))))
-    cut = most.withColumn("_half", half).select("_token", F.col("_most._group").alias("_largest"), F.ceil((F.col("_m") - F.col("_most._count")) / F.col("_half")).alias("_r"), F.ceil(F.col("_most._count") / F.col("_half")).alias("_b"))
-    rows = rows.join(cut, "_token")
-    largest, salt = F.col("_group") == F.col("_largest"), F.xxhash64("_class", "_token")
+    cut = most.withColumn("_half", half).select("_cell", F.col("_most._group").alias("_largest"), F.ceil((F.col("_m") - F.col("_most._count")) / F.col("_half")).alias("_r"), F.ceil(F.col("_most._count") / F.col("_half")).alias("_b"))
+    rows = rows.join(cut, "_cell")
+    largest, salt = F.col("_group") == F.col("_largest"), F.xxhash64("_class", "_cell")
     rows = rows.withColumn("_block", F.when(largest, F.col("_r") + F.pmod(salt, "_b")).otherwise(F.pmod(salt, "_r")))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(largest, F.col("_r") - 1).otherwise(F.col("_r") + F.col("_b") - 1))))
-    return rows.select("_token", "_cut", F.least("_block", "_other").alias("_x"), F.greatest("_block", "_other").alias("_y"), "_block", "_class", "_group")
+    return rows.select("_cell", "_cut", F.least("_block", "_other").alias("_x"), F.greatest("_block", "_other").alias("_y"), "_block", "_class", "_group")
 
 
 def class_links(classes: DataFrame) -> DataFrame | None:
