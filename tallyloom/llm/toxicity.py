@@ -1,20 +1,23 @@
-"""Toxicity by a support vector machine over a subsequence string kernel with Nyström landmarks.
+"""Toxicity by a support vector machine over a subsequence string kernel with Nyström landmarks, trained on labelled sentences.
 
-Words are compared by the triples of letters that they hold in order, with gaps: a triple that spans s letters counts DECAY ** s, up to a span of SPAN, and
-the sums are normalised to unit length. So a word with letters put in between, or a new ending, stays near the insults it was
-made of. Characters other than letters are dropped first ("i.d-i o t" is one word: runs of single letters are joined).
+Strings are compared by the triples of letters that they hold in order, with gaps: a triple that spans s letters counts DECAY ** s, up to a span of SPAN, and
+the sums are divided by what a string of its length has. So a word with letters put in between, a new ending or a space inside stays near the insults it was made of.
+Characters other than letters are dropped first ("i.d-i o t" is one word: runs of single letters are joined).
 
-Landmarks are words that mark toxic training sentences, and some others. Kernel values to them, whitened (Nyström), are the inputs of a linear machine; the whole is a
+A sentence is a bag of windows: each of its words, and each two words in a row that are short enough. Its label is that of its document, and a toxic document need only have
+one toxic window, so the machine learns from multiple instances: the windows of toxic documents' sentences that score highest are its witnesses, against sentences of other documents.
+Documents are dealt to two folds, and the witnesses of each are chosen by the machine of the other, which leaves out what is peculiar to one document.
+
+Landmarks are witnesses and windows of other sentences. Kernel values to them, whitened (Nyström), are the inputs of a linear machine; the whole is a
 weight for each triple, so scoring costs the same however many landmarks there are. A text has the value of its most toxic
-word, never less than FLOOR, and a logistic curve fitted on the training texts makes it a score.
+window, and a logistic curve fitted on the training texts makes it a score.
 """
 
 from __future__ import annotations
 
-import re
+import functools
 import zlib
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,99 +26,112 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import in_slices, table, text_or_empty
+from tallyloom.llm.common import free_name, in_slices, table, text_or_empty
 
 DECAY, SPAN, LETTERS = 0.8, 6, 64
 LANDMARKS, WHITEN = 256, 1e-4
 #: Labelled rows of each class to learn from, and their code points in all, at most.
 TRAIN_ROWS, TRAIN_CHARS = 3000, 12_000_000
-#: Longer words are scored in windows of so many letters, half of which overlap.
-WINDOW = 24
-FLOOR = -1.0
+#: Letters of a window; longer words are cut into windows, half of which overlap. Two words are a window if they have so many letters in all.
+WINDOW, PAIR = 24, 14
+#: The value of a text without windows.
+FLOOR = -2.0
 THRESHOLD = 0.3
-#: Words in a worker's table.
-WORDS = 200_000
-#: A word marks toxic texts if it is in so many times the part of them than of others, with this log-likelihood against chance at least.
-ODDS, SURPRISE, SKETCH = 20, 13.8, 3
-#: Marks of which disguised forms are learned too, and how many of each.
-VARIED, FORMS = 300, 4
-#: What a mark, a disguised form and another word may weigh in the machine.
-WEIGHTS = 200.0, 3.0, 20.0
-ROUNDS, HARD = 4, 1500
-SENTENCE = re.compile(r"[.!?]\s+|\n+")
-
-#: Positions of the 2nd and 3rd letter after the first, and the weight.
-STEPS = [(j, k, DECAY ** (k + 1)) for k in range(2, SPAN) for j in range(1, k)]
-
-
-def _letter(c: str) -> int:
-    """0 is the border of a word; ASCII letters have a number each, all others share the rest."""
-    point = ord(c)
-    return point - 96 if 97 <= point <= 122 else 27 + point % (LETTERS - 27)
-
-
-class _Letters(dict):
-    def __missing__(self, c: str) -> int:
-        self[c] = found = _letter(c)
+SKETCH = 3
+#: Witnesses of a toxic text, and forms of each different one that are learned too.
+WITNESSES, FORMS, VARIED = 3, 3, 400
+#: Windows of other texts to begin with and to add in each round, and rounds of adding them.
+OTHERS, HARD, ROUNDS = 1500, 1000, 4
+#: What a witness, a changed form of one and another window may weigh in the machine.
+WEIGHTS = 50.0, 3.0, 20.0
+PASSES = 40
+#: In the folds, one in so many texts that aren't toxic is used.
+PART = 4
+#: Letters that are looked up at a time.
+CHUNK = 1 << 16
+
+#: Positions of the 2nd and 3rd letter after the first.
+STEPS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
+_LETTER, _WHITE = (np.array([f(chr(p)) for p in range(0x10000)]) for f in (str.isalpha, str.isspace))
+#: 0 is the border of a word; ASCII letters have a number each, all others share the rest. Letters beyond the basic plane are dropped.
+_CODE = np.array([p - 96 if 97 <= p <= 122 else 27 + p % (LETTERS - 27) for p in range(0x10000)], np.uint8)
+#: For each length of a string with its borders, the root of the sum of its triples' squared weights.
+NORM = np.sqrt(np.maximum(1e-9, [sum(max(0, n - k) * DECAY ** (2 * k + 2) for _, k in STEPS) for n in range(2 * WINDOW + 4)]))
+
+
+class Windows:
+    """Windows of texts: codes of letters with a border (0) around each word, where windows begin and end in them, and the text each is of."""
+
+    def __init__(self, texts: list[str]) -> None:
+        low = [t.lower() + "\n" for t in texts]
+        points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), "<u4")
+        points = np.where(points < 0x10000, points, 0xFFFF).astype(np.int64)
+        of = np.repeat(np.arange(len(texts)), [len(t) for t in low])
+        white = _WHITE[points]
+        stop = (points == 33) | (points == 46) | (points == 63)
+        stop[:-1] &= white[1:]
+        sentence = np.cumsum(stop | (points == 10))
+        kept = white | _LETTER[points]
+        points, of, sentence, white = points[kept], of[kept], sentence[kept], white[kept]
+        first = np.flatnonzero(~white & np.concatenate([[True], white[:-1]]))
+        last = np.flatnonzero(~white & np.concatenate([white[1:], [True]])) if len(white) else first
+        size = last - first + 1
+        # runs of three or more single letters within a sentence are one word
+        one = size == 1
+        follows = np.concatenate([[False], one[1:] & one[:-1] & (sentence[first[1:]] == sentence[first[:-1]])])[: len(first)]
+        run = np.cumsum(~follows) - 1
+        joined = follows & (np.bincount(run, minlength=1)[run] > 2) if len(first) else follows
+        begins = ~joined
+        word = np.cumsum(begins) - 1
+        letters = np.flatnonzero(~white)
+        size = np.bincount(word, size).astype(np.int64) if len(first) else size
+        start = np.cumsum(size + 1) - size  # a border is before each word
+        self.codes = np.zeros(int(size.sum()) + len(size) + 1, np.uint8)
+        self.codes[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(len(letters))] = _CODE[points[letters]]
+        text, sentence = of[first[begins]], sentence[first[begins]]
+        cut = np.maximum(1, -(-(size - WINDOW // 2) // (WINDOW // 2)))  # windows of a word
+        nth = np.arange(int(cut.sum())) - np.repeat(np.cumsum(cut) - cut, cut)
+        begin = np.repeat(start - 1, cut) + nth * (WINDOW // 2)
+        end = np.minimum(np.repeat(start + size + 1, cut), begin + WINDOW + 2)
+        two = np.flatnonzero((sentence[1:] == sentence[:-1]) & (size[1:] + size[:-1] <= PAIR))
+        self.begin = np.concatenate([begin, start[two] - 1])
+        self.end = np.concatenate([end, start[two + 1] + size[two + 1] + 1])
+        self.text = np.concatenate([np.repeat(text, cut), text[two]])
+        self.texts = len(texts)
+
+    def values(self, weight: np.ndarray, bias: float = 0.0, steps: list[tuple[int, int]] = STEPS) -> np.ndarray:
+        """The machine's value of each window: the weights of its triples over the norm of its length."""
+        found = np.zeros(len(self.begin))
+        for k in sorted({k for _, k in steps}):
+            n = len(self.codes) - k
+            if n <= 0:
+                continue
+            sums = np.zeros(n, np.float32)
+            for at in range(0, n, CHUNK):
+                c = self.codes[at : at + CHUNK + k].astype(np.int32)
+                m = len(c) - k
+                for j in [j for j, b in steps if b == k]:
+                    sums[at : at + m] += weight[((c[:m] << 6 | c[j : m + j]) << 6) | c[k:]]
+            before = np.concatenate([[0.0], np.cumsum(sums * np.float32(DECAY ** (k + 1)), dtype=np.float64)])
+            found += np.where(self.end - k > self.begin, before[np.maximum(self.end - k, 0)] - before[np.minimum(self.begin, n)], 0)
+        return found / NORM[self.end - self.begin] + bias
+
+    def tops(self, values: np.ndarray) -> np.ndarray:
+        """The highest value of each text; FLOOR without one."""
+        found = np.full(self.texts, FLOOR)
+        np.maximum.at(found, self.text, values)
         return found
 
+    def strings(self, which: np.ndarray) -> list[bytes]:
+        return [self.codes[a:b].tobytes() for a, b in zip(self.begin[which].tolist(), self.end[which].tolist(), strict=True)]
 
-_code = _Letters()
-
-
-def words_of(text: str) -> list[str]:
-    """Words in lower case, letters only; runs of three or more single letters are one word. Empty ones are left out."""
-    found, run = [], []
-    for word in text.lower().split():
-        if not word.isalpha():
-            word = "".join([c for c in word if c.isalpha()])
-        if len(word) == 1:
-            run.append(word)
-            continue
-        if run:
-            found += ["".join(run)] if len(run) > 2 else run
-            run = []
-        if word:
-            found.append(word)
-    return found + (["".join(run)] if len(run) > 2 else run)
-
-
-def windows(word: str) -> list[str]:
-    if len(word) <= WINDOW:
-        return [word]
-    return [word[at : at + WINDOW] for at in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
-
-
-def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Of words of one length: the codes of their triples, a row each, and the triples' weights."""
-    size = len(words[0]) + 2
-    letters = np.zeros((len(words), size), np.int32)
-    letters[:, 1:-1] = [[_code[c] for c in w] for w in words]
-    columns, weights = [], []
-    for j, k, weight in STEPS:
-        if size > k:
-            columns.append((letters[:, : size - k] * LETTERS + letters[:, j : size - k + j]) * LETTERS + letters[:, k:])
-            weights.append(np.full(size - k, weight))
-    return np.concatenate(columns, 1), np.concatenate(weights).astype(np.float32)
-
-
-def by_length(words: Iterable[str]) -> Iterator[list[str]]:
-    groups = defaultdict(list)
-    for w in words:
-        groups[len(w)].append(w)
-    for same in groups.values():
-        for at in range(0, len(same), 8192):
-            yield same[at : at + 8192]
-
-
-def norms(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Length of each row's vector: a triple that occurs twice counts as one with the sum."""
-    order = np.argsort(codes, 1, kind="stable")
-    codes, weights = np.take_along_axis(codes, order, 1), weights[order]
-    new = np.ones(codes.shape, bool)
-    new[:, 1:] = codes[:, 1:] != codes[:, :-1]
-    group = np.cumsum(new.ravel()) - 1
-    return np.sqrt(np.bincount(np.arange(len(codes)).repeat(codes.shape[1])[np.flatnonzero(new.ravel())], np.bincount(group, weights.ravel()) ** 2, len(codes)))
+    def witnesses(self, values: np.ndarray, texts: np.ndarray, above: float) -> list[bytes]:
+        """The windows of texts (flags) that have the highest values, WITNESSES of each at most, all over above."""
+        able = np.flatnonzero(texts[self.text] & (values > above))
+        order = able[np.lexsort((-values[able], self.text[able]))]
+        first = np.concatenate([[True], self.text[order][1:] != self.text[order][:-1]])[: len(order)]
+        nth = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0)) if len(order) else order
+        return self.strings(order[nth < WITNESSES])
 
 
 @dataclass
@@ -125,148 +141,151 @@ class ToxicityModel:
     slope: float
     offset: float
 
-    def values(self, words: list[str]) -> dict[str, float]:
-        """The machine's value of each word, FLOOR at least. The norm is at least that of triples all different, so most words need no exact one."""
-        found = {}
-        for some in by_length({p for w in words for p in windows(w)}):
-            codes, weights = triples(some)
-            raw = self.weight[codes] @ weights
-            most = raw / np.sqrt((weights**2).sum()) + self.bias
-            value = np.full(len(some), FLOOR)
-            near = np.flatnonzero(most > FLOOR)
-            if near.size:
-                value[near] = np.maximum(FLOOR, raw[near] / norms(codes[near], weights) + self.bias)
-            found.update(zip(some, value.tolist(), strict=True))
-        return {w: found[w] if len(w) <= WINDOW else max(found[p] for p in windows(w)) for w in words}
-
-    def score(self, value: float) -> float:
-        return float(1 / (1 + np.exp(-(self.slope * value + self.offset))))
-
-
-def _vectors(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Codes and weights of each word's unit vector."""
-    found = []
-    for w in words:
-        codes, weights = triples([w])
-        codes, which = np.unique(codes[0], return_inverse=True)
-        sums = np.bincount(which, weights)
-        found.append((codes, sums / np.sqrt((sums**2).sum())))
-    return found
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """0 to 1 for each text."""
+        windows = Windows(texts)
+        return 1 / (1 + np.exp(-(self.slope * windows.tops(windows.values(self.weight, self.bias)) + self.offset)))
+
 
+@functools.lru_cache(20_000)
+def vector(string: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and weights of a string's triples, borders included, over the norm of its length."""
+    c = np.frombuffer(string, np.uint8).astype(np.int64)
+    codes = np.concatenate([((c[: len(c) - k] << 6 | c[j : len(c) - k + j]) << 6) | c[k:] for j, k in STEPS if len(c) > k] or [np.zeros(0, np.int64)])
+    weights = np.concatenate([np.full(len(c) - k, DECAY ** (k + 1)) for _, k in STEPS if len(c) > k] or [np.zeros(0)])
+    codes, which = np.unique(codes, return_inverse=True)
+    return codes, np.bincount(which, weights, len(codes)) / NORM[len(c)]
 
-def _machine(x: np.ndarray, y: np.ndarray, c: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float]:
+
+def _machine(x: np.ndarray, y: np.ndarray, c: np.ndarray, rounds: int = PASSES) -> tuple[np.ndarray, float]:
     """A linear support vector machine by dual coordinate descent. c: the most that each row may weigh. The last input is the bias."""
     x = np.concatenate([x, np.ones((len(x), 1))], 1)
     w, alpha, size = np.zeros(x.shape[1]), np.zeros(len(x)), np.einsum("ij,ij->i", x, x)
     draw = np.random.default_rng(7)
     for _ in range(rounds):
+        moved = 0.0
         for i in draw.permutation(len(x)):
             gap = y[i] * (x[i] @ w) - 1
             new = min(max(alpha[i] - gap / size[i], 0.0), c[i])
             if new != alpha[i]:
+                moved = max(moved, abs(new - alpha[i]))
                 w += (new - alpha[i]) * y[i] * x[i]
                 alpha[i] = new
+        if moved < 0.01:
+            break
     return w[:-1], float(w[-1])
 
 
-def _nystrom(landmarks: list[str], words: list[str], y: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, float]:
-    """A weight for each triple, and the bias. Long words are learned in the windows that are scored, each with its word's class."""
-    landmarks = [p for w in landmarks for p in windows(w)]
-    each = [windows(w) for w in words]
-    words, y, c = [p for some in each for p in some], *(np.repeat(v, [len(some) for some in each]) for v in (y, c))
-    base = _vectors(landmarks)
-    place = {c: n for n, c in enumerate(sorted({int(c) for codes, _ in base for c in codes}))}
-    wide = np.zeros((len(base), len(place)))
+def _nystrom(landmarks: list[bytes], strings: list[bytes], y: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, float]:
+    """A weight for each triple, and the bias, of a machine whose inputs are whitened kernel values to landmarks."""
+    base = [vector(w) for w in landmarks]
+    known = np.unique(np.concatenate([codes for codes, _ in base]))
+    wide = np.zeros((len(base), len(known)))
     for row, (codes, weights) in enumerate(base):
-        wide[row, [place[int(c)] for c in codes]] = weights
-    cross = np.zeros((len(words), len(base)))
-    for row, (codes, weights) in enumerate(_vectors(words)):
-        there = [(place[int(c)], v) for c, v in zip(codes, weights, strict=True) if int(c) in place]
-        if there:
-            at, v = zip(*there, strict=True)
-            cross[row] = wide[:, at] @ np.array(v)
+        wide[row, np.searchsorted(known, codes)] = weights
+    cross = np.zeros((len(strings), len(base)))
+    for row, string in enumerate(strings):
+        codes, weights = vector(string)
+        at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+        there = known[at] == codes
+        cross[row] = wide[:, at[there]] @ weights[there]
     values, axes = np.linalg.eigh(wide @ wide.T)
     white = axes / np.sqrt(np.maximum(values, WHITEN)) @ axes.T
     w, bias = _machine(cross @ white, y, c)
     weight = np.zeros(LETTERS**3, np.float32)
-    weight[list(place)] = (white @ w) @ wide
+    weight[known] = (white @ w) @ wide
     return weight, bias
 
 
-def sketch(row: list[str]) -> list[tuple[int, int]]:
+def sketch(text: str) -> list[tuple[int, int]]:
     """The smallest hash of a text's word pairs, under each of SKETCH hashes: near copies most likely share one, other texts hardly ever."""
-    pairs = {zlib.crc32(f"{a} {b}".encode()) for a, b in zip(row, row[1:], strict=False)} or {0}
+    row = text.lower().split()
+    pairs = {zlib.crc32(f"{a} {b}".encode("utf-8", "replace")) for a, b in zip(row, row[1:], strict=False)} or {0}
     own = np.fromiter(pairs, np.uint64, len(pairs))
     return [(k, int(((own * np.uint64(2 * k + 0x9E3779B1)) % np.uint64(0xFFFFFFFB)).min())) for k in range(SKETCH)]
 
 
-def marking(each: list[set[str]], toxic: list[int]) -> list[str]:
-    """Words that tell toxic texts: far more often in them than chance allows, and ODDS times as often as in others. Near copies should be left out before."""
-    rows = sum(toxic), len(toxic) - sum(toxic)
-    seen = Counter(), Counter()
-    for held, label in zip(each, toxic, strict=True):
-        seen[not label].update(held)
-    if not all(rows):
-        return []
-    part, found = rows[0] / sum(rows), []
-    for w, n in seen[0].items():
-        other = seen[1][w]
-        share = n / (n + other)
-        if len(w) > 2 and n / rows[0] > ODDS * other / rows[1]:
-            surprise = n * np.log(share / part) + (other * np.log((1 - share) / (1 - part)) if other else 0)
-            if surprise > SURPRISE:
-                found.append((-n, w))
-    return [w for _, w in sorted(found)]
-
-
-def disguised(words: list[str]) -> list[str]:
-    """Forms of each word with a letter put in or, from five letters on, left out."""
+def changed(strings: list[bytes]) -> list[bytes]:
+    """Forms of each string with a letter put in or, from five letters on, left out."""
     draw, found = np.random.default_rng(11), []
-    for w in words:
+    for w in strings:
         for _ in range(FORMS):
-            at = int(draw.integers(1, len(w)))
-            found.append(w[:at] + chr(97 + int(draw.integers(26))) + w[at:])
-        if len(w) > 4:
-            at = int(draw.integers(1, len(w) - 1))
+            at = int(draw.integers(2, max(3, len(w) - 1)))
+            found.append(w[:at] + bytes([1 + int(draw.integers(26))]) + w[at:])
+        if len(w) > 6:
+            at = int(draw.integers(2, len(w) - 2))
             found.append(w[:at] + w[at + 1 :])
     return found
 
 
+def first_guess(windows: Windows, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    """For each triple in a row, the log-odds that a toxic text has it (flags), where that is above 0 and three of them do."""
+    c = windows.codes.astype(np.int64)
+    codes = (c[:-2] << 6 | c[1:-1]) << 6 | c[2:]
+    text = np.zeros(len(c), np.int64)
+    order = np.argsort(windows.begin, kind="stable")
+    text[windows.begin[order]] = windows.text[order]
+    seen = np.unique(np.maximum.accumulate(text)[: len(codes)] * LETTERS**3 + codes)
+    of, code = seen // LETTERS**3, seen % LETTERS**3
+    n = [np.bincount(code[flag[of]], minlength=LETTERS**3) for flag in (toxic, clean)]
+    odds = np.log((n[0] + 0.5) / (toxic.sum() + 1)) - np.log((n[1] + 0.5) / (clean.sum() + 1))
+    return np.where((n[0] > 2) & (odds > 0), odds, 0).astype(np.float32)
+
+
+def _train(windows: Windows, pos: list[bytes], clean: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
+    """The machine of witnesses against windows of clean texts, to which those that score highest are added round by round."""
+    pos = sorted(pos)
+    often = sorted(set(pos), key=lambda w: (-pos.count(w), w))
+    other = np.flatnonzero(clean[windows.text])
+    draw = np.random.default_rng(5)
+    bad = sorted(set(windows.strings(draw.choice(other, min(len(other), OTHERS), replace=False))) - set(often))
+    forms = changed(often[:VARIED])
+    landmarks = often[: LANDMARKS * 3 // 4] + bad[: LANDMARKS // 4]
+    good = often + forms
+    for turn in range(rounds):
+        y = np.array([1.0] * len(good) + [-1.0] * len(bad))
+        c = np.array([WEIGHTS[0] * min(8, pos.count(w)) / 8 for w in often] + [WEIGHTS[1]] * len(forms) + [WEIGHTS[2]] * len(bad))
+        weight, bias = _nystrom(landmarks, good + bad, y, c)
+        values = windows.values(weight, bias)
+        near = other[values[other] > -0.8]
+        near = near[np.argsort(-values[near], kind="stable")]
+        known, hard = set(bad), []
+        for w in windows.strings(near[: 20 * HARD]):
+            if w not in known and len(hard) < HARD:
+                known.add(w)
+                hard.append(w)
+        if not hard:
+            break
+        bad = bad + hard
+    return weight, bias
+
+
 def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
-    """From whole texts and their labels. With one class only, or nothing that marks a class, all texts score alike: the part of toxic ones."""
+    """From whole texts and their labels. With one class only, or no witnesses, all texts score alike: the part of toxic ones."""
     part = (sum(toxic) + 0.5) / (len(toxic) + 1)
     blank = ToxicityModel(np.zeros(LETTERS**3, np.float32), FLOOR, 0.0, float(np.log(part / (1 - part))))
-    each, new, met, one = [], [], set(), {}
+    if not 0 < sum(toxic) < len(toxic):
+        return blank
+    y, new, met = np.array(toxic, bool), [], set()
     for text in texts:
-        row = [one.setdefault(w, w) for sentence in SENTENCE.split(text) for w in words_of(sentence)]
-        own = sketch(row)
-        each.append(set(row))
+        own = sketch(text)
         new.append(met.isdisjoint(own))
         met.update(own)
-    del one, met
-    marks = marking([h for h, n in zip(each, new, strict=True) if n], [y for y, n in zip(toxic, new, strict=True) if n])
-    if not marks:
+    some = np.sort(np.concatenate([np.flatnonzero(y & np.array(new)), np.flatnonzero(~y)[::PART]]))
+    clean, rows = ~y[some], np.flatnonzero(y[some])
+    windows = Windows([texts[i] for i in some])
+    folds = [np.isin(np.arange(len(some)), rows[k::2]) for k in (0, 1)]
+    found = [windows.witnesses(windows.values(first_guess(windows, f, clean), steps=[(1, 2)]), f, 0.0) for f in folds]
+    for _ in range(2):
+        machines = [_train(windows, pos, clean, 2) if pos else None for pos in found]
+        found = [windows.witnesses(windows.values(*m), f, 0.0) if m else [] for m, f in zip(machines[::-1], folds, strict=True)]
+    pos = found[0] + found[1]
+    if not pos:
         return blank
-    seen = Counter(w for held, y in zip(each, toxic, strict=True) if not y for w in held)
-    plain = sorted(seen, key=lambda w: (-seen[w], w))
-    good, bad = marks[:2000], plain[:500] + plain[500 :: max(1, len(plain) // 1500)]
-    landmarks = good[: LANDMARKS * 3 // 4] + bad[: LANDMARKS // 4]
-    own = len(good)
-    good += disguised(good[:VARIED])
-    model = blank
-    for _ in range(ROUNDS):
-        y = np.array([1.0] * len(good) + [-1.0] * len(bad))
-        c = np.array([WEIGHTS[0]] * own + [WEIGHTS[1]] * (len(good) - own) + [WEIGHTS[2]] * len(bad))
-        model = ToxicityModel(*_nystrom(landmarks, good + bad, y, c), 1.0, 0.0)
-        values = model.values(plain)
-        known = set(bad)
-        hard = sorted((w for w in plain if values[w] > -0.8 and w not in known), key=lambda w: (-values[w], w))[:HARD]
-        if not hard:
-            break
-        bad = bad + hard
-    # the curve: each text by its most toxic word, with the targets of Platt
-    values = model.values(list({w for held in each for w in held}))
-    top, y = np.array([max((values[w] for w in held), default=FLOOR) for held in each]), np.array(toxic)
+    windows = Windows(texts)
+    weight, bias = _train(windows, pos, ~y, ROUNDS)
+    # the curve: each text by its most toxic window, with the targets of Platt
+    top, y = windows.tops(windows.values(weight, bias)), y.astype(int)
     target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((y == 0).sum() + 2))
     a, b = 1.0, 0.0
     for _ in range(200):
@@ -276,7 +295,7 @@ def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
         hess = np.array([[(h * top * top).sum() + 1e-3, (h * top).sum()], [(h * top).sum(), h.sum() + 1e-6]])
         step = np.linalg.solve(hess, grad)
         a, b = a - float(np.clip(step[0], -2, 2)), b - float(np.clip(step[1], -2, 2))
-    return ToxicityModel(model.weight, model.bias, a, b)
+    return ToxicityModel(weight, bias, a, b)
 
 
 def held_out(row_id: str = "doc_id") -> Column:
@@ -308,22 +327,11 @@ def with_score(df: DataFrame, model: ToxicityModel, text: str = "text", out: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        plain: set[str] = set()  # words at FLOOR
-        other: dict[str, float] = {}
-        for batch in in_slices(batches, 256):
-            rows = [set(words_of(t)) - plain for t in batch.column(len(columns)).to_pylist()]
-            for w, v in model.values([w for w in set().union(*rows) if w not in other]).items():
-                if v > FLOOR:
-                    other[w] = v
-                else:
-                    plain.add(w)
-            found = [model.score(max((other.get(w, FLOOR) for w in r), default=FLOOR)) for r in rows]
-            if len(plain) + len(other) > WORDS:
-                plain.clear()
-                other.clear()
+        for batch in in_slices(batches, 128):
+            found = model.scores(batch.column(len(columns)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], names=[*columns, out])
 
-    return kept.withColumn("_whole", text_or_empty(text)).mapInArrow(run, schema)
+    return kept.withColumn(free_name(kept, "_whole"), text_or_empty(text)).mapInArrow(run, schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import random
 import zlib
 
@@ -16,6 +17,7 @@ from tokenizers import Tokenizer
 
 from tallyloom.llm import exact_dedup, hnsw, html_text, jaccard_join, packing, pieces, quality, shingles, toxicity, url_filter, wavelet, word_bpe
 
+SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", " ", "one", "a\tb  c\n", "a b c ", "日本 😀 x́", "\x00\x01", "long " * 30_000, "<|endoftext|> A", "▁x  y", "a b c"]
 
@@ -82,32 +84,49 @@ def toxic_rows():
 def test_toxicity_learns_and_tolerates_disguise():
     plain, bad = toxic_rows()
     m = toxicity.fit(plain[:150] + bad[:60], [0] * 150 + [1] * 60)
+    assert (m.scores(bad[60:]) >= 0.3).all() and (m.scores(plain[150:]) < 0.3).all()
+    cut, spelt, filled, none, empty = m.scores(["baran blor fish tilen", "b l o r f i s h", "baran blorxfish", "baran tilen", ""])
+    assert spelt >= 0.3 and cut > none and filled > none and 0 <= empty < 0.3
 
-    def score(t):
-        return m.score(max(m.values(toxicity.words_of(t)).values(), default=toxicity.FLOOR))
 
-    assert all(score(t) >= 0.3 for t in bad[60:]) and all(score(t) < 0.3 for t in plain[150:])
-    assert score("baran blor-fish tilen") >= 0.3 and score("b l o r f i s h") >= 0.3 and score("baran blorxfish") > score("baran tilen")
-    assert 0 <= score("") < 0.3
-
-
-def test_kernel_value_is_that_of_all_triples():
+def test_window_values_are_those_of_all_triples():
     weight = np.random.default_rng(0).normal(size=toxicity.LETTERS**3).astype(np.float32)
-    m = toxicity.ToxicityModel(weight, 5.0, 1.0, 0.0)
-    word = "abcabcd"
-    s = [0, *(toxicity._code[c] for c in word), 0]
-    sums = {}
-    for i in range(len(s)):
-        for j in range(i + 1, len(s)):
-            for k in range(j + 1, min(len(s), i + toxicity.SPAN)):
-                key = (s[i] * 64 + s[j]) * 64 + s[k]
-                sums[key] = sums.get(key, 0) + toxicity.DECAY ** (k - i + 1)
-    want = sum(weight[k] * v for k, v in sums.items()) / sum(v * v for v in sums.values()) ** 0.5 + 5.0
-    assert m.values([word])[word] == pytest.approx(max(want, toxicity.FLOOR), abs=1e-4)
+    texts = ["Abc abcd-e, éa. i d i o t so\nx y", "", "q" * 60 + " end", " . ", "日本 a\u0301b"]
+    windows = toxicity.Windows(texts)
+    values = windows.values(weight, 0.5)
+    for a, b, got in zip(windows.begin, windows.end, values, strict=True):
+        s = windows.codes[a:b].astype(int)
+        sums, size = 0.0, 0.0
+        for i, j, k in itertools.combinations(range(len(s)), 3):
+            if k - i < toxicity.SPAN:
+                sums += weight[(s[i] * 64 + s[j]) * 64 + s[k]] * toxicity.DECAY ** (k - i + 1)
+                size += toxicity.DECAY ** (2 * (k - i + 1))
+        assert got == pytest.approx(sums / max(size, 1e-9) ** 0.5 + 0.5, abs=1e-3)
+        codes, w = toxicity.vector(s.astype(np.uint8).tobytes())
+        assert got == pytest.approx(float(weight[codes] @ w) + 0.5, abs=1e-3)
+
+    def word(*parts):
+        return bytes([0, *(x for p in parts for c in [*(toxicity._CODE[ord(x)] for x in p), 0] for x in [int(c)])])
+
+    got = [w for w, t in zip(windows.strings(np.arange(len(values))), windows.text, strict=True) if t == 0]
+    assert set(got) == {word("abc"), word("abcde"), word("éa"), word("idiot"), word("so"), word("x"), word("y"), word("abc", "abcde"), word("abcde", "éa"), word("idiot", "so"), word("x", "y")}
+    assert {int(t) for t in windows.text} == {0, 2, 4} and (windows.end - windows.begin <= toxicity.WINDOW + 2).all()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables aren't here")
+def test_toxicity_on_held_out_labels(spark):
+    """Every held-out text with a word that marks labelled toxic texts is found, and hardly any other."""
+    sf = SF.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.with_score(docs.select("doc_id", "text"), toxicity.learn(docs, labels)).where(toxicity.held_out()).join(labels, "doc_id").collect()
+    found = [r["doc_id"] for r in rows if r["score"] >= toxicity.THRESHOLD]
+    insult = {r["doc_id"] for r in rows if r["toxic"] and any(w in r["text"].lower().split() for w in ("idiot", "moron", "stupid", "trash"))}
+    assert len(insult) > 5 and insult <= set(found)
+    assert sum(not r["toxic"] for r in rows if r["doc_id"] in found) <= 2
 
 
 def test_toxicity_with_one_class_or_nothing(spark):
-    assert toxicity.fit(["a b"], [0]).score(0.0) < 0.3
+    assert toxicity.fit(["a b"], [0]).scores(["a b"])[0] < 0.3
     blank = toxicity.fit([], [])
     rows = toxicity.with_score(table(spark, ODD).withColumn("score", F.lit(1)), blank).collect()
     assert len(rows) == len(ODD) and len({r["score"] for r in rows}) == 1
@@ -126,8 +145,6 @@ def test_toxicity_learns_beside_a_long_row_and_in_long_words(spark, monkeypatch)
         toxicity.learn(long, labels, chars=2000)
         texts, toxic = seen.pop()
         assert len(texts) == docs.count() - 1 and set(toxic) == {0, 1}
-    weight, _ = toxicity._nystrom(["q" * 30 + "idiot", "plain"], ["q" * 30 + "idiot", "plain"], np.array([1.0, -1.0]), np.array([9.0, 9.0]))
-    assert weight[toxicity.triples(["idiot"])[0][0]].any() and (weight[[(9 * 64 + 4) * 64 + 9]] > 0).all()
 
 
 # 3
