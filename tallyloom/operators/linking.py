@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.sources.shared import drop_tables, written, written_tables
+from tallyloom.sources.shared import drop_but, written, written_tables
 
 #: Nodes up to which where they go (two of their names each) is broadcast; with more, all joins are shuffles.
 BROADCAST_NODES = 1_000_000
@@ -22,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     moved to are left, at most a half of the nodes as expected in each round, whatever the shape: the rounds grow with the logarithm of a path's length, and a star
     takes one. The rounds' moves are followed backwards in the end. No node's neighbours are ever gathered.
     """
-    spark, before = edges.sparkSession, set(written_tables())
+    spark, before = edges.sparkSession, written_tables()
     pairs = edges.select("a", "b").where("a <> b")
     now = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).dropDuplicates(), "edges")
     moves: list[tuple[DataFrame, int]] = []
@@ -47,8 +47,7 @@ def components(edges: DataFrame) -> DataFrame:
     label = written(label, "labels")
     first = label.groupBy("to").agg(F.min("node").alias("component"))
     named = written(label.join(_aside(first, moves[0][1]), "to").select("node", "component"), "components")
-    kept = named.inputFiles()[0].rsplit("/", 1)[0].rsplit("/", 1)[-1]
-    drop_tables(spark, [t for t in written_tables() if t not in before and not t.endswith(kept)])
+    drop_but(spark, before, named)
     return named
 
 

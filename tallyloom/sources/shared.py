@@ -27,7 +27,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _tables.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.written_path = path
+    return found
 
 
 def written_tables() -> list[str]:
@@ -43,5 +45,11 @@ def drop_tables(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_but(spark: SparkSession, before: list[str], *kept: DataFrame) -> None:
+    """Deletes what has been written since before (see written_tables) but for the tables kept, which are as written() gave them."""
+    needed = {*before, *(df.written_path for df in kept)}
+    drop_tables(spark, [t for t in written_tables() if t not in needed])
+
+
 def drop_written(spark: SparkSession) -> None:
     drop_tables(spark, written_tables())
