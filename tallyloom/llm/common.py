@@ -11,17 +11,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.sources.shared import drop_tables, drop_written, shared_folder, written, written_tables
+from tallyloom.sources.shared import drop_but, drop_tables, drop_written, shared_folder, written, written_tables
 
-__all__ = ["drop_tables", "drop_written", "shared_folder", "written", "written_tables"]
+__all__ = ["drop_but", "drop_tables", "drop_written", "shared_folder", "written", "written_tables"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_or_empty(column: str = "text") -> Column:
+def text_or_empty(column: str | Column = "text") -> Column:
     """A null text counts as an empty one."""
-    return F.coalesce(F.col(column), F.lit(""))
+    return F.coalesce(column, F.lit(""))
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -32,6 +32,22 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+class Aside:
+    """df with its columns under names of our own (c0, c1...), so that columns which operators add clash with none of them; replaced ones are left out."""
+
+    def __init__(self, df: DataFrame, *replaced: str) -> None:
+        kept = df.drop(*replaced)
+        self.names = kept.columns
+        self.rows = kept.toDF(*(f"c{n}" for n in range(len(self.names))))
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(f"c{[n.lower() for n in self.names].index(name.lower())}")
+
+    def back(self) -> list[Column]:
+        """The columns under their own names again."""
+        return [F.col(f"c{n}").alias(name) for n, name in enumerate(self.names)]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

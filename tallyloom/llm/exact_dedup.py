@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import shuffle_partitions, table
+from tallyloom.llm.common import Aside, shuffle_partitions, table
 
 #: A group is hot from this part of a mean partition's rows on: 1 / SHARE.
 SHARE = 4
@@ -35,29 +35,32 @@ def content_sort(df: DataFrame, text: str = "text", row_id: str = "doc_id", shar
     df that have the names of results are replaced.
     """
     parts = shuffle_partitions(df.sparkSession)
-    df = df.drop("keep_id", "group_size", "kept", "text_sha256")
-    norm = normalised(F.col(text))
-    share_of = max(8, df.count() // (parts * share))
+    aside = Aside(df, "keep_id", "group_size", "kept", "text_sha256")
+    norm, name, rows = normalised(aside[text]), aside[row_id], aside.rows
+    share_of = max(8, rows.count() // (parts * share))
     hot = (
-        df.groupBy(F.sha2(norm, 256).alias("_hot_sha"))
-        .agg(F.count(F.lit(1)).alias("_hot_size"), F.min(row_id).alias("_hot_id"))
+        rows.groupBy(F.sha2(norm, 256).alias("_hot_sha"))
+        .agg(F.count(F.lit(1)).alias("_hot_size"), F.min(name).alias("_hot_id"))
         .where(F.col("_hot_size") > share_of)
     )
-    keyed = df.withColumn("text_sha256", F.sha2(norm, 256)).withColumn("_head", F.substring(norm, 1, PREFIX))
+    keyed = rows.withColumn("_sha", F.sha2(norm, 256)).withColumn("_head", F.substring(norm, 1, PREFIX))
     # at most parts * share + 1 rows of fixed width
-    keyed = keyed.join(F.broadcast(hot), F.col("text_sha256") == F.col("_hot_sha"), "left")
-    salt = F.pmod(F.xxhash64(row_id), F.ceil(F.col("_hot_size") / F.lit(share_of)))
-    keyed = keyed.withColumn("_salt", F.coalesce(salt, F.lit(0)))
-    keyed = keyed.withColumn("_point", F.xxhash64("text_sha256", "_salt"))
+    keyed = keyed.join(F.broadcast(hot), F.col("_sha") == F.col("_hot_sha"), "left")
+    # beside rows with ids, those without are never kept, and dealt by where they stand
+    dealt_by = F.coalesce(name.cast("string"), F.monotonically_increasing_id().cast("string"))
+    salt = F.pmod(F.xxhash64(dealt_by), F.ceil(F.col("_hot_size") / F.lit(share_of)))
+    # one row of a group without any id stays, so these must be together
+    keyed = keyed.withColumn("_salt", F.when(F.col("_hot_id").isNotNull(), salt).otherwise(F.lit(0)))
+    keyed = keyed.withColumn("_point", F.xxhash64("_sha", "_salt"))
     dealt = keyed.repartitionByRange("_head", "_point").withColumn("_norm", norm)
     equal = Window.partitionBy("_head", "_point", "_norm")
-    first = equal.orderBy(F.col(row_id).asc_nulls_last())
+    first = equal.orderBy(name.asc_nulls_last())
     found = dealt.withColumn("_nth", F.row_number().over(first))
-    found = found.withColumn("keep_id", F.first(row_id).over(first)).withColumn("group_size", F.count(F.lit(1)).over(equal))
-    found = found.withColumn("keep_id", F.when(F.col("_hot_size").isNull(), F.col("keep_id")).otherwise(F.col("_hot_id")))
-    found = found.withColumn("group_size", F.coalesce("_hot_size", "group_size"))
-    found = found.withColumn("kept", (F.col("_nth") == 1) & F.col(row_id).eqNullSafe(F.col("keep_id")))
-    return found.select(*df.columns, "keep_id", "group_size", "kept", "text_sha256")
+    found = found.withColumn("_keep", F.first(name).over(first)).withColumn("_size", F.count(F.lit(1)).over(equal))
+    found = found.withColumn("_keep", F.when(F.col("_hot_size").isNull(), F.col("_keep")).otherwise(F.col("_hot_id")))
+    kept = (F.col("_nth") == 1) & name.eqNullSafe(F.col("_keep"))
+    size = F.coalesce("_hot_size", "_size").alias("group_size")
+    return found.select(*aside.back(), F.col("_keep").alias("keep_id"), size, kept.alias("kept"), F.col("_sha").alias("text_sha256"))
 
 
 def drop_copies(df: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:

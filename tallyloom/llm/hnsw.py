@@ -28,6 +28,8 @@ BATCH = 256
 WIDTH = 4
 #: Queries searched in step.
 BLOCK = 512
+#: Queries that one task answers for a shard, about; the shard is sent to as many tasks as they need.
+QUERIES_A_TASK = 20_000
 
 
 def _search(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, hold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -251,24 +253,26 @@ def nearest(queries: DataFrame, shards: DataFrame, k: int = 5, vec_id: str = "ve
     """
     asked = usable(queries, vec_id, vector)
     every = shards.select("shard", F.col("d").alias("_d"))
-    sent = asked.join(every, F.col("d") == F.col("_d")).select("shard", "d", "id", "v")
+    salts = max(1, -(-asked.count() // QUERIES_A_TASK))
+    salt = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
+    sent = asked.join(every, F.col("d") == F.col("_d")).select("shard", "d", salt.alias("salt"), "id", "v")
     packed = ["graph", "vectors", "members"]
-    held = shards.select("shard", "d", F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("v"), *packed)
+    held = shards.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select("shard", "d", "salt", F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("v"), *packed)
     rows = held.unionByName(sent.select("*", *(F.lit(None).cast("binary").alias(c) for c in packed)))
     # each shard's graph, and then its queries
-    rows = rows.repartition("shard", "d").sortWithinPartitions("shard", "d", F.col("id").asc_nulls_first())
+    rows = rows.repartition("shard", "d", "salt").sortWithinPartitions("shard", "d", "salt", F.col("id").asc_nulls_first())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, vectors = None, [], []
         for batch in batches:
-            for row, name in enumerate(batch.column(2).to_pylist()):
+            for row, name in enumerate(batch.column(3).to_pylist()):
                 if name is None:
                     if ids:
                         yield answer(now, ids, vectors, k, hold)
-                    now, ids, vectors = unpack_shard(*(batch.column(c)[row].as_py() for c in (4, 5, 6))), [], []
+                    now, ids, vectors = unpack_shard(*(batch.column(c)[row].as_py() for c in (5, 6, 7))), [], []
                     continue
                 ids.append(name)
-                vectors.append(np.asarray(batch.column(3)[row].values))
+                vectors.append(np.asarray(batch.column(4)[row].values))
                 if len(ids) == BLOCK:
                     yield answer(now, ids, vectors, k, hold)
                     ids, vectors = [], []

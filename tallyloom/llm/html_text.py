@@ -10,17 +10,18 @@ Boilerplate (menus, page headers, footers, sidebars, notices, adverts, forms, sc
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import table, written
+from tallyloom.llm.common import free_name, table, written
 from tallyloom.llm.url_filter import host_of
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
@@ -40,14 +41,16 @@ BOILERPLATE = re.compile(
 )
 #: A container is a page's, and its article and main elements are its article, if they have this part of the page's prose.
 MOST = 0.6
+#: Characters from which on a path is shortened.
+LONGEST = 400
 
 
 class Block:
-    __slots__ = ("parts", "linked", "boilerplate", "path", "article")
+    __slots__ = ("parts", "linked", "boilerplate", "node", "article")
 
-    def __init__(self, boilerplate: bool, path: tuple[str, ...], article: bool = False) -> None:
+    def __init__(self, boilerplate: bool, node: int, article: bool = False) -> None:
         self.parts: list[str] = []
-        self.linked, self.boilerplate, self.path, self.article = 0, boilerplate, path, article
+        self.linked, self.boilerplate, self.node, self.article = 0, boilerplate, node, article
 
     def text(self) -> str:
         whole = "".join(self.parts)
@@ -66,18 +69,61 @@ def _step(tag: str, attributes: str) -> tuple[str, bool]:
     return re.sub(r"\d+", "0", name), marked
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of text of a page in order, each with its containers' paths and whether it stands in boilerplate."""
+class Page:
+    """The blocks of text of a page in order, and its containers: each one's path, depth and the one around it (-1: none), which comes before it."""
+
+    def __init__(self, page: str) -> None:
+        self.path: list[str] = []
+        self.depth: list[int] = []
+        self.above: list[int] = []
+        self.blocks = self._read(page)
+
+    def _container(self, above: int, name: str) -> int:
+        """A new container. Paths that would get long name what is far up by a digest, so that deep nesting costs no more than its depth."""
+        up = self.path[above] if above >= 0 else ""
+        if len(up) > LONGEST:
+            up = "#" + hashlib.blake2b(up.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+        self.path.append(f"{up}/{name}")
+        self.depth.append(self.depth[above] + 1 if above >= 0 else 0)
+        self.above.append(above)
+        return len(self.path) - 1
+
+    def under(self, weights: list[float]) -> defaultdict[str, float]:
+        """The sum of the blocks' weights under each path."""
+        sums = [0.0] * len(self.path)
+        for block, weight in zip(self.blocks, weights, strict=True):
+            if block.node >= 0:
+                sums[block.node] += weight
+        found: defaultdict[str, float] = defaultdict(float)
+        for node in range(len(sums) - 1, -1, -1):
+            if self.above[node] >= 0:
+                sums[self.above[node]] += sums[node]
+            found[self.path[node]] += sums[node]
+        return found
+
+    def inside(self, path: str) -> list[bool]:
+        """Whether each block stands under path."""
+        within: list[bool] = []
+        for name, above in zip(self.path, self.above, strict=True):
+            within.append(name == path or (above >= 0 and within[above]))
+        return [b.node >= 0 and within[b.node] for b in self.blocks]
+
+    def _read(self, page: str) -> list[Block]:
+        return _blocks(page, self._container)
+
+
+def _blocks(page: str, container: Callable[[int, str], int]) -> list[Block]:
+    """The blocks of text of a page in order, each with its container and whether it stands in boilerplate."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, tuple[str, ...], bool]] = []  # tag, boilerplate, path of containers, in an article
-    now, links, at, size = Block(False, ()), 0, 0, len(page)
+    stack: list[tuple[str, bool, int, bool]] = []  # tag, boilerplate, container, in an article
+    now, links, at, size = Block(False, -1), 0, 0, len(page)
+    opened: Counter[str] = Counter()
 
     def close() -> None:
         nonlocal now
         if now.parts:
             found.append(now)
-        top = stack[-1] if stack else ("", False, (), False)
-        now = Block(*top[1:])
+        now = Block(*stack[-1][1:4]) if stack else Block(False, -1)
 
     while at < size:
         token = TOKEN.search(page, at)
@@ -108,9 +154,10 @@ def blocks(page: str) -> list[Block]:
                 close()
         elif tag in BLOCKS:
             if end:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
+                while opened[tag]:  # those within end with it
+                    last_tag = stack.pop()[0]
+                    opened[last_tag] -= 1
+                    if last_tag == tag:
                         break
                 links = 0
                 close()
@@ -118,13 +165,14 @@ def blocks(page: str) -> list[Block]:
                 close()
             else:
                 while stack and stack[-1][0] == "p" or stack and tag == stack[-1][0] and tag in ("li", "dt", "dd", "td", "th", "tr", "option"):
-                    stack.pop()  # their end tags may be left out
+                    opened[stack.pop()[0]] -= 1  # their end tags may be left out
                 name, marked = _step(tag, attributes or "")
-                _, under, path, article = stack[-1] if stack else ("", False, (), False)
-                if tag == "header" and not any(x[0] in ("article", "main") for x in stack):
+                _, under, node, article = stack[-1] if stack else ("", False, -1, False)
+                if tag == "header" and not opened["article"] and not opened["main"]:
                     marked = True
-                path = (*path, f"{path[-1] if path else ''}/{name}") if tag in CONTAINERS else path
-                stack.append((tag, under or marked, path, article or tag in ("article", "main")))
+                node = container(node, name) if tag in CONTAINERS else node
+                stack.append((tag, under or marked, node, article or tag in ("article", "main")))
+                opened[tag] += 1
                 close()
     close()
     return found
@@ -134,46 +182,38 @@ def _weight(block: Block) -> float:
     return max(0, len(block.text()) - 2 * block.linked)
 
 
-def needed(found: list[Block]) -> tuple[list[Block], bool]:
-    """The blocks that a page's text must have, and whether they are those of an article: what stands in article and main elements if most prose does, else all prose. Nothing of boilerplate."""
-    there = [(b, _weight(b)) for b in found if not b.boilerplate]
-    total, inside = sum(w for _, w in there), sum(w for b, w in there if b.article)
+def needed(page: Page) -> tuple[list[bool], list[float], bool]:
+    """Which blocks a page's text must have, each block's prose, and whether they are those of an article: what stands in article and main elements if most prose does, else all prose. Nothing of boilerplate."""
+    prose = [0.0 if b.boilerplate else _weight(b) for b in page.blocks]
+    total, inside = sum(prose), sum(w for b, w in zip(page.blocks, prose, strict=True) if b.article)
     if total and inside >= MOST * total:
-        return [b for b, _ in there if b.article and b.text()], True
-    return [b for b, w in there if w], False
+        return [b.article and not b.boilerplate and bool(b.text()) for b in page.blocks], prose, True
+    return [w > 0 for w in prose], prose, False
 
 
-def covering(found: list[Block], paths: list[str]) -> list[str]:
+def covering(page: Page, paths: list[str]) -> list[str]:
     """Those of paths under which all blocks stand that the page's text must have."""
-    must, _ = needed(found)
-    return [p for p in paths if p and must and all(p in b.path for b in must)]
+    must = needed(page)[0]
+    held = page.under(must)
+    return [p for p in paths if p and any(must) and held.get(p, 0) == sum(must)]
 
 
-def own_path(found: list[Block]) -> tuple[str, float]:
+def own_path(page: Page) -> tuple[str, float]:
     """The path of the deepest container with all of a page's article, or, without one, with most of its prose; and its share of the prose. Of several as deep, the one with most."""
-    prose: defaultdict[str, float] = defaultdict(float)
-    depth: dict[str, int] = {}
-    total = 0.0
-    for block in found:
-        if block.boilerplate:
-            continue
-        weight = _weight(block)
-        total += weight
-        for k, path in enumerate(block.path):
-            prose[path] += weight
-            depth[path] = k
-    able = covering(found, list(prose)) if needed(found)[1] else [p for p, x in prose.items() if total and x >= MOST * total]
-    best = max(able, key=lambda p: (depth[p], prose[p], p), default="")
-    return best, prose[best] / total if best else 0.0
+    must, prose, article = needed(page)
+    total, held = sum(prose), page.under(prose)
+    depth = dict(zip(page.path, page.depth, strict=True))
+    able = covering(page, list(held)) if article else [p for p, x in held.items() if total and x >= MOST * total]
+    best = max(able, key=lambda p: (depth[p], held[p], p), default="")
+    return best, held[best] / total if best else 0.0
 
 
-def text_at(found: list[Block], paths: list[str]) -> str:
+def text_at(page: Page, paths: list[str]) -> str:
     """The text under the first of paths that the page has prose in; all prose outside of boilerplate, if in none."""
-    there = [b for b in found if not b.boilerplate]
     for path in paths:
-        if path and (texts := [t for b in there if path in b.path and (t := b.text())]):
+        if path and (texts := [t for b, within in zip(page.blocks, page.inside(path), strict=True) if within and not b.boilerplate and (t := b.text())]):
             return "\n".join(texts)
-    return "\n".join(t for b in there if (t := b.text()))
+    return "\n".join(t for b in page.blocks if not b.boilerplate and (t := b.text()))
 
 
 def votes(pages: DataFrame, html: str = "html", host: str = "_host") -> DataFrame:
@@ -181,15 +221,16 @@ def votes(pages: DataFrame, html: str = "html", host: str = "_host") -> DataFram
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            named = [own_path(blocks(page or ""))[0] for page in batch.column(1).to_pylist()]
+            named = [own_path(Page(page or ""))[0] for page in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(named, pa.string())], names=["host", "path"])
 
     named = pages.select(F.coalesce(F.col(host), F.lit("")), html).mapInArrow(name, "host string, path string")
     return named.where("path <> ''").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
 
 
-#: Hosts up to which their paths are broadcast; with more, they are joined by a shuffle that splits hot hosts.
+#: Hosts up to which their paths are broadcast; with more, they are joined by a shuffle, where adaptive execution splits hot hosts.
 BROADCAST_HOSTS = 20_000
+#: Paths of a host that are tried, the most frequent first; a page that none of them holds is read by its own path.
 RANKED = 5
 
 
@@ -200,12 +241,13 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", out: str = "
     turn, ties in order of the path; then the page's own. One that leaves out a part of the page's article is passed over, so that every page is read whole.
     """
     pages = pages.drop(out)
-    keyed = pages.withColumn("_host", host_of(F.col(url)))
+    host, listed, of = (free_name(pages, n) for n in ("_host", "_paths", "_of"))
+    keyed = pages.withColumn(host, host_of(F.col(url)))
     best = Window.partitionBy("host").orderBy(F.desc("n"), "path")
-    ranked = votes(keyed, html).withColumn("_nth", F.row_number().over(best)).where(F.col("_nth") <= RANKED)
-    ranked = written(ranked.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("_nth", "path"))).getField("path").alias("_paths")), "host-paths")
+    ranked = votes(keyed, html, host).withColumn("_nth", F.row_number().over(best)).where(F.col("_nth") <= RANKED)
+    ranked = written(ranked.groupBy(F.col("host").alias(of)).agg(F.sort_array(F.collect_list(F.struct("_nth", "path"))).getField("path").alias(listed)), "host-paths")
     small = ranked.count() <= BROADCAST_HOSTS
-    joined = keyed.join(F.broadcast(ranked) if small else ranked, F.col("_host") == F.col("host"), "left").drop("host", "_host")
+    joined = keyed.join(F.broadcast(ranked) if small else ranked, F.col(host) == F.col(of), "left").drop(host, of)
     schema = T.StructType([*pages.schema.fields, T.StructField(out, T.StringType())])
     columns, place = pages.columns, pages.columns.index(html)
 
@@ -213,11 +255,11 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", out: str = "
         for batch in batches:
             texts = []
             for page, paths in zip(batch.column(place).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
-                found = blocks(page or "")
+                found = Page(page or "")
                 texts.append(text_at(found, covering(found, [*(paths or []), own_path(found)[0]])))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*columns, out])
 
-    return joined.select(*pages.columns, "_paths").mapInArrow(read, schema)
+    return joined.select(*pages.columns, listed).mapInArrow(read, schema)
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

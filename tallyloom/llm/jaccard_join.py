@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import give_back, in_slices, shuffle_partitions, table, text_or_empty, written
+from tallyloom.llm.common import drop_but, give_back, in_slices, shuffle_partitions, table, text_or_empty, written, written_tables
 from tallyloom.llm.shingles import WIDTH, mixed, shingle_sets
 from tallyloom.operators.linking import components
 
@@ -495,6 +495,7 @@ def near_copies(df: DataFrame, text: str = "text", row_id: str = "doc_id", width
     Null and empty texts, and those without words, have no shingles and are linked with nothing. Rows of one id are linked as different documents are. Rows
     without an id are linked too, and link others, but never name a component: theirs is null if no row of it has an id.
     """
+    before = written_tables()
     docs = df.select(F.col(row_id).cast("long").alias("_id"), text_or_empty(text).alias("_whole"))
     sized = written(candidates(docs, width), "sizes")
     able = _aside(sized.where("_can and _id is not null").select("_id").dropDuplicates())
@@ -508,6 +509,7 @@ def near_copies(df: DataFrame, text: str = "text", row_id: str = "doc_id", width
         least = written(named.groupBy("_class").agg(F.min("_least").alias("_least")), "named")
         named = named.drop("_least").join(_aside(least), "_class")
     named = written(named.select("_d", "_least"), "named")
+    drop_but(df.sparkSession, before, sized, named)
     # most documents can have no link; they take no part in the join
     met = sized.where("_can").join(_aside(named), F.col("_digest") == F.col("_d"), "left").select("_id", "_n", F.coalesce("_least", "_id").alias("_first"))
     result = met.unionByName(sized.where("not _can").select("_id", "_n", F.col("_id").alias("_first")))

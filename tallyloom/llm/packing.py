@@ -120,7 +120,7 @@ def best_two_fit(found: DataFrame, rows: int, room: int = LENGTH, group: int = G
         out["sequence_id"], out["offset"] = number + (int(key[0]) << 32), offset
         return out
 
-    dealt = found.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(groups)))
+    dealt = found.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("_group").applyInPandas(fill, schema)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import table, text_or_empty
+from tallyloom.llm.common import free_name, table, text_or_empty
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -257,7 +257,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*columns, out])
 
-    return kept.withColumn("_whole", text_or_empty(text)).mapInArrow(run, schema)
+    return kept.withColumn(free_name(kept, "_whole"), text_or_empty(text)).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
@@ -281,8 +281,9 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
 def round_trip(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", path: str | None = None) -> DataFrame:
     """df without its text column, encoded and then decoded in one pass over the rows."""
     path = path or public_tokenizers.path(MODEL)
-    kept = df.drop(ids, decoded).withColumn("_whole", text_or_empty(text)).drop(text)
-    whole_rows, kept = kept, kept.drop("_whole")
+    kept = df.drop(ids, decoded, text)
+    name = free_name(df, "_whole")
+    whole_rows = df.withColumn(name, text_or_empty(text)).select(*kept.columns, name)
     columns = kept.columns
     schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
 

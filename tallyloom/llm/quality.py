@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import in_slices, table, text_or_empty, written
+from tallyloom.llm.common import Aside, drop_but, in_slices, table, text_or_empty, written, written_tables
 
 ORDER, BITS = 4, 12
 ALPHABET = 1 << BITS
@@ -29,7 +29,7 @@ OWN = 0x250
 START, END = 1, 2
 FOLDS = 5
 QUANTILE, MARGIN = 0.995, 1.05
-#: Trusted rows that a language needs for a threshold of its own; others have that of all rows.
+#: Held-out trusted rows that a language needs for a threshold of its own alone; others have the higher one of their own and that of all rows, so that no small language is judged by large ones.
 ENOUGH = 50
 #: Code points and rows of a chunk, and rows of the model in a shard, about.
 CHUNK_CHARS, CHUNK_ROWS, SHARD_ROWS = 1_000_000, 2000, 20_000
@@ -265,25 +265,26 @@ def judged(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str =
     Trusted are rows whose every label of quality is 1. Null counts as the empty text; empty texts have no perplexity and are kept, as is all if no row is trusted. A null language is one of
     its own. Rows with the same id and text have the same result.
     """
-    docs = docs.drop("perplexity", "threshold", "kept")
-    columns = docs.columns
+    aside, before = Aside(docs, "perplexity", "threshold", "kept"), written_tables()
     trusted = labels.where("quality is not null").groupBy(F.col(row_id).alias("_id")).agg(F.min("quality").alias("_q")).where("_q = 1").select("_id")
-    keyed = docs.withColumn("_whole", text_or_empty(text)).withColumn("_id", F.col(row_id).cast("long")).withColumn("_hash", F.xxhash64("_whole")).withColumn("_lang", F.coalesce(lang, F.lit("")))
+    keyed = aside.rows.withColumn("_whole", text_or_empty(aside[text])).withColumn("_id", aside[row_id].cast("long")).withColumn("_hash", F.xxhash64("_whole")).withColumn("_lang", F.coalesce(aside[lang], F.lit("")))
     if trusted.count() <= BROADCAST_IDS:
         trusted = F.broadcast(trusted)
     fold = F.pmod(F.xxhash64("_id"), F.lit(FOLDS)) == 0
     counts = written(count_grams(keyed.join(trusted, "_id", "left_semi").where(~fold).select("_whole")), "kn-counts")
     if counts.isEmpty():
-        return docs.withColumn("perplexity", F.lit(None).cast("double")).withColumn("threshold", F.lit(None).cast("double")).withColumn("kept", F.lit(True))
+        return aside.rows.select(*aside.back(), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
     rows = written(model_rows(counts), "kn-model")
     found = written(scores(keyed.where("_whole <> ''"), rows), "kn-scores")
+    drop_but(docs.sparkSession, before, found)
     unseen = keyed.where(fold & (F.col("_whole") != "")).select("_id", "_hash", "_lang").join(trusted, "_id", "left_semi").join(found, ["_id", "_hash"])
     limit = F.percentile_approx("perplexity", F.lit(QUANTILE), F.lit(10_000)) * MARGIN
     every = unseen.agg(limit.alias("t")).collect()[0]["t"]
-    own = unseen.groupBy("_lang").agg(limit.alias("_own"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= ENOUGH).select("_lang", "_own")
+    own = unseen.groupBy("_lang").agg(limit.alias("_own"), F.count(F.lit(1)).alias("_n"))
+    own = own.select("_lang", F.when(F.col("_n") >= ENOUGH, F.col("_own")).otherwise(F.greatest("_own", F.lit(every).cast("double"))).alias("_own"))
     result = keyed.drop("_whole").join(found.withColumnRenamed("_id", "_i").withColumnRenamed("_hash", "_h"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), "left").join(own, "_lang", "left")
     result = result.withColumn("threshold", F.coalesce("_own", F.lit(every).cast("double"), F.lit(float("inf"))))
-    return result.withColumn("kept", F.col("perplexity").isNull() | (F.col("perplexity") <= F.col("threshold"))).select(*columns, "perplexity", "threshold", "kept")
+    return result.withColumn("kept", F.col("perplexity").isNull() | (F.col("perplexity") <= F.col("threshold"))).select(*aside.back(), "perplexity", "threshold", "kept")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

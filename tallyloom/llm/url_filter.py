@@ -16,13 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import in_slices, table, written
+from tallyloom.llm.common import Aside, drop_but, in_slices, table, written, written_tables
 
 #: host, path, verdict.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 ORDER = 5
-#: Slots of the hashed form of a small model (UrlModel), which judge() doesn't use.
-SLOTS = 1 << 16
 #: Of the rows that rules judge, one in so many calibrates and isn't counted.
 CALIBRATES = 5
 #: Scores are calibrated in steps of 1 / STEPS, between -RANGE and RANGE.
@@ -52,40 +50,6 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
     return F.coalesce(*named, F.lit(None).cast("string")), F.coalesce(*judged, F.lit(None).cast("string"))
 
 
-def _contexts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all characters of texts, one after the other: hash slots of their contexts of 0 to ORDER - 1 characters and of those with the character (both: orders x characters), and the text each is of."""
-    points = [np.frombuffer(t.encode("utf-32-le", "replace"), "<u4").astype(np.uint64) for t in texts]
-    size = np.array([len(p) + ORDER - 1 for p in points], np.int64)
-    flat = np.concatenate([x for p in points for x in (np.full(ORDER - 1, START, np.uint64), p)]) if points else np.zeros(0, np.uint64)
-    begin = np.cumsum(size) - size
-    within = np.arange(len(flat)) - np.repeat(begin, size)
-    here = np.flatnonzero(within >= ORDER - 1)
-    mix, slots, pairs = np.uint64(0x9E3779B97F4A7C15), [], []
-    code = np.zeros(len(here), np.uint64)
-    for k in range(ORDER):
-        if k:
-            code = (code + flat[here - k] + np.uint64(1)) * mix
-            code ^= code >> np.uint64(29)
-        both = (code + (flat[here] + np.uint64(k + 1)) * np.uint64(0xC2B2AE3D27D4EB4F)) * mix
-        slots.append(((code * mix) >> np.uint64(48)).astype(np.int64) % SLOTS)
-        pairs.append((both ^ both >> np.uint64(31)) * mix >> np.uint64(48))
-    return np.array(slots), np.array(pairs).astype(np.int64) % SLOTS, np.repeat(np.arange(len(texts)), size)[here]
-
-
-class UrlModel:
-    """A small model in hashed tables, to look at; judge() counts exactly. Counts of one class: pair[k] (context of k characters and the next one), context[k], and kinds[k] (different next ones)."""
-
-    def __init__(self, pair: np.ndarray, context: np.ndarray, kinds: np.ndarray) -> None:
-        self.pair, self.context, self.kinds = pair.astype(np.float64), context.astype(np.float64), kinds.astype(np.float64)
-
-    def log_likelihoods(self, slots: np.ndarray, pairs: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
-        p = np.full(text.shape, 1 / 256)
-        for k in range(ORDER):
-            kinds, seen = self.kinds[k][slots[k]], self.context[k][slots[k]]
-            p = np.where(seen > 0, (np.minimum(self.pair[k][pairs[k]], seen) + kinds * p) / (seen + np.maximum(kinds, 1)), p)
-        return np.bincount(text, np.log(p), texts)
-
-
 def _grams(texts: DataFrame, column: str) -> DataFrame:
     """column, gram, n: for the characters of text in rows of texts (column, text), the last ORDER - 1 before each (START before the first) and itself, and how many there are."""
 
@@ -161,17 +125,17 @@ def judge(pages: DataFrame, url: str = "url", rules: tuple[tuple[str, str, str],
     The models see whole urls, query and fragment too. Null and empty urls score 0 and so have the models' verdict at 0; those without "://" have an empty host
     and path. If rules judge no url, or none of one verdict, every other url scores 0 and is allowed.
     """
-    pages = pages.drop("host", "path", "rule", "verdict", "score")
-    host, path = host_of(F.col(url)), path_of(F.col(url))
-    parted = pages.withColumn("host", host).withColumn("path", path)
+    aside, before = Aside(pages, "host", "path", "rule", "verdict", "score"), written_tables()
+    parted = aside.rows.withColumn("host", host_of(aside[url])).withColumn("path", path_of(aside[url]))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    parted = parted.withColumn("rule", rule).withColumn("_ruled", verdict).withColumn("_whole", whole_of(F.col(url), F.col("host")))
+    parted = parted.withColumn("rule", rule).withColumn("_ruled", verdict).withColumn("_whole", whole_of(aside[url], F.col("host")))
     ruled = parted.where("_ruled is not null").select(F.col("_whole").alias("text"), F.col("_ruled").alias("verdict"))
     calibrates = F.pmod(F.xxhash64("text"), F.lit(CALIBRATES)) == 0
     counts = written(_counts(ruled.where(~calibrates)), "url-counts")
     totals = counts.agg(*(F.sum(v).alias(v) for v in VERDICTS)).collect()[0]
     if all(totals[v] for v in VERDICTS):
         scores = written(text_scores(parted.select(F.col("_whole").alias("text")), counts), "url-scores")
+        drop_but(pages.sparkSession, before, scores)
         cut = threshold(ruled.where(calibrates).join(scores, "text", "left").select(F.coalesce("score", F.lit(0.0)).alias("score"), "verdict"))
         # empty ones take no part in the join, where they would all be in one place
         scored = parted.where("_whole <> ''").join(scores, F.col("_whole") == F.col("text"), "left").drop("text")
@@ -179,7 +143,7 @@ def judge(pages: DataFrame, url: str = "url", rules: tuple[tuple[str, str, str],
     else:
         cut, scored = 0.0, parted.withColumn("score", F.lit(0.0))
     verdict = F.coalesce("_ruled", F.when(F.col("score") >= cut, "allow").otherwise("block"))
-    return scored.withColumn("verdict", verdict).select(*pages.columns, "host", "path", "rule", "verdict", "score")
+    return scored.withColumn("verdict", verdict).select(*aside.back(), "host", "path", "rule", "verdict", "score")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,16 +14,18 @@ that occur (32-bit, most frequent first) and each plane of the three (bits, high
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import table, text_or_empty, written
+from tallyloom.llm.common import shared_folder, table, text_or_empty, written
 from tallyloom.llm.word_bpe import END, default_path, encoder
 
 MAGIC = b"WM01"
@@ -267,13 +269,46 @@ def read_files(files: DataFrame) -> DataFrame:
     return files.select("part", "file").mapInArrow(read, "part long, doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def with_global_start(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """start as the number of ids of all documents before it. files has a row for about SHARD ids, so one task orders them."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = files.select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("_base"))
+def with_global_start(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """start as the number of ids of all documents before it. sizes: part and n_tokens of each file. Files of one range of ids are added up first, so one task only orders the ranges."""
+    ranged = sizes.withColumn("_range", F.shiftright("part", 32))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranged.groupBy("_range").agg(F.sum("n_tokens").alias("_all")).withColumn("_first", F.coalesce(F.sum("_all").over(before.orderBy("_range")), F.lit(0)))
+    within = F.coalesce(F.sum("n_tokens").over(before.partitionBy("_range").orderBy("part")), F.lit(0))
+    base = ranged.withColumn("_within", within).join(ranges, "_range").select("part", (F.col("_first") + F.col("_within")).alias("_base"))
     return rows.join(base, "part").select("doc_id", (F.col("start") + F.col("_base")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Writes each of files (see encode_files) as part-<part>.wm into folder, which all executors reach by pyarrow; its other columns come back, when all are written.
+
+    A file is written under another name and then renamed, so that a task that is run again, or twice at once, leaves whole files.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = pyarrow.fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("file"), strict=True):
+                aside = f"{root}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(aside) as to:
+                    to.write(blob.as_buffer())
+                system.move(aside, f"{root}/part-{part:020d}.wm")
+            yield batch.drop_columns(["file"])
+
+    system, root = pyarrow.fs.FileSystem.from_uri(folder)
+    system.create_dir(root)
+    return written(files.mapInArrow(write, FILES.removesuffix(", file binary")), "wavelet-sizes")
+
+
+def found_files(spark: SparkSession, folder: str) -> DataFrame:
+    """part and file of the files in folder."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.wm").load(folder)
+    return found.select(F.regexp_extract("path", r"part-(\d+)\.wm$", 1).cast("long").alias("part"), F.col("content").alias("file"))
+
+
 def op9_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = written(encode_files(table(spark, sf_dir, "documents")), "wavelet")
-    return with_global_start(read_files(files), files)
+    folder = f"{shared_folder(spark)}/wavelet-{uuid.uuid4().hex}"
+    if "://" not in folder and ":/" not in folder:
+        folder = "file://" + folder
+    sizes = write_files(encode_files(table(spark, sf_dir, "documents")), folder)
+    return with_global_start(read_files(found_files(spark, folder)), sizes)

@@ -7,6 +7,7 @@ import itertools
 import os
 import random
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -188,11 +189,63 @@ def test_html_text(spark):
 
 
 def test_consensus_overrules_a_page():
-    found = html_text.blocks("<body><div class=main><p>short</p></div><div class=other><p>a much longer text that wins on its own page</p></div></body>")
+    found = html_text.Page("<body><div class=main><p>short</p></div><div class=other><p>a much longer text that wins on its own page</p></div></body>")
     assert html_text.own_path(found)[0] == "/body/div.other"
     assert html_text.text_at(found, ["/nothere", "/body/div.main"]) == "short"
 
 
+def test_deep_nesting_costs_no_more_than_its_depth():
+    n = 6000
+    page = html_text.Page("<body>" + "<div>x " * n + "</div>" * n)
+    assert html_text.text_at(page, html_text.covering(page, [html_text.own_path(page)[0]])) == "\n".join(["x"] * n)
+    assert sum(map(len, page.path)) < 500 * n and len(set(page.path)) == n + 1
+
+
+class SecondParser(HTMLParser):
+    """The article of a page by the standard library's parser: an independent and plain reading for pages with one article element."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.blocks, self.now = [], [], ""
+
+    def flush(self):
+        tags = [t for t, _ in self.open]
+        if "article" in tags and not any(bad for _, bad in self.open) and (text := " ".join(self.now.split())):
+            self.blocks.append(text)
+        self.now = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.now += " "
+        elif tag in html_text.BLOCKS or tag in ("script", "style"):
+            self.flush()
+            bad = tag in html_text.BOILERPLATE_TAGS or tag in ("script", "style") or any(v and html_text.BOILERPLATE.search(v) for k, v in attrs if k in ("class", "id", "role"))
+            if tag not in html_text.EMPTY:
+                self.open.append((tag, bad))
+
+    def handle_endtag(self, tag):
+        if tag in html_text.BLOCKS or tag in ("script", "style"):
+            self.flush()
+            if tag in [t for t, _ in self.open]:
+                while self.open.pop()[0] != tag:
+                    pass
+
+    def handle_data(self, data):
+        self.now += data
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables aren't here")
+def test_registered_html_query_against_a_second_parser(spark):
+    got = {r["page_id"]: r for r in html_text.op4_html_text(spark, SF).collect()}
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    for page in pages:
+        parser = SecondParser()
+        parser.feed(page["html"])
+        parser.close()
+        assert got[page["page_id"]]["text"] == "\n".join(parser.blocks) and got[page["page_id"]]["n_chars"] == len("\n".join(parser.blocks))
+
+
 def test_no_part_of_an_article_is_left_out(spark):
     long = "a long paragraph of the text " * 20
     parts = ["Title here", "The lead of it", long.strip(), "Second section with some words"]
@@ -234,24 +287,6 @@ def test_url_filter(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
-def test_url_models_tell_two_languages():
-    good, bad = [f"good-host.net/green/{k}" for k in range(200)], [f"casino.biz/win/{k}" for k in range(200)]
-
-    def fit(texts):
-        slots, pairs, _ = url_filter._contexts(texts)
-        p, c, kinds = (np.zeros((url_filter.ORDER, url_filter.SLOTS)) for _ in range(3))
-        for k in range(url_filter.ORDER):
-            np.add.at(p[k], pairs[k], 1)
-            np.add.at(c[k], slots[k], 1)
-            np.add.at(kinds[k], [s for s, _ in {(a, b) for a, b in zip(slots[k].tolist(), pairs[k].tolist(), strict=True)}], 1)
-        return url_filter.UrlModel(p, c, kinds)
-
-    a, b = fit(good), fit(bad)
-    where = url_filter._contexts(["good-host.net/green/777", "casino.biz/win/777"])
-    gap = a.log_likelihoods(*where, 2) - b.log_likelihoods(*where, 2)
-    assert gap[0] > 0 > gap[1]
-
-
 def test_url_scores_are_exact_over_whole_urls(spark):
     rng = random.Random(3)
     kept = [f"http://x.com/fr/{rng.randrange(10**9):x}?kind=green" for _ in range(60)]
@@ -469,6 +504,43 @@ def test_pack_prefers_two_that_fit():
     assert number.max() == 1 and sorted(np.bincount(number, [60, 30, 20, 20]).tolist()) == [30, 100]
 
 
+def fewest(lengths, room):
+    """The fewest sequences that hold lengths, by trying all ways."""
+    best = len(lengths)
+
+    def place(left, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if not left:
+            best = len(bins)
+            return
+        for k in {b: i for i, b in enumerate(bins)}.values():
+            if bins[k] + left[0] <= room:
+                place(left[1:], [*bins[:k], bins[k] + left[0], *bins[k + 1 :]])
+        place(left[1:], [*bins, left[0]])
+
+    place(sorted(lengths, reverse=True), [])
+    return best
+
+
+def test_packing_is_near_the_fewest_sequences():
+    rng = random.Random(6)
+    more = 0
+    for _ in range(60):
+        lengths = [rng.randrange(1, 41) for _ in range(rng.randrange(1, 10))]
+        number, _ = packing.pack(np.array(lengths), 40)
+        more += len(set(number.tolist())) - fewest(lengths, 40)
+        assert all(sum(x for x, n in zip(lengths, number, strict=True) if n == b) <= 40 for b in set(number.tolist()))
+    assert more <= 2
+
+
+def test_repeated_rows_go_to_several_groups(spark):
+    df = table(spark, ["same text"] * 300).withColumn("doc_id", F.lit(7).cast("long"))
+    rows = packing.packed(df, group=50).collect()
+    assert len(rows) == 300 and len({r["sequence_id"] >> 32 for r in rows}) > 3
+
+
 def test_packed_documents(spark):
     texts = [*ODD, words(1, 9000)]
     t = Tokenizer.from_file(word_bpe.default_path())
@@ -523,6 +595,16 @@ def test_wavelet_files(spark):
     assert wavelet.encode_files(df.limit(0)).count() == 0
 
 
+def test_real_files_one_a_shard(spark, tmp_path):
+    df = table(spark, [words(k, 30) for k in range(40)])
+    folder = f"file://{tmp_path}/files"
+    sizes = wavelet.write_files(wavelet.encode_files(df, shard=200), folder)
+    names = sorted(os.listdir(f"{tmp_path}/files"))
+    assert len(names) == sizes.count() > 3 and all(n.startswith("part-") for n in names)
+    rows = wavelet.with_global_start(wavelet.read_files(wavelet.found_files(spark, folder)), sizes).orderBy("doc_id").collect()
+    assert [r["start"] for r in rows] == np.cumsum([0, *(r["n_tokens"] for r in rows)])[:-1].tolist() and len(rows) == 40
+
+
 # 10
 
 
@@ -594,3 +676,44 @@ def test_quality_keeps_clean_rows(spark):
     assert not got[120]["kept"] and not got[121]["kept"] and got[122]["kept"] and got[122]["perplexity"] is None
     assert sum(got[i]["kept"] for i in range(120)) >= 118
     assert all(r["kept"] for r in quality.judged(df, labels.limit(0)).collect()) and quality.judged(df.limit(0), labels).count() == 0
+
+
+# all of them
+
+CLASHES = "_whole _id _hash _lang _i _h _own _n _salt _nth _head _norm _point _keep _size _sha _ruled _host _paths _of host path _hot_sha _hot_id _hot_size c0 text_ lang_".split()
+OPERATORS = {
+    "pieces": lambda d, labels: pieces.decode(pieces.encode(d)),
+    "round_trip": lambda d, labels: pieces.round_trip(d),
+    "toxicity": lambda d, labels: toxicity.with_score(d, toxicity.fit([], [])),
+    "exact_dedup": lambda d, labels: exact_dedup.content_sort(d),
+    "html_text": lambda d, labels: html_text.extract(d, "text", "url", "found"),
+    "url_filter": lambda d, labels: url_filter.judge(d),
+    "quality": lambda d, labels: quality.judged(d, labels),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+@pytest.mark.parametrize("trusted", [0, 40])
+def test_columns_with_clashing_names_come_back_unchanged(spark, name, trusted):
+    if trusted and name != "quality":
+        pytest.skip("only the quality model is trained here")
+    df = table(spark, [words(k, 20) for k in range(60)]).withColumn("url", F.concat(F.lit("http://x.net/"), "doc_id"))
+    replaced = {"url_filter": {"host", "path"}}.get(name, set())
+    clashes = [c for c in CLASHES if c not in replaced]
+    df = df.select("*", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in clashes))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(trusted)], "doc_id long, quality int, toxic int")
+    rows = OPERATORS[name](df, labels).collect()
+    assert len(rows) == 60
+    for r in rows:
+        assert all(r[c] == f"{c}{r['doc_id']}" for c in clashes)
+
+
+def test_operators_that_return_rows_of_their_own_take_clashing_columns(spark):
+    df = table(spark, [words(k, 20) for k in range(20)])
+    wide = df.select("*", *(F.lit("x").alias(c) for c in [*CLASHES, "_class", "_token", "_group", "part", "shard", "salt", "piece", "start", "file"]))
+    assert {(r[0], r[1], r[2]) for r in jaccard_join.near_copies(wide).collect()} == {(r[0], r[1], r[2]) for r in jaccard_join.near_copies(df).collect()}
+    assert packing.packed(wide).count() == 20
+    assert wavelet.read_files(wavelet.encode_files(wide)).count() == 20
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "vec_id long, embedding array<float>")
+    more = vectors.select("*", *(F.lit("x").alias(c) for c in ("id", "v", "d", "shard", "salt", "rows", "graph")))
+    assert hnsw.nearest(more, hnsw.index(more)).count() == 45
