@@ -1,69 +1,52 @@
 """From raw documents to packed training sequences: toxicity, quality, exact copies, near copies, packing.
 
-Each stage works on all rows that the one before kept. The tables that a stage wrote to the shared folder are deleted when the next stage begins, since
-by then its result has been written.
+Each stage works on all rows that the one before kept. run() writes each stage's rows, and then deletes the tables that the stage has made in the shared folder
+on its way; a stage that is called by itself leaves them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import drop_tables, table, written, written_tables
+from tallyloom.llm.common import drop_but, table, written, written_tables
 from tallyloom.llm.exact_dedup import drop_copies
 from tallyloom.llm.jaccard_join import BROADCAST_IDS, near_copies
 from tallyloom.llm.packing import packed
 from tallyloom.llm.quality import judged
 from tallyloom.llm.toxicity import THRESHOLD, learn, with_score
 
-_left: list[str] = []
-#: Rows that go to a Python worker at once: whole texts can be long.
+#: Rows that go to a Python worker at once while run() works: whole texts can be long.
 BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_tables(spark, _left)
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-        before = set(written_tables())
-        result = work(spark, docs, sf_dir)
-        _left[:] = [t for t in written_tables() if t not in before]
-        return result
-
-    return run_stage
-
-
-@_stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted toxic. The model learns from labelled rows of docs that aren't held out."""
     scored = with_score(docs, learn(docs, table(spark, sf_dir, "labels")), out="_toxicity")
     return scored.where(F.col("_toxicity") < THRESHOLD).select(*docs.columns)
 
 
-@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity isn't above their language's threshold."""
     return judged(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
 
 
-@_stage
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal normalised texts the row with the smallest doc_id."""
     return drop_copies(docs)
 
 
-@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links make the row with the smallest doc_id. Rows without a doc_id stay: they name no group."""
+    before = written_tables()
     first = written(near_copies(docs).where("component_id = doc_id").select("doc_id").dropDuplicates(), "first")
+    drop_but(spark, before, first)
     if first.count() <= BROADCAST_IDS:
         first = F.broadcast(first)
     return docs.where("doc_id is not null").join(first, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
-@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document and its place in a sequence."""
     return packed(docs)
@@ -71,12 +54,18 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("packing", packing)]
 
-#: Trained models and hashed sets can't be written in SQL; tests/llm holds the pipeline against brute force.
+#: Trained models and hashed sets can't be written in SQL; tests/llm holds stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, work in STAGES[:-1]:
-        docs = written(work(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, before = table(spark, sf_dir, "documents"), spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, BATCH_ROWS)
+    try:
+        for name, work in STAGES[:-1]:
+            known = written_tables()
+            docs = written(work(spark, docs, sf_dir), f"stage-{name}")
+            drop_but(spark, known, docs)
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        spark.conf.set(_ROWS, before)
