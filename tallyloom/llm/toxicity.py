@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,6 +46,8 @@ OTHERS, HARD, ROUNDS = 1500, 1000, 4
 #: What a witness, a changed form of one and another window may weigh in the machine.
 WEIGHTS = 50.0, 3.0, 20.0
 PASSES = 40
+#: Code points of texts whose windows are held as one part.
+PART_CHARS = 300_000
 #: In the folds, one in so many texts that aren't toxic is used.
 PART = 4
 #: Letters that are looked up at a time.
@@ -94,9 +97,9 @@ class Windows:
         begin = np.repeat(start - 1, cut) + nth * (WINDOW // 2)
         end = np.minimum(np.repeat(start + size + 1, cut), begin + WINDOW + 2)
         two = np.flatnonzero((sentence[1:] == sentence[:-1]) & (size[1:] + size[:-1] <= PAIR))
-        self.begin = np.concatenate([begin, start[two] - 1])
-        self.end = np.concatenate([end, start[two + 1] + size[two + 1] + 1])
-        self.text = np.concatenate([np.repeat(text, cut), text[two]])
+        self.begin = np.concatenate([begin, start[two] - 1]).astype(np.int32)
+        self.end = np.concatenate([end, start[two + 1] + size[two + 1] + 1]).astype(np.int32)
+        self.text = np.concatenate([np.repeat(text, cut), text[two]]).astype(np.int32)
         self.texts = len(texts)
 
     def values(self, weight: np.ndarray, bias: float = 0.0, steps: list[tuple[int, int]] = STEPS) -> np.ndarray:
@@ -147,7 +150,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-(self.slope * windows.tops(windows.values(self.weight, self.bias)) + self.offset)))
 
 
-@functools.lru_cache(20_000)
+@functools.lru_cache(8_000)
 def vector(string: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Codes and weights of a string's triples, borders included, over the norm of its length."""
     c = np.frombuffer(string, np.uint8).astype(np.int64)
@@ -218,42 +221,72 @@ def changed(strings: list[bytes]) -> list[bytes]:
     return found
 
 
-def first_guess(windows: Windows, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+class Bags:
+    """The windows of many texts, in parts of a bounded number of code points, so that only one part's values are held at a time."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.parts: list[tuple[slice, Windows]] = []
+        first, size = 0, 0
+        for k, text in enumerate(texts):
+            size += len(text)
+            if size >= PART_CHARS or k + 1 == len(texts):
+                self.parts.append((slice(first, k + 1), Windows(texts[first : k + 1])))
+                first, size = k + 1, 0
+
+    def witnesses(self, weight: np.ndarray, bias: float, texts: np.ndarray, steps: list[tuple[int, int]] = STEPS) -> list[bytes]:
+        return [w for at, part in self.parts if texts[at].any() for w in part.witnesses(part.values(weight, bias, steps), texts[at], 0.0)]
+
+    def tops(self, weight: np.ndarray, bias: float) -> np.ndarray:
+        return np.concatenate([part.tops(part.values(weight, bias)) for _, part in self.parts])
+
+    def some(self, texts: np.ndarray, most: int) -> set[bytes]:
+        """About so many windows of texts (flags), drawn at random."""
+        draw = np.random.default_rng(5)
+        able = [np.flatnonzero(texts[at][part.text]) for at, part in self.parts]
+        share = min(1.0, most / max(1, sum(map(len, able))))
+        return {w for (_, part), a in zip(self.parts, able, strict=True) for w in part.strings(a[draw.random(len(a)) < share])}
+
+    def hard(self, weight: np.ndarray, bias: float, texts: np.ndarray, known: set[bytes]) -> list[bytes]:
+        """The windows of texts (flags) with the highest values, HARD at most, all over -0.8 and not known."""
+        best: dict[bytes, float] = {}
+        for at, part in self.parts:
+            values = part.values(weight, bias)
+            near = np.flatnonzero(texts[at][part.text] & (values > -0.8))
+            near = near[np.argsort(-values[near], kind="stable")[: 4 * HARD]]
+            best.update((w, v) for w, v in zip(part.strings(near), values[near].tolist(), strict=True) if w not in known)
+            best = dict(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:HARD])
+        return list(best)
+
+
+def first_guess(bags: Bags, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
     """For each triple in a row, the log-odds that a toxic text has it (flags), where that is above 0 and three of them do."""
-    c = windows.codes.astype(np.int64)
-    codes = (c[:-2] << 6 | c[1:-1]) << 6 | c[2:]
-    text = np.zeros(len(c), np.int64)
-    order = np.argsort(windows.begin, kind="stable")
-    text[windows.begin[order]] = windows.text[order]
-    seen = np.unique(np.maximum.accumulate(text)[: len(codes)] * LETTERS**3 + codes)
-    of, code = seen // LETTERS**3, seen % LETTERS**3
-    n = [np.bincount(code[flag[of]], minlength=LETTERS**3) for flag in (toxic, clean)]
+    n = np.zeros((2, LETTERS**3))
+    for at, part in bags.parts:
+        c = part.codes.astype(np.int64)
+        codes = (c[:-2] << 6 | c[1:-1]) << 6 | c[2:]
+        text = np.zeros(len(c), np.int64)
+        text[part.begin] = part.text
+        seen = np.unique(np.maximum.accumulate(text)[: len(codes)] * LETTERS**3 + codes)
+        of, code = seen // LETTERS**3, seen % LETTERS**3
+        for k, flag in enumerate((toxic, clean)):
+            n[k] += np.bincount(code[flag[at][of]], minlength=LETTERS**3)
     odds = np.log((n[0] + 0.5) / (toxic.sum() + 1)) - np.log((n[1] + 0.5) / (clean.sum() + 1))
     return np.where((n[0] > 2) & (odds > 0), odds, 0).astype(np.float32)
 
 
-def _train(windows: Windows, pos: list[bytes], clean: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
+def _train(bags: Bags, pos: list[bytes], clean: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
     """The machine of witnesses against windows of clean texts, to which those that score highest are added round by round."""
-    pos = sorted(pos)
-    often = sorted(set(pos), key=lambda w: (-pos.count(w), w))
-    other = np.flatnonzero(clean[windows.text])
-    draw = np.random.default_rng(5)
-    bad = sorted(set(windows.strings(draw.choice(other, min(len(other), OTHERS), replace=False))) - set(often))
+    seen = Counter(pos)
+    often = sorted(seen, key=lambda w: (-seen[w], w))
+    bad = sorted(bags.some(clean, OTHERS) - set(often))
     forms = changed(often[:VARIED])
     landmarks = often[: LANDMARKS * 3 // 4] + bad[: LANDMARKS // 4]
     good = often + forms
-    for turn in range(rounds):
+    for _ in range(rounds):
         y = np.array([1.0] * len(good) + [-1.0] * len(bad))
-        c = np.array([WEIGHTS[0] * min(8, pos.count(w)) / 8 for w in often] + [WEIGHTS[1]] * len(forms) + [WEIGHTS[2]] * len(bad))
+        c = np.array([WEIGHTS[0] * min(8, seen[w]) / 8 for w in often] + [WEIGHTS[1]] * len(forms) + [WEIGHTS[2]] * len(bad))
         weight, bias = _nystrom(landmarks, good + bad, y, c)
-        values = windows.values(weight, bias)
-        near = other[values[other] > -0.8]
-        near = near[np.argsort(-values[near], kind="stable")]
-        known, hard = set(bad), []
-        for w in windows.strings(near[: 20 * HARD]):
-            if w not in known and len(hard) < HARD:
-                known.add(w)
-                hard.append(w)
+        hard = bags.hard(weight, bias, clean, set(bad))
         if not hard:
             break
         bad = bad + hard
@@ -273,19 +306,19 @@ def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
         met.update(own)
     some = np.sort(np.concatenate([np.flatnonzero(y & np.array(new)), np.flatnonzero(~y)[::PART]]))
     clean, rows = ~y[some], np.flatnonzero(y[some])
-    windows = Windows([texts[i] for i in some])
+    bags = Bags([texts[i] for i in some])
     folds = [np.isin(np.arange(len(some)), rows[k::2]) for k in (0, 1)]
-    found = [windows.witnesses(windows.values(first_guess(windows, f, clean), steps=[(1, 2)]), f, 0.0) for f in folds]
+    found = [bags.witnesses(first_guess(bags, f, clean), 0.0, f, [(1, 2)]) for f in folds]
     for _ in range(2):
-        machines = [_train(windows, pos, clean, 2) if pos else None for pos in found]
-        found = [windows.witnesses(windows.values(*m), f, 0.0) if m else [] for m, f in zip(machines[::-1], folds, strict=True)]
+        machines = [_train(bags, pos, clean, 2) if pos else None for pos in found]
+        found = [bags.witnesses(*m, f) if m else [] for m, f in zip(machines[::-1], folds, strict=True)]
     pos = found[0] + found[1]
     if not pos:
         return blank
-    windows = Windows(texts)
-    weight, bias = _train(windows, pos, ~y, ROUNDS)
+    bags = Bags(texts)
+    weight, bias = _train(bags, pos, ~y, ROUNDS)
     # the curve: each text by its most toxic window, with the targets of Platt
-    top, y = windows.tops(windows.values(weight, bias)), y.astype(int)
+    top, y = bags.tops(weight, bias), y.astype(int)
     target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((y == 0).sum() + 2))
     a, b = 1.0, 0.0
     for _ in range(200):
