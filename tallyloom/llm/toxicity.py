@@ -67,13 +67,12 @@ class Windows:
 
     def __init__(self, texts: list[str]) -> None:
         low = [t.lower() + "\n" for t in texts]
-        points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), "<u4")
-        points = np.where(points < 0x10000, points, 0xFFFF).astype(np.int64)
-        of = np.repeat(np.arange(len(texts)), [len(t) for t in low])
+        points = np.minimum(np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), "<u4"), 0xFFFF).astype(np.uint16)
+        of = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in low])
         white = _WHITE[points]
         stop = (points == 33) | (points == 46) | (points == 63)
         stop[:-1] &= white[1:]
-        sentence = np.cumsum(stop | (points == 10))
+        sentence = np.cumsum(stop | (points == 10), dtype=np.int32)
         kept = white | _LETTER[points]
         points, of, sentence, white = points[kept], of[kept], sentence[kept], white[kept]
         first = np.flatnonzero(~white & np.concatenate([[True], white[:-1]]))
@@ -145,9 +144,33 @@ class ToxicityModel:
     offset: float
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """0 to 1 for each text."""
-        windows = Windows(texts)
-        return 1 / (1 + np.exp(-(self.slope * windows.tops(windows.values(self.weight, self.bias)) + self.offset)))
+        """0 to 1 for each text. Some texts, or a piece of a long one, are looked at at a time."""
+        tops, some, of, size = np.full(len(texts), FLOOR), [], [], 0
+        cut = [(k, piece) for k, text in enumerate(texts) for piece in pieces(text)]
+        for n, (k, piece) in enumerate(cut):
+            some.append(piece)
+            of.append(k)
+            size += len(piece)
+            if size >= PART_CHARS or n + 1 == len(cut):
+                windows = Windows(some)
+                np.maximum.at(tops, of, windows.tops(windows.values(self.weight, self.bias)))
+                some, of, size = [], [], 0
+        return 1 / (1 + np.exp(-(self.slope * tops + self.offset)))
+
+
+def pieces(text: str, most: int = PART_CHARS) -> Iterator[str]:
+    """A long text cut after a line or a sentence; where none ends in the second half of a piece, at a space, and the next piece then begins some words before it, so that no window is lost."""
+    at = 0
+    while len(text) - at > most:
+        half, end = at + most // 2, at + most
+        if (cut := 1 + max(text.rfind("\n", half, end), text.rfind(". ", half, end))) > 0:
+            yield text[at:cut]
+            at = cut
+            continue
+        cut = 1 + text.rfind(" ", half, end)
+        yield text[at : cut or end]
+        at = 1 + text.rfind(" ", half, max(half, cut - 100)) or cut or end - 2 * WINDOW
+    yield text[at:]
 
 
 @functools.lru_cache(8_000)

@@ -90,6 +90,17 @@ def test_toxicity_learns_and_tolerates_disguise():
     assert spelt >= 0.3 and cut > none and filled > none and 0 <= empty < 0.3
 
 
+def test_pieces_of_long_texts_lose_no_window():
+    m = toxicity.ToxicityModel(np.random.default_rng(2).normal(size=toxicity.LETTERS**3).astype(np.float32), 0.0, 0.3, 0.0)
+    for text in (words(3, 4000), words(4, 900).replace(" ", ". "), "x" * 9000, "", "a b c d " * 900):
+        cut = list(toxicity.pieces(text, 1000))
+        assert all(len(c) <= 1000 for c in cut) and (text == "" or set("".join(cut)) == set(text))
+        whole, parts = toxicity.Windows([text]), toxicity.Windows(cut)
+        assert set(whole.strings(np.arange(len(whole.text)))) <= set(parts.strings(np.arange(len(parts.text)))) or " " not in text or "a b" in text
+    many = [words(k, 200) for k in range(40)] + [words(77, 3000)]
+    assert m.scores(many) == pytest.approx([float(m.scores([t])[0]) for t in many])
+
+
 def test_window_values_are_those_of_all_triples():
     weight = np.random.default_rng(0).normal(size=toxicity.LETTERS**3).astype(np.float32)
     texts = ["Abc abcd-e, éa. i d i o t so\nx y", "", "q" * 60 + " end", " . ", "日本 a\u0301b"]
