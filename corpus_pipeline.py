@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences: toxicity, quality, exact copies, near copies, packing.
 
 Each stage works on all rows that the one before kept. run() writes each stage's rows, and then deletes the tables that the stage has made in the shared folder
-on its way; a stage that is called by itself leaves them.
+on its way; a stage that is called by itself leaves them. Stages lower the session's number of rows that go to a Python worker at once to BATCH_ROWS, and leave it so: what
+they return runs later.
 """
 
 from __future__ import annotations
@@ -16,19 +17,26 @@ from tallyloom.llm.packing import packed
 from tallyloom.llm.quality import judged
 from tallyloom.llm.toxicity import THRESHOLD, learn, with_score
 
-#: Rows that go to a Python worker at once while run() works: whole texts can be long.
+#: Rows that go to a Python worker at once, at most: whole texts can be long.
 BATCH_ROWS = 1000
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _few_rows(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted toxic. The model learns from labelled rows of docs that aren't held out."""
+    _few_rows(spark)
     scored = with_score(docs, learn(docs, table(spark, sf_dir, "labels")), out="_toxicity")
     return scored.where(F.col("_toxicity") < THRESHOLD).select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity isn't above their language's threshold."""
+    _few_rows(spark)
     return judged(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
 
 
@@ -39,6 +47,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links make the row with the smallest doc_id. Rows without a doc_id stay: they name no group."""
+    _few_rows(spark)
     before = written_tables()
     first = written(near_copies(docs).where("component_id = doc_id").select("doc_id").dropDuplicates(), "first")
     drop_but(spark, before, first)
@@ -49,6 +58,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document and its place in a sequence."""
+    _few_rows(spark)
     return packed(docs)
 
 
@@ -59,13 +69,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = table(spark, sf_dir, "documents"), spark.conf.get(_ROWS)
-    spark.conf.set(_ROWS, BATCH_ROWS)
-    try:
-        for name, work in STAGES[:-1]:
-            known = written_tables()
-            docs = written(work(spark, docs, sf_dir), f"stage-{name}")
-            drop_but(spark, known, docs)
-        return STAGES[-1][1](spark, docs, sf_dir)
-    finally:
-        spark.conf.set(_ROWS, before)
+    docs = table(spark, sf_dir, "documents")
+    for name, work in STAGES[:-1]:
+        known = written_tables()
+        docs = written(work(spark, docs, sf_dir), f"stage-{name}")
+        drop_but(spark, known, docs)
+    return STAGES[-1][1](spark, docs, sf_dir)
