@@ -7,12 +7,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import char_grams, normal_form, text_hash
+from tallyloom.operators.places import with_place
 
 
 def keep_first(rows: DataFrame, order: str, text: str = "text") -> DataFrame:
-    """The first row of each normalised text. What is grouped is the hash, and each side is combined before the shuffle."""
-    first = rows.groupBy(text_hash(F.col(text)).alias("_h")).agg(F.min(order).alias(order)).drop("_h")
-    return rows.join(first, order, "left_semi")
+    """The first row of each normalised text, a null text being an empty one; of rows that share an order and a text all stay. What is grouped is the hash, and each side is combined before the shuffle."""
+    own = text_hash(F.coalesce(F.col(text), F.lit("")))
+    first = rows.groupBy(own.alias("_h")).agg(F.min(order).alias("_first"))
+    return rows.join(first, (own == F.col("_h")) & (F.col(order) == F.col("_first")), "left_semi")
 
 
 def split_counts(rows: DataFrame, split: str, language: str, positive: Column, hard: Column) -> DataFrame:
@@ -47,8 +49,8 @@ def largest_remainder(weights: DataFrame, total: int, key: str = "key", weight:
 
 def round_robin(rows: DataFrame, order: str, size: int) -> DataFrame:
     """rows with chunk: dealt in turn to as many chunks as are needed for size rows each at most."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    return rows.withColumn("chunk", F.pmod(F.row_number().over(Window.orderBy(order)) - 1, F.ceil(n / size)).cast("int"))
+    chunks = max(1, -(-rows.count() // size))
+    return with_place(rows, order, out="_place").withColumn("chunk", F.pmod("_place", F.lit(chunks)).cast("int")).drop("_place")
 
 
 def stratified(rows: DataFrame, stratum: str, row_id: str, n: int, seed: int = 0) -> DataFrame:

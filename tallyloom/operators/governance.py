@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,19 +36,20 @@ def quota_used(rows: DataFrame, partner: str, received: str, ts: str, since: Col
 def rate_limited(hits: DataFrame, key: str, row_id: str, seconds: str, window: float, most: int) -> DataFrame:
     """key, id, allowed: a hit is denied if most allowed hits are younger than window; denied hits don't count. Each key is one fold, in order of time and id.
 
-    A long history is read in pieces: what is kept between them is most times at most.
+    A long history is read in pieces: what is kept between them is most times at most. A key's hits depend on one another, so one key is one task.
     """
     schema = f"{key} {hits.schema[key].dataType.simpleString()}, {row_id} {hits.schema[row_id].dataType.simpleString()}, allowed boolean"
     ordered = hits.select(key, row_id, F.col(seconds).cast("double").alias("_s")).repartition(key).sortWithinPartitions(key, "_s", row_id)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held = object(), []
+        now, held = object(), deque()
         for part in parts:
             said = []
             for k, s in zip(part[key], part["_s"], strict=True):
                 if k != now:
-                    now, held = k, []
-                held = [h for h in held if s - h < window]
+                    now, held = k, deque()
+                while held and s - held[0] >= window:
+                    held.popleft()
                 said.append(len(held) < most)
                 if said[-1]:
                     held.append(s)

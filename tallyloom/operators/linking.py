@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.places import with_place
 from tallyloom.sources.shared import drop_but, written, written_tables
 
 #: Nodes up to which where they go (two of their names each) is broadcast; with more, all joins are shuffles.
@@ -77,8 +78,8 @@ def merge_overlay(label: DataFrame, overlay: DataFrame, most_share: float = 0.5)
 def organizations(members: DataFrame) -> DataFrame:
     """org_id, component, size, first_member of each component; ids are org_0, org_1... by falling size, then by smallest member. members: id, component."""
     sized = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first_member"))
-    place = F.row_number().over(Window.orderBy(F.desc("size"), "first_member")) - 1
-    return sized.withColumn("org_id", F.concat(F.lit("org_"), place)).select("org_id", "component", "size", "first_member")
+    placed = with_place(sized, F.desc("size"), "first_member")
+    return placed.withColumn("org_id", F.concat(F.lit("org_"), F.col("place"))).select("org_id", "component", "size", "first_member")
 
 
 def group_numbers(members: DataFrame, number: str = "number") -> DataFrame:
@@ -118,4 +119,5 @@ def ranked(members: DataFrame, now: Column, days: int = 7) -> DataFrame:
         F.count("ts").alias("dated"),
     )
     scored = orgs.join(times, "component").withColumn("priority", F.round(priority(F.col("size"), recency(F.col("last_ts"), now), growth(F.col("recent"), F.col("dated"))), 6))
-    return scored.withColumn("queue_place", F.row_number().over(Window.orderBy(F.desc("priority"), F.desc("size"), "first_member")))
+    placed = with_place(scored, F.desc("priority"), F.desc("size"), "first_member", out="queue_place")
+    return placed.withColumn("queue_place", F.col("queue_place") + 1)

@@ -113,3 +113,42 @@ def runs(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
     marked = rows.withColumn("_new", F.when(F.lag(value).over(by).eqNullSafe(F.col(value)), 0).otherwise(1))
     marked = marked.withColumn("run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(group, "run", value).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n"))
+
+
+def rolling_text(texts: Column, room: int = 6000, head: int = 4) -> Column:
+    """The turns of a call so far as one text: all if they fit, else the first head turns and as many of the last as fit, the newest always. See rolling_window()."""
+
+    def cost(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda a, t: a + F.length(t) + 1)
+
+    first = F.slice(texts, 1, head)
+    spent = cost(first)
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("back"))
+
+    def step(acc: Column, t: Column) -> Column:
+        back = acc["back"] + F.length(t) + 1
+        fits = (acc["back"] == 0) | (spent + back - 1 <= room)
+        return F.struct(F.when(fits, F.concat(acc["kept"], F.array(t))).otherwise(acc["kept"]).alias("kept"), back.alias("back"))
+
+    last = F.reverse(F.aggregate(F.reverse(F.slice(texts, head + 1, F.greatest(F.size(texts), F.lit(1)))), start, step)["kept"])
+    return F.when(cost(texts) - 1 <= room, F.array_join(texts, "\n")).otherwise(F.array_join(F.concat(first, last), "\n"))
+
+
+def session(turns: DataFrame, tactics: list, call: str = "conv_id", turn: str = "turn", text: str = "text", conf: str = "conf", room: int = 6000, head: int = 4) -> DataFrame:
+    """A call turn by turn: call, turn, risk, hits (of the window's scorer), score, latched and band of the meter, tags (names so far), new_evidence (phrases no earlier turn had), and
+    whether advice is due (from the medium band up). The scorer sees the rolling window; hard signals raise the meter."""
+    from tallyloom.operators import scoring
+
+    by = Window.partitionBy(call).orderBy(turn)
+    so_far, before = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(Window.unboundedPreceding, -1)
+    rows = turns.select(call, turn, F.col(conf).alias("conf"), F.collect_list(F.coalesce(text, F.lit(""))).over(so_far).alias("_texts"))
+    rows = rows.withColumn("hits", scoring.hits(rolling_text(F.col("_texts"), room, head), tactics)).drop("_texts")
+    rows = rows.withColumn("risk", scoring.risk_of(F.col("hits"))).withColumn("ids", F.transform(F.filter("hits", lambda h: h["hard"]), lambda h: h["tactic"]))
+    phrases = F.transform("hits", lambda h: h["text"])
+    rows = rows.withColumn("tags", F.array_distinct(F.flatten(F.collect_list(F.transform("hits", lambda h: h["tactic"])).over(so_far))))
+    rows = rows.withColumn("new_evidence", F.array_except(phrases, F.flatten(F.collect_list(phrases).over(before))))
+    states = meter(rows, call, turn).select(F.col(call).alias("_call"), F.explode("trace").alias("_s"))
+    numbered = rows.withColumn("_n", F.row_number().over(by))
+    met = numbered.join(states, (F.col(call) == F.col("_call")) & (F.col("_n") == F.col("_s.turn")))
+    level = band(F.col("_s.score"))
+    return met.select(call, turn, "risk", "hits", F.col("_s.score").alias("score"), F.col("_s.latched").alias("latched"), level.alias("band"), "tags", "new_evidence", (level != "low").alias("advice"))

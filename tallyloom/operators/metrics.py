@@ -186,3 +186,8 @@ def temperature(rows: DataFrame, rounds: int = 3, points: int = 101, low: float
         best = min(range(points), key=lambda i: (found[i], i))
         low, high = max(0.05, grid[best] - step), min(10.0, grid[best] + step)
     return grid[best]
+
+
+def false_positives(rows: DataFrame, threshold: float) -> DataFrame:
+    """Rows of truth 0 that score threshold or more."""
+    return rows.where((F.col("truth") == 0) & (F.col("score") >= threshold))

@@ -45,7 +45,13 @@ def components_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.link_by_shared_keys(day.unionByName(code))
 
 
-@query("component_overlay")
+OVERLAY = f"SELECT id, 'c' || component AS key FROM ({MEMBERS}) UNION ALL SELECT id, 't' || code FROM ({INCIDENTS}) WHERE code >= 90 AND code IN (SELECT code FROM ({INCIDENTS}) GROUP BY code HAVING count(*) <= 0.5 * (SELECT count(*) FROM events))"
+
+
+@query("component_overlay", f"""WITH RECURSIVE k AS MATERIALIZED ({OVERLAY}), g AS MATERIALIZED (SELECT DISTINCT a.key AS a, b.key AS b FROM k a JOIN k b USING (id)),
+reach AS (SELECT DISTINCT key AS a, key AS b FROM k UNION SELECT r.a, g.b FROM reach r JOIN g ON r.b = g.a),
+low AS (SELECT a AS key, min(id) AS m FROM reach JOIN k ON reach.b = k.key GROUP BY a)
+SELECT k.id, min(m) AS component FROM k JOIN low USING (key) GROUP BY k.id""")
 def component_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of users joined by a second grouping (the code, from 90 on), where that is small enough."""
     rows = members(spark, sf_dir)

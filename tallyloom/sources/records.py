@@ -40,16 +40,23 @@ def count_records(spark: SparkSession, path: str) -> int:
 
 
 def write_whole(df: DataFrame, path: str, kind: str = "json") -> None:
-    """Writes beside the path and renames, so that a reader sees the old table or the new one."""
+    """Writes beside the path; then the old table is renamed aside, the new one to the path, and the old one deleted. A crash loses neither: one of both is under the path or beside it.
+    Between the two renames a reader finds nothing."""
     spark = df.sparkSession
     staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
     df.write.format(kind).save(staged)
     old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, staged))
     files = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.exists(old):
-        files.delete(old, True)
+    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
+    there = files.exists(old)
+    if there and not files.rename(old, aside):
+        raise OSError(f"{path} can't be renamed")
     if not files.rename(new, old):
+        if there:
+            files.rename(aside, old)
         raise OSError(f"{staged} can't be renamed")
+    if there:
+        files.delete(aside, True)
 
 
 def append_records(df: DataFrame, path: str) -> None:
