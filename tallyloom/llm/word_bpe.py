@@ -19,7 +19,7 @@ MODEL = "word_bpe_49k.json"
 #: The end id after each document.
 END = 1
 #: Words in a worker's table.
-WORDS = 1_000_000
+WORDS = 250_000
 
 
 #: A lower-case Latin-1 word and what follows it; both are pre-tokens of their own.
