@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import Aside, drop_but, in_slices, table, text_or_empty, written, written_tables
+from tallyloom.llm.common import Aside, drop_but, give_back, in_slices, table, text_or_empty, written, written_tables
 
 ORDER, BITS = 4, 12
 ALPHABET = 1 << BITS
@@ -254,6 +254,8 @@ def scores(docs: DataFrame, rows: DataFrame) -> DataFrame:
                     model = ShardModel(*(np.array(batch.column(c)[row].values.to_pylist(), t) for c, t in ((3, int), (4, bool), (5, np.int64), (6, float))))
                 else:
                     yield _answer(model, payload)
+        model = payload = batch = None
+        give_back()
 
     sums = both.mapInArrow(answer, "_id long, _hash long, lp double, n long").groupBy("_id", "_hash").agg(F.sum("lp").alias("lp"), F.sum("n").alias("n"))
     return sums.select("_id", "_hash", F.exp(-F.col("lp") / F.col("n")).alias("perplexity"))
