@@ -252,6 +252,8 @@ def sizes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 own += np.packbits(np.array([not x for x in ids.is_valid().to_pylist()], bool)).tobytes() + np.asarray(ids.fill_null(0)).astype("<i8").tobytes()
                 rows.append((-1, name, own))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "batch", "payload"])
+        batch = some = sets = cut = tokens = owner = order = rows = own = None
+        give_back()
 
     return docs.mapInArrow(ask, "part long, batch long, payload binary")
 
