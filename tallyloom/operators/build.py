@@ -220,3 +220,31 @@ def run_states(plan: DataFrame, done: DataFrame, chunk: str) -> DataFrame:
     rows = plan.join(done, chunk, "left")
     state = F.when(F.coalesce("n", F.lit(0)) == 0, "missing").when(F.col("n") < F.col("wanted"), "incomplete").when(F.col("passes").isNull(), "written").when(F.col("passes"), "qc_pass").otherwise("qc_fail")
     return rows.select(chunk, state.alias("state"))
+
+
+def grid_gaps(rows: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """For each cell that is planned or has rows: n rows and its state, filled, missing or unplanned. A null key equals none, so a null cell is missing and its rows are unplanned."""
+    held = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    planned = cells.select(*keys).dropDuplicates().withColumn("_planned", F.lit(True))
+    state = F.when(F.col("_planned").isNull(), "unplanned").when(F.col("n").isNull(), "missing").otherwise("filled")
+    return planned.join(held, keys, "full").select(*keys, F.coalesce("n", F.lit(0)).alias("n"), state.alias("state"))
+
+
+def cue_free(rows: DataFrame, groups: list[str], positive: Column, found: Column) -> DataFrame:
+    """positives of each group, those of them without a cue (found: the cues of a row), and their share; groups without positives are left out."""
+    none = F.coalesce(F.size(found), F.lit(0)) <= 0
+    counted = rows.where(positive).groupBy(*groups).agg(F.count(F.lit(1)).alias("positives"), F.sum(F.when(none, 1).otherwise(0)).alias("cue_free"))
+    return counted.withColumn("share", F.round(F.col("cue_free") / F.col("positives"), 6))
+
+
+def review_list(rows: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:
+    """Rows that somebody has to look at, with their reasons, sorted: the names of the checks that are true of them. A check that is null isn't."""
+    named = F.array(*(F.when(check, F.lit(name)) for name, check in checks))
+    reasons = F.array_sort(F.array_distinct(F.filter(named, lambda r: r.isNotNull())))
+    return rows.withColumn("reasons", reasons).where(F.size("reasons") > 0)
+
+
+def table_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Each row as a line of a Markdown table (line): nulls are empty, bars are escaped, line ends become spaces."""
+    cells = [F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\|", r"\\|"), r"[\r\n]+", " ") for c in columns]
+    return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))

@@ -191,3 +191,23 @@ def temperature(rows: DataFrame, rounds: int = 3, points: int = 101, low: float
 def false_positives(rows: DataFrame, threshold: float) -> DataFrame:
     """Rows of truth 0 that score threshold or more."""
     return rows.where((F.col("truth") == 0) & (F.col("score") >= threshold))
+
+
+def by_ledger(rows: DataFrame, ledger: DataFrame, row_id: str = "id") -> DataFrame:
+    """Each row twice, by subset: all, and inspected if the ledger has its id, else clean. Rows without an id are clean; ids that the ledger has several times count once."""
+    seen = ledger.select(F.col(row_id).alias("_seen")).dropDuplicates()
+    told = rows.join(seen, rows[row_id] == seen["_seen"], "left")
+    subset = F.array(F.lit("all"), F.when(F.col("_seen").isNotNull(), "inspected").otherwise("clean"))
+    return told.withColumn("subset", F.explode(subset)).drop("_seen")
+
+
+def paired_split(rows: DataFrame, threshold: float, truth: str = "truth", before: str = "before", after: str = "after", groups: list[str] | None = None) -> DataFrame:
+    """What a change of the same rows does to their scores: recall and fpr before and after it, and how many rows cross the threshold upwards (raised) or downwards (lowered). A null score is below it; rows of an unknown truth count as flips alone."""
+    was, now = (F.coalesce(F.col(c) >= threshold, F.lit(False)) for c in (before, after))
+
+    def count(which: Column) -> Column:
+        return F.coalesce(F.sum(F.when(which, 1).otherwise(0)), F.lit(0))
+
+    yes, no = F.col(truth) == 1, F.col(truth) == 0
+    sides = [F.round(ratio(count(kind & side), count(kind)), 6).alias(f"{name}_{when}") for name, kind in (("recall", yes), ("fpr", no)) for when, side in (("before", was), ("after", now))]
+    return rows.groupBy(*(groups or [])).agg(*sides, count(now & ~was).alias("raised"), count(was & ~now).alias("lowered"))

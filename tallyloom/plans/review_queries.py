@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text as tx
 from tallyloom.operators import build, intake, linking, live, metrics, roles, scoring
-from tallyloom.plans.base import ORDERS_NOW, TURNS, load, query
+from tallyloom.plans.base import ORDERS_NOW, RATES, SCORED, TURNS, counts_sql, load, query, scored
 from tallyloom.plans.evaluation import BAND, STATES
 from tallyloom.plans.text_queries import HEX, NORM
 
@@ -276,8 +276,6 @@ def lexicon_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("false_positives", "SELECT id, score, source, lang FROM ({}) WHERE truth = 0 AND score >= 0.9".format("SELECT doc_id AS id, lang, source, toxic AS truth, ((n_chars * 7 + doc_id * 13) % 101) / 100.0::DOUBLE AS score FROM documents JOIN labels USING (doc_id)"))
 def false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tallyloom.plans.base import scored
-
     return metrics.false_positives(scored(spark, sf_dir), 0.9).select("id", "score", "source", "lang")
 
 
@@ -287,3 +285,52 @@ def word_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "conversations")
     after = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("said"))
     return build.word_errors(rows.join(after, ["conv_id", "turn"]), "text", "said", ["role"])
+
+
+@query("subset_metrics", f"""WITH r AS (SELECT s.*, unnest(['all', CASE WHEN quality = 0 THEN 'inspected' ELSE 'clean' END]) AS subset FROM ({SCORED}) s JOIN labels ON doc_id = id),
+c AS (SELECT subset, {counts_sql("truth", "(score >= 0.5)::INTEGER")} FROM r GROUP BY 1) SELECT *, {RATES} FROM c""")
+def subset_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of all rows, of those that somebody has inspected (of low quality) and of the others."""
+    ledger = load(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("id"))
+    rows = metrics.by_ledger(scored(spark, sf_dir), ledger)
+    return metrics.with_rates(rows.groupBy("subset").agg(*metrics.confusion(F.col("truth"), (F.col("score") >= 0.5).cast("int"))))
+
+
+def _side(name: str, kind: int, column: str) -> str:
+    return f"round(CASE WHEN count(*) FILTER (truth = {kind}) > 0 THEN count(*) FILTER (truth = {kind} AND {column} >= 0.5) / count(*) FILTER (truth = {kind}) ELSE 0 END, 6)::DOUBLE AS {name}_{column}"
+
+
+@query("paired_split", f"""WITH h AS (SELECT turn, (role = 'user')::INTEGER AS truth, {hits_sql("text")} AS b, {hits_sql("replace(text, 'ei', 'i')")} AS a FROM conversations),
+r AS (SELECT turn, truth, {RISK.format("b")} AS before, {RISK.format("a")} AS after FROM h)
+SELECT turn, {", ".join(_side(n, k, c) for n, k in (("recall", 1), ("fpr", 0)) for c in ("before", "after"))}, count(*) FILTER (after >= 0.5 AND before < 0.5) AS raised, count(*) FILTER (before >= 0.5 AND after < 0.5) AS lowered FROM r GROUP BY turn""")
+def paired_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scorer on turns as they are and as a recogniser may mishear them; the user's turns stand for positives."""
+    risks = [scoring.risk_of(scoring.hits(text, TACTICS)).alias(name) for text, name in ((F.col("text"), "before"), (F.regexp_replace("text", "ei", "i"), "after"))]
+    rows = load(spark, sf_dir, "conversations").select("turn", (F.col("role") == "user").cast("int").alias("truth"), *risks)
+    return metrics.paired_split(rows, 0.5, groups=["turn"])
+
+
+@query("cue_free", f"SELECT turn, count(*) AS positives, count(*) FILTER (len({hits_sql('text')}) = 0) AS cue_free, round(count(*) FILTER (len({hits_sql('text')}) = 0) / count(*), 6)::DOUBLE AS share FROM conversations WHERE role = 'user' GROUP BY turn")
+def cue_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.cue_free(load(spark, sf_dir, "conversations"), ["turn"], F.col("role") == "user", scoring.hits(F.col("text"), TACTICS))
+
+
+@query("grid_gaps", """WITH p AS (SELECT DISTINCT source, lang FROM documents WHERE lang <> 'de'), h AS (SELECT source, lang, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY 1, 2)
+SELECT coalesce(p.source, h.source) AS source, coalesce(p.lang, h.lang) AS lang, coalesce(n, 0) AS n, CASE WHEN p.source IS NULL THEN 'unplanned' WHEN n IS NULL THEN 'missing' ELSE 'filled' END AS state FROM p FULL JOIN h ON p.source = h.source AND p.lang = h.lang""")
+def grid_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxic rows against a plan of a cell for each source and each language but one."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    rows = docs.join(load(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "doc_id")
+    return build.grid_gaps(rows, docs.where("lang <> 'de'"), ["source", "lang"])
+
+
+@query("review_list", "SELECT doc_id, array_to_string(r, ',') AS reasons FROM (SELECT doc_id, list_sort(list_filter([CASE WHEN n_chars < 200 THEN 'short' END, CASE WHEN instr(text, '|') > 0 THEN 'bars' END, CASE WHEN instr(text, '@') > 0 THEN 'address' END], lambda x: x IS NOT NULL)) AS r FROM documents) WHERE len(r) > 0")
+def review_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = [("short", F.col("n_chars") < 200), ("bars", F.col("text").contains("|")), ("address", F.col("text").contains("@"))]
+    found = build.review_list(load(spark, sf_dir, "documents"), checks)
+    return found.select("doc_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("table_lines", "SELECT '| ' || n_nationkey || ' | ' || n_name || ' | ' || n_regionkey || ' |' AS line FROM nation")
+def table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.table_lines(load(spark, sf_dir, "nation"), ["n_nationkey", "n_name", "n_regionkey"])

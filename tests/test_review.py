@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as tx
-from tallyloom.operators import build, corpus, intake, linking, live, places, roles, scoring
+from tallyloom.operators import build, corpus, intake, linking, live, metrics, places, roles, scoring
 from tallyloom.sources import records
 
 
@@ -194,3 +194,24 @@ def test_everything_else_works_without_the_training_package(tmp_path):
     shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "*.pyc"))
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, any(k.startswith('op') and k[2].isdigit() for k in q), len(e.oracle_sql()))"], cwd=tmp_path / "copy", capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=True).stdout.split()
     assert int(said[0]) > 100 and said[1:3] == ["False", "False"] and int(said[3]) > 80
+
+
+def test_subsets_and_flips_with_nulls_repeats_and_no_rows(spark):
+    rows = spark.createDataFrame([(1, 1, 0.9, 0.1), (2, 0, 0.2, 0.8), (2, 0, None, 0.9), (None, 1, 0.7, 0.7)], "id long, truth int, before double, after double")
+    ledger = spark.createDataFrame([(2,), (2,), (None,)], "id long")
+    got = sorted((r["subset"], r["id"] or 0) for r in metrics.by_ledger(rows, ledger).collect())
+    assert got == [("all", 0), ("all", 1), ("all", 2), ("all", 2), ("clean", 0), ("clean", 1), ("inspected", 2), ("inspected", 2)]
+    assert metrics.paired_split(rows, 0.5).first().asDict() == {"recall_before": 1.0, "recall_after": 0.5, "fpr_before": 0.0, "fpr_after": 1.0, "raised": 2, "lowered": 1}
+    assert metrics.paired_split(rows.limit(0), 0.5).first()["recall_before"] == 0.0
+
+
+def test_grid_cues_reviews_and_lines_with_nulls(spark):
+    rows = spark.createDataFrame([("a", 1, "x|y"), ("a", 1, "p\nq"), ("c", 0, None), (None, 1, "")], "cell string, yes int, text string")
+    cells = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "cell string")
+    got = {tuple(r) for r in build.grid_gaps(rows, cells, ["cell"]).collect()}
+    assert got == {("a", 2, "filled"), ("b", 0, "missing"), ("c", 1, "unplanned"), (None, 0, "missing"), (None, 1, "unplanned")}
+    free = build.cue_free(rows, ["cell"], F.col("yes") == 1, F.filter(F.split("text", ""), lambda c: c == "x"))
+    assert {tuple(r) for r in free.collect()} == {("a", 2, 1, 0.5), (None, 1, 1, 1.0)}
+    listed = build.review_list(rows, [("z", F.col("yes") == 1), ("b", F.col("text").contains("|"))])
+    assert sorted(tuple(r["reasons"]) for r in listed.collect()) == [("b", "z"), ("z",), ("z",)]
+    assert {r["line"] for r in build.table_lines(rows, ["cell", "text"]).collect()} == {"| a | x\\|y |", "| a | p q |", "| c |  |", "|  |  |"}
