@@ -46,8 +46,8 @@ def content_sort(df: DataFrame, text: str = "text", row_id: str = "doc_id", shar
     keyed = rows.withColumn("_sha", F.sha2(norm, 256)).withColumn("_head", F.substring(norm, 1, PREFIX))
     # at most parts * share + 1 rows of fixed width
     keyed = keyed.join(F.broadcast(hot), F.col("_sha") == F.col("_hot_sha"), "left")
-    # beside rows with ids, those without are never kept, and dealt by where they stand
-    dealt_by = F.coalesce(name.cast("string"), F.monotonically_increasing_id().cast("string"))
+    # beside rows with ids, those without are never kept, and dealt by their input partition, which a task that is run again shares
+    dealt_by = F.coalesce(name.cast("string"), F.spark_partition_id().cast("string"))
     salt = F.pmod(F.xxhash64(dealt_by), F.ceil(F.col("_hot_size") / F.lit(share_of)))
     # one row of a group without any id stays, so these must be together
     keyed = keyed.withColumn("_salt", F.when(F.col("_hot_id").isNotNull(), salt).otherwise(F.lit(0)))

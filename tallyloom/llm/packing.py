@@ -120,7 +120,8 @@ def best_two_fit(found: DataFrame, rows: int, room: int = LENGTH, group: int = G
         out["sequence_id"], out["offset"] = number + (int(key[0]) << 32), offset
         return out
 
-    dealt = found.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length", F.monotonically_increasing_id()), F.lit(groups)))
+    # equal rows are dealt by their input partition, not by their place in it: a task that is run again must deal the same rows alike
+    dealt = found.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length", F.spark_partition_id()), F.lit(groups)))
     return dealt.groupBy("_group").applyInPandas(fill, schema)
 
 
