@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as tx
-from tallyloom.operators import corpus, rules
+from tallyloom.operators import corpus, rouge, rules
 from tallyloom.plans.base import load, query
 from tallyloom.sources import records
 
@@ -133,6 +133,13 @@ def rouge_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("next is not null").select("conv_id", "turn", F.round(tx.rouge_l("text", "next"), 6).alias("rouge_l"))
 
 
+@query("max_rouge_l")
+def max_rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The highest ROUGE-L of each benchmark text with any other, where it is 0.7 or more: all count as one language."""
+    rows = load(spark, sf_dir, "benchmark").withColumn("lang", F.lit(None).cast("string"))
+    return rouge.max_rouge_l(rows, "item_id").withColumn("rouge_l", F.round("rouge_l", 6))
+
+
 @query("name_similarity", "SELECT a.p_partkey, b.p_partkey AS other, round(1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)), 6)::DOUBLE AS similarity FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey")
 def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_type")
