@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import cross_parsing, dual_tree, exact_dedup, hnsw, html_text, jaccard_join, packing, pieces, quality, toxicity, url_filter, wavelet
+from tallyloom.llm import alignment, cross_parsing, dual_tree, exact_dedup, hnsw, html_text, jaccard_join, packing, pieces, quality, toxicity, url_filter, wavelet
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
     "op10_quality": quality.op10_quality,
+    "op11_alignment": alignment.op11_alignment,
     "op12_cross_parsing": cross_parsing.op12_cross_parsing,
     "op13_dual_tree": dual_tree.op13_dual_tree,
     "op2_toxicity": toxicity.op2_toxicity,
