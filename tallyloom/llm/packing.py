@@ -1,6 +1,6 @@
 """Best-two-fit packing of tokenised documents into sequences of a fixed length.
 
-A document longer than a sequence is cut into pieces of that length; shorter ones stay whole. Pieces are dealt at random
+A document longer than a sequence is cut into pieces of that length; shorter ones stay whole. Pieces that fill a sequence are one. The others are dealt at random
 (by hash) to groups of about GROUP pieces, and each group is packed alone: some thousand pieces fill sequences almost
 without gaps, and a group leaves at most one poorly filled sequence.
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import in_slices, table, text_or_empty
+from tallyloom.llm.common import in_slices, table, text_or_empty, written
 from tallyloom.llm.word_bpe import END, default_path, encoder
 
 LENGTH = 4096
@@ -87,6 +87,7 @@ def pack(lengths: np.ndarray, room: int = LENGTH) -> tuple[np.ndarray, np.ndarra
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES_NAMES = [c.split()[0] for c in PIECES.split(", ")]
 
 
 def pieces(df: DataFrame, text: str = "text", row_id: str = "doc_id", path: str | None = None, room: int = LENGTH, end: int = END) -> DataFrame:
@@ -108,30 +109,36 @@ def pieces(df: DataFrame, text: str = "text", row_id: str = "doc_id", path: str
     return df.select(F.col(row_id).cast("long"), text_or_empty(text)).mapInArrow(cut, PIECES)
 
 
-def best_two_fit(found: DataFrame, rows: int, room: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """found (see pieces) with sequence_id and offset. rows: about how many pieces there are; it sets the number of groups."""
-    groups = max(1, round(rows / group))
+def best_two_fit(found: DataFrame, room: int = LENGTH, group: int = GROUP) -> DataFrame:
+    """found (see pieces) with sequence_id and offset.
+
+    Pieces as long as a sequence are one each. The others are numbered in a written table and dealt by the number's hash, so that equal rows go to different groups like others, and a task
+    that runs again deals them alike; a group has about as many pieces as it should, whatever they are.
+    """
+    numbered = written(found, "pieces").withColumn("_n", F.monotonically_increasing_id())
+    whole = numbered.where(F.col("length") == room).select(*PIECES_NAMES, (-1 - F.col("_n")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = numbered.where(F.col("length") < room)
+    groups = max(1, round(rest.count() / group))
     schema = PIECES + ", sequence_id long, offset long"
 
     def fill(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["doc_id", "piece"], kind="stable", ignore_index=True)
+        part = part.sort_values(["doc_id", "piece", "_n"], kind="stable", ignore_index=True)
         number, offset = pack(part["length"].to_numpy(), room)
-        out = part[["doc_id", "piece", "start", "length", "ids_crc32"]].copy()
+        out = part[PIECES_NAMES].copy()
         out["sequence_id"], out["offset"] = number + (int(key[0]) << 32), offset
         return out
 
-    # equal rows are dealt by their input partition, not by their place in it: a task that is run again must deal the same rows alike
-    dealt = found.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length", F.spark_partition_id()), F.lit(groups)))
-    return dealt.groupBy("_group").applyInPandas(fill, schema)
+    packed = rest.withColumn("_group", F.pmod(F.xxhash64("_n"), F.lit(groups))).groupBy("_group").applyInPandas(fill, schema)
+    return whole.unionByName(packed)
 
 
 def packed(df: DataFrame, text: str = "text", row_id: str = "doc_id", path: str | None = None, room: int = LENGTH, group: int = GROUP) -> DataFrame:
     """Every document of df in sequences of at most room tokens.
 
     Null and empty texts are a document of the end id alone. Documents with the same id, or without one, are packed like others and
-    each has its own rows. An empty table gives no rows.
+    each has its own rows. An empty table gives no rows. The table of pieces stays in the shared folder until the session drops it.
     """
-    return best_two_fit(pieces(df, text, row_id, path, room), df.count(), room, group)
+    return best_two_fit(pieces(df, text, row_id, path, room), room, group)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
