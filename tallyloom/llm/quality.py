@@ -171,7 +171,7 @@ def _pack(docs: int, names: bytes, keys: np.ndarray, place: np.ndarray, n: np.nd
     steps[first] = place[first]
     far = steps[steps >= 255].astype("<u2").tobytes()
     planes = np.diff(different, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
-    body = planes + each.astype("<u2").tobytes() + np.minimum(steps, 255).astype(np.uint8).tobytes() + n.astype(np.uint8).tobytes() + far
+    body = planes + each.astype("<u4").tobytes() + np.minimum(steps, 255).astype(np.uint8).tobytes() + n.astype(np.uint8).tobytes() + far
     return struct.pack("<QQQ", docs, len(different), len(keys)) + names + zstandard.ZstdCompressor(level=1).compress(body)
 
 
@@ -185,10 +185,10 @@ def _unpack(payload: bytes) -> tuple[int, list[np.ndarray]]:
     body = zstandard.ZstdDecompressor().decompress(payload[at:])
     keys = np.cumsum(np.ascontiguousarray(np.frombuffer(body, np.uint8, 8 * different).reshape(8, -1).T).view("<i8").ravel())
     at = 8 * different
-    each = np.frombuffer(body, "<u2", different, at).astype(np.int64)
-    steps = np.frombuffer(body, np.uint8, entries, at + 2 * different).astype(np.int64)
-    n = np.frombuffer(body, np.uint8, entries, at + 2 * different + entries)
-    steps[steps == 255] = np.frombuffer(body, "<u2", -1, at + 2 * different + 2 * entries)
+    each = np.frombuffer(body, "<u4", different, at).astype(np.int64)
+    steps = np.frombuffer(body, np.uint8, entries, at + 4 * different).astype(np.int64)
+    n = np.frombuffer(body, np.uint8, entries, at + 4 * different + entries)
+    steps[steps == 255] = np.frombuffer(body, "<u2", -1, at + 4 * different + 2 * entries)
     total = np.cumsum(steps)
     first = np.cumsum(each) - each
     place = total - np.repeat(total[first] - steps[first], each)
