@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import drop_but, table, written, written_tables
 from tallyloom.llm.exact_dedup import drop_copies
-from tallyloom.llm.jaccard_join import BROADCAST_IDS, near_copies
+from tallyloom.llm.jaccard_join import drop_near_copies
 from tallyloom.llm.packing import packed
 from tallyloom.llm.quality import judged
 from tallyloom.llm.toxicity import THRESHOLD, learn, with_score
@@ -46,14 +46,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links make the row with the smallest doc_id. Rows without a doc_id stay: they name no group."""
+    """Of each group that links make the row with the smallest doc_id, those without one last."""
     _few_rows(spark)
-    before = written_tables()
-    first = written(near_copies(docs).where("component_id = doc_id").select("doc_id").dropDuplicates(), "first")
-    drop_but(spark, before, first)
-    if first.count() <= BROADCAST_IDS:
-        first = F.broadcast(first)
-    return docs.where("doc_id is not null").join(first, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return drop_near_copies(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

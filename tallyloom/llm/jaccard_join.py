@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyloom.llm.common import drop_but, give_back, in_slices, shuffle_partitions, table, text_or_empty, written, written_tables
+from tallyloom.llm.common import Aside, drop_but, give_back, in_slices, shuffle_partitions, table, text_or_empty, written, written_tables
 from tallyloom.llm.shingles import WIDTH, mixed, shingle_sets
 from tallyloom.operators.linking import components
 
@@ -491,12 +492,8 @@ def class_links(classes: DataFrame) -> DataFrame | None:
     return components(settled.unionByName(rest))
 
 
-def near_copies(df: DataFrame, text: str = "text", row_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id that links reach) of each row of df, and its columns otherwise not.
-
-    Null and empty texts, and those without words, have no shingles and are linked with nothing. Rows of one id are linked as different documents are. Rows
-    without an id are linked too, and link others, but never name a component: theirs is null if no row of it has an id.
-    """
+def _grouped(df: DataFrame, text: str, row_id: str, width: int) -> DataFrame:
+    """_id, _n (shingles), _digest, _first (smallest id that links reach) and _class (the group that links make; null where no other row is in it for certain) of each row."""
     before = written_tables()
     docs = df.select(F.col(row_id).cast("long").alias("_id"), text_or_empty(text).alias("_whole"))
     sized = written(candidates(docs, width), "sizes")
@@ -510,12 +507,58 @@ def near_copies(df: DataFrame, text: str = "text", row_id: str = "doc_id", width
         named = named.join(_aside(label), F.col("_class") == F.col("node"), "left").select("_d", F.coalesce("component", "_class").alias("_class"), "_least")
         least = written(named.groupBy("_class").agg(F.min("_least").alias("_least")), "named")
         named = named.drop("_least").join(_aside(least), "_class")
-    named = written(named.select("_d", "_least"), "named")
+    named = written(named.select("_d", "_least", "_class"), "named")
     drop_but(df.sparkSession, before, sized, named)
     # most documents can have no link; they take no part in the join
-    met = sized.where("_can").join(_aside(named), F.col("_digest") == F.col("_d"), "left").select("_id", "_n", F.coalesce("_least", "_id").alias("_first"))
-    result = met.unionByName(sized.where("not _can").select("_id", "_n", F.col("_id").alias("_first")))
-    return result.select(F.col("_id").alias(row_id), F.col("_n").alias("n_shingles"), F.col("_first").alias("component_id"))
+    met = sized.where("_can").join(_aside(named), F.col("_digest") == F.col("_d"), "left").select("_id", "_n", "_digest", F.coalesce("_least", "_id").alias("_first"), "_class")
+    return met.unionByName(sized.where("not _can").select("_id", "_n", "_digest", F.col("_id").alias("_first"), F.lit(None).cast("long").alias("_class")))
+
+
+def near_copies(df: DataFrame, text: str = "text", row_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id that links reach) of each row of df, and its columns otherwise not.
+
+    Null and empty texts, and those without words, have no shingles and are linked with nothing. Rows of one id are linked as different documents are. Rows
+    without an id are linked too, and link others, but never name a component: theirs is null if no row of it has an id.
+    """
+    return _grouped(df, text, row_id, width).select(F.col("_id").alias(row_id), F.col("_n").alias("n_shingles"), F.col("_first").alias("component_id"))
+
+
+def _with_digest(aside: Aside, text: str, width: int) -> DataFrame:
+    """The rows with _n and _digest of their shingles."""
+    at = [n.lower() for n in aside.names].index(text.lower())
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in in_slices(batches):
+            sets = shingle_sets([t or "" for t in some.column(at).to_pylist()], width) if some.num_rows else []
+            more = [pa.array([len(s) for s in sets], pa.int64()), pa.array(map(digest, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*some.columns, *more], names=[*some.schema.names, "_n", "_digest"])
+
+    return aside.rows.mapInArrow(add, T.StructType([*aside.rows.schema.fields, T.StructField("_n", T.LongType()), T.StructField("_digest", T.BinaryType())]))
+
+
+def drop_near_copies(df: DataFrame, text: str = "text", row_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
+    """Of the rows of df that links make a group, the one with the smallest id (rows without an id come last; ties: by a digest of the shingles). All others stay as they are.
+
+    Rows are told apart by their id; where several rows have the same one, or none, by their shingles as well. Rows without shingles are in no group.
+    """
+    before = written_tables()
+    rows = written(_grouped(df, text, row_id, width), "near-rows")
+    order = F.struct(F.col("_id").isNull().alias("x"), F.col("_id").alias("y"), F.col("_digest").alias("z"))
+    linked = rows.where("_class is not null")
+    first = linked.groupBy("_class").agg(F.min(order).alias("_w"))
+    gone = written(linked.join(first, "_class").where(order > F.col("_w")).select("_id", "_digest").dropDuplicates(), "gone")
+    many = written(rows.groupBy("_id").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1 or _id is null").select("_id"), "repeated-ids")
+    drop_but(df.sparkSession, before, gone, many)
+    aside = Aside(df)
+    key = aside[row_id].cast("long")
+    out = _aside(gone.select("_id").unionByName(many).where("_id is not null").dropDuplicates())
+    plain = aside.rows.where(key.isNotNull()).join(out, key == F.col("_id"), "left_anti")
+    if many.isEmpty():
+        return plain.select(*aside.back())
+    repeated = _with_digest(aside, text, width).join(_aside(many.withColumnRenamed("_id", "_r")), key.eqNullSafe(F.col("_r")), "left_semi")
+    repeated = repeated.join(_aside(gone.toDF("_g", "_h")), key.eqNullSafe(F.col("_g")) & (F.col("_digest") == F.col("_h")), "left_anti").withColumn("_key", key)
+    one = repeated.where("_n > 0").dropDuplicates(["_key", "_digest"]).unionByName(repeated.where("_n = 0"))
+    return plain.select(*aside.back()).unionByName(one.select(*aside.back()))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import itertools
 import os
 import random
 import zlib
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -548,8 +549,18 @@ def test_packing_is_near_the_fewest_sequences():
 
 def test_repeated_rows_go_to_several_groups(spark):
     df = table(spark, ["same text"] * 300).withColumn("doc_id", F.lit(7).cast("long"))
-    rows = packing.packed(df, group=50).collect()
-    assert len(rows) == 300 and len({r["sequence_id"] >> 32 for r in rows}) > 3
+    for parts in (1, 2, 8):
+        rows = packing.packed(df.repartition(parts), group=50).collect()
+        groups = Counter(r["sequence_id"] >> 32 for r in rows)
+        assert len(rows) == 300 and len(groups) == 6 and max(groups.values()) < 100
+
+
+def test_long_texts_make_no_larger_groups(spark):
+    rows = packing.packed(table(spark, [words(n, 3000) for n in range(30)]), room=64, group=100).collect()
+    full = [r for r in rows if r["length"] == 64]
+    assert len(full) > 2000 and len({r["sequence_id"] for r in full}) == len(full) and all(r["offset"] == 0 for r in full)
+    rest = [r for r in rows if r["length"] < 64]
+    assert len(rest) <= 30 and not {r["sequence_id"] for r in rest} & {r["sequence_id"] for r in full}
 
 
 def test_packed_documents(spark):
@@ -728,3 +739,26 @@ def test_operators_that_return_rows_of_their_own_take_clashing_columns(spark):
     vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "vec_id long, embedding array<float>")
     more = vectors.select("*", *(F.lit("x").alias(c) for c in ("id", "v", "d", "shard", "salt", "rows", "graph")))
     assert hnsw.nearest(more, hnsw.index(more)).count() == 45
+
+
+def test_very_long_texts_of_one_character_are_judged(spark):
+    """More entries of one n-gram in a chunk than 16 bits hold."""
+    n = 17_500_000
+    keys, place = quality.grams(["a" * n])
+    different, times = np.unique(keys, return_counts=True)
+    several = -(-times // 255)
+    body = quality._pack(1, bytes(17), np.repeat(different, several), np.zeros(int(several.sum()), np.int64), np.full(int(several.sum()), 1))
+    docs, parts = quality._unpack(body)
+    assert docs == 1 and parts[3].tolist() == different.tolist() and parts[4].tolist() == several.tolist()
+    assert len(place) == n + 1 and len(parts[5]) == int(several.sum()) and not parts[5].any()
+
+
+def test_near_copies_with_repeated_ids_go_row_by_row(spark):
+    text, other, third = words(1, 60), words(2, 60), words(3, 60)
+    rows = [(3, text), (7, text + " more"), (7, other), (7, third), (None, text + " again"), (None, words(4, 60)), (7, None), (7, ""), (9, other), (12, third), (12, third), (1, words(5, 60)), (1, words(5, 60)), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as _digest", "1 as _n")
+    got = jaccard_join.drop_near_copies(df)
+    assert got.columns == df.columns
+    want = [(3, text), (7, other), (7, third), (None, words(4, 60)), (7, None), (7, ""), (1, words(5, 60)), (4, None)]
+    assert sorted([(r["doc_id"], r["text"]) for r in got.collect()], key=str) == sorted(want, key=str)
+    assert jaccard_join.drop_near_copies(df.limit(0)).count() == 0
