@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from tallyloom.llm.common import free_name, in_slices, table, text_or_empty
 
 DECAY, SPAN, LETTERS = 0.8, 6, 64
-LANDMARKS, WHITEN = 256, 1e-4
+LANDMARKS, WHITEN = 1024, 1e-4
 #: Labelled rows of each class to learn from, and their code points in all, at most.
 TRAIN_ROWS, TRAIN_CHARS = 3000, 12_000_000
 #: Letters of a window; longer words are cut into windows, half of which overlap. Two words are a window if they have so many letters in all.
@@ -42,14 +42,17 @@ SKETCH = 3
 #: Witnesses of a toxic text, and forms of each different one that are learned too.
 WITNESSES, FORMS, VARIED = 3, 3, 400
 #: Windows of other texts to begin with and to add in each round, and rounds of adding them.
-OTHERS, HARD, ROUNDS = 1500, 1000, 4
+OTHERS, HARD, ROUNDS = 1500, 1500, 6
 #: What a witness, a changed form of one and another window may weigh in the machine.
-WEIGHTS = 50.0, 3.0, 20.0
+WEIGHTS = 50.0, 3.0, 60.0
 PASSES = 40
+#: Chance of taking any window for an insult that toxic and clean texts have alike, and how frequent an insult may be in clean texts against toxic ones.
+CHANCE, RARE = 0.01, 0.01
+BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Code points of texts whose windows are held as one part.
 PART_CHARS = 300_000
-#: In the folds, one in so many texts that aren't toxic is used.
-PART = 4
+#: In the folds, one in so many texts that aren't toxic is used; and one in so many is kept from the machine for the curve.
+PART, APART = 4, 5
 #: Letters that are looked up at a time.
 CHUNK = 1 << 16
 
@@ -127,6 +130,16 @@ class Windows:
     def strings(self, which: np.ndarray) -> list[bytes]:
         return [self.codes[a:b].tobytes() for a, b in zip(self.begin[which].tolist(), self.end[which].tolist(), strict=True)]
 
+    def hashes(self) -> np.ndarray:
+        """64 bits of each window's letters."""
+        power = np.full(len(self.codes) + 1, BASE, np.uint64)
+        back = np.full(len(self.codes) + 1, pow(int(BASE), -1, 1 << 64), np.uint64)
+        power[0] = back[0] = 1
+        power, back = np.cumprod(power, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(power[:-1] * (self.codes.astype(np.uint64) + np.uint64(1)), dtype=np.uint64)])
+        found = (sums[self.end] - sums[self.begin]) * back[self.begin]
+        return found ^ (found >> np.uint64(32))
+
     def witnesses(self, values: np.ndarray, texts: np.ndarray, above: float) -> list[bytes]:
         """The windows of texts (flags) that have the highest values, WITNESSES of each at most, all over above."""
         able = np.flatnonzero(texts[self.text] & (values > above))
@@ -206,7 +219,7 @@ def _nystrom(landmarks: list[bytes], strings: list[bytes], y: np.ndarray, c: np.
     """A weight for each triple, and the bias, of a machine whose inputs are whitened kernel values to landmarks."""
     base = [vector(w) for w in landmarks]
     known = np.unique(np.concatenate([codes for codes, _ in base]))
-    wide = np.zeros((len(base), len(known)))
+    wide = np.zeros((len(base), len(known)), np.float32)
     for row, (codes, weights) in enumerate(base):
         wide[row, np.searchsorted(known, codes)] = weights
     cross = np.zeros((len(strings), len(base)))
@@ -215,7 +228,7 @@ def _nystrom(landmarks: list[bytes], strings: list[bytes], y: np.ndarray, c: np.
         at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
         there = known[at] == codes
         cross[row] = wide[:, at[there]] @ weights[there]
-    values, axes = np.linalg.eigh(wide @ wide.T)
+    values, axes = np.linalg.eigh((wide @ wide.T).astype(np.float64))
     white = axes / np.sqrt(np.maximum(values, WHITEN)) @ axes.T
     w, bias = _machine(cross @ white, y, c)
     weight = np.zeros(LETTERS**3, np.float32)
@@ -259,6 +272,46 @@ class Bags:
     def witnesses(self, weight: np.ndarray, bias: float, texts: np.ndarray, steps: list[tuple[int, int]] = STEPS) -> list[bytes]:
         return [w for at, part in self.parts if texts[at].any() for w in part.witnesses(part.values(weight, bias, steps), texts[at], 0.0)]
 
+    def evident(self, toxic: np.ndarray, clean: np.ndarray) -> list[bytes]:
+        """Windows that toxic texts share and clean ones (flags) don't, each as often as toxic texts have it.
+
+        By the bound for as many toxic texts among those with a window, if toxic and clean ones had it alike: it must be below CHANCE for all windows together. In clean texts a window may be
+        RARE times as frequent at most.
+        """
+
+        def seen(flags: np.ndarray, among: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+            held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            for at, part in self.parts:
+                own = flags[at][part.text]
+                h, text = part.hashes()[own], part.text[own]
+                if among is not None:
+                    inside = np.isin(h, among)
+                    h, text = h[inside], text[inside]
+                order = np.lexsort((text, h))
+                h, text = h[order], text[order]
+                once = np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])])[: len(h)]
+                both, where = np.unique(np.concatenate([held[0], h[once]]), return_inverse=True)
+                held = both, np.bincount(where, np.concatenate([held[1], np.ones(int(once.sum()), np.int64)]), len(both)).astype(np.int64)
+            return held
+
+        which, n = seen(toxic, None)
+        tested, which, n = len(which), which[n > 2], n[n > 2]
+        found, m = seen(clean, which)
+        less = np.zeros(len(which), np.int64)
+        less[np.searchsorted(which, found)] = m
+        share, part = toxic.sum() / (toxic.sum() + clean.sum()), n / (n + less)
+        gain = n * np.log(part / share) + less * np.log(np.maximum(1 - part, 1e-300) / (1 - share))
+        kept = (part > share) & (gain > np.log(tested / CHANCE)) & (less / clean.sum() <= RARE * n / toxic.sum())
+        times = dict(zip(which[kept].tolist(), n[kept].tolist(), strict=True))
+        strings: dict[bytes, int] = {}
+        for at, part in self.parts:
+            h = part.hashes()
+            new = np.flatnonzero(np.isin(h, which[kept]) & toxic[at][part.text])
+            strings.update(zip(part.strings(new), (times[x] for x in h[new].tolist()), strict=True))
+        # two words say nothing new where one of them is evident
+        own = [w for w in strings if len(w[1:-1].split(b"\0")) == 1 or not any(b"\0" + part + b"\0" in strings for part in w[1:-1].split(b"\0"))]
+        return [w for w in sorted(own) for _ in range(strings[w])]
+
     def tops(self, weight: np.ndarray, bias: float) -> np.ndarray:
         return np.concatenate([part.tops(part.values(weight, bias)) for _, part in self.parts])
 
@@ -331,22 +384,27 @@ def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
     clean, rows = ~y[some], np.flatnonzero(y[some])
     bags = Bags([texts[i] for i in some])
     folds = [np.isin(np.arange(len(some)), rows[k::2]) for k in (0, 1)]
-    found = [bags.witnesses(first_guess(bags, f, clean), 0.0, f, [(1, 2)]) for f in folds]
+    found = [bags.evident(f, clean) or bags.witnesses(first_guess(bags, f, clean), 0.0, f, [(1, 2)]) for f in folds]
     for _ in range(2):
         machines = [_train(bags, pos, clean, 2) if pos else None for pos in found]
         found = [bags.witnesses(*m, f) if m else [] for m, f in zip(machines[::-1], folds, strict=True)]
-    pos = found[0] + found[1]
+    bags = Bags(texts)
+    pos = found[0] + found[1] + bags.evident(y & np.array(new), ~y)
     if not pos:
         return blank
-    bags = Bags(texts)
-    weight, bias = _train(bags, pos, ~y, ROUNDS)
+    # one in APART of the texts that aren't toxic teaches the machine nothing and the curve how such texts score
+    apart = np.zeros(len(y), bool)
+    apart[np.flatnonzero(~y)[::APART]] = True
+    weight, bias = _train(bags, pos, ~y & ~apart, ROUNDS)
     # the curve: each text by its most toxic window, with the targets of Platt
-    top, y = bags.tops(weight, bias), y.astype(int)
-    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((y == 0).sum() + 2))
+    use = y | apart
+    many = np.where(y, 1.0, (~y).sum() / apart.sum())[use]
+    top, y = bags.tops(weight, bias)[use], y.astype(int)
+    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((y == 0).sum() + 2))[use]
     a, b = 1.0, 0.0
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(a * top + b, -30, 30)))
-        g, h = p - target, np.maximum(p * (1 - p), 1e-9)
+        g, h = many * (p - target), many * np.maximum(p * (1 - p), 1e-9)
         grad = np.array([(g * top).sum() + 1e-3 * a, g.sum()])
         hess = np.array([[(h * top * top).sum() + 1e-3, (h * top).sum()], [(h * top).sum(), h.sum() + 1e-6]])
         step = np.linalg.solve(hess, grad)
