@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tallyloom.streaming.meter_stream import metered
 from tallyloom.streaming.recognisers import Call, best, utterances
 
 SCHEMA = "call long, ts timestamp, language string, final boolean, text string, confidence double"
@@ -65,3 +66,18 @@ def test_any_cut_and_order_within_lateness(spark, tmp_path):
 @pytest.mark.parametrize(("said", "won"), [({}, None), ({"a": ("", 1.0)}, None), ({"a": ("x", 0.5), "b": ("y", 0.51)}, "a"), ({"a": ("x", 0.5), "b": ("y", 0.6)}, "b"), ({"a": ("", 0.9), "b": ("y", -1.0)}, "b")])
 def test_best(said, won):
     assert best(said, LANGS) == won
+
+
+def test_meter_forgets_calls_that_are_over(spark, tmp_path):
+    """A call that goes on after its state has gone begins anew; one within the time goes on."""
+    batches = [[(1, 1, 0), (2, 1, 0)], [(9, 1, 3000)], [(9, 2, 3001)], [(1, 2, 3002), (2, 2, 3003), (9, 3, 3004)]]
+    for k, rows in enumerate(batches):
+        told = spark.createDataFrame([(c, t, 0.9, 1.0, "", s) for c, t, s in rows], "conv_id long, turn int, risk double, conf double, ids string, s long")
+        told.selectExpr("conv_id", "turn", "risk", "conf", "ids", "timestamp_seconds(1000000 + s) as ts").coalesce(1).write.parquet(f"{tmp_path}/in/{k:03d}")
+    schema = "conv_id long, turn int, risk double, conf double, ids string, ts timestamp"
+    for idle, again in ((1_000_000, 1), (10_000_000, 2)):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        q = metered(stream, "ts", "1 seconds", idle).writeStream.format("memory").queryName(f"idle{again}").outputMode("append").option("checkpointLocation", f"{tmp_path}/c{again}").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        got = {(r["conv_id"], r["turn"]) for r in spark.table(f"idle{again}").collect()}
+        assert got == {(1, 1), (2, 1), (9, 1), (9, 2), (9, 3)} | {(1, again), (2, again)}
