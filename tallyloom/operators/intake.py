@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.operators import governance, linking
+from tallyloom.sources.shared import written
 
 PREFIX = "live-"
 
@@ -48,10 +51,26 @@ def placements(incidents: DataFrame, label: DataFrame, row_id: str = "id", missi
     return incidents.select(row_id).join(label.select(F.col(row_id).alias("_i"), F.col("component").cast("string").alias("org")), F.col(row_id) == F.col("_i"), "left").select(row_id, F.coalesce("org", F.lit(missing)).alias("org"))
 
 
-def extended(cached: DataFrame, incidents: DataFrame, embed, row_id: str = "id") -> DataFrame:
-    """Embeddings (id, embedding) of incidents: those that are cached as they are, the others by embed(rows)."""
-    fresh = incidents.join(cached.select(row_id), row_id, "left_anti")
-    return cached.join(incidents.select(row_id), row_id, "left_semi").unionByName(embed(fresh).select(*cached.columns))
+def extended(cached: DataFrame, incidents: DataFrame, new: DataFrame, embed: Callable[[DataFrame], DataFrame], row_id: str = "id") -> DataFrame:
+    """Embeddings (id, embedding) of incidents, of which new have just come: if those cached are of exactly the other ones, they stay and embed(new) is added; else all are embedded anew."""
+    old = incidents.select(row_id).join(new.select(row_id), row_id, "left_anti")
+    both = cached.select(row_id, F.lit(1).alias("_c")).unionByName(old.select(row_id, F.lit(-1).alias("_c")))
+    same = both.groupBy(row_id).agg(F.sum("_c").alias("_c")).where("_c <> 0").isEmpty()
+    return cached.unionByName(embed(new).select(*cached.columns)) if same else embed(incidents).select(*cached.columns)
+
+
+def grown(label: DataFrame, keys: DataFrame, more: DataFrame) -> DataFrame:
+    """label (id, component) with the rows of more (id, key: several rows an id, null without one), which keys (those that label was made of) may tie to what is there.
+
+    Only components that share a key with new rows are looked at: they and the new rows are linked as nodes are, and rows of others keep their component.
+    """
+    asked = more.where("key is not null").select("key").dropDuplicates()
+    met = keys.join(asked, "key", "left_semi").join(label, "id").select("component", "key").dropDuplicates()
+    moved = written(linking.link_by_shared_keys(met.select(F.col("component").alias("id"), "key").unionByName(more.select("id", "key"))).select(F.col("id").alias("node"), F.col("component").alias("to")), "moved")
+    changed = moved.where("node <> to")
+    kept = label.join(changed, F.col("component") == F.col("node"), "left").select("id", F.coalesce("to", "component").alias("component"))
+    fresh = more.select("id").dropDuplicates().join(moved, F.col("id") == F.col("node")).select("id", F.col("to").alias("component"))
+    return kept.unionByName(fresh)
 
 
 def ingest(reports: DataFrame, incidents: DataFrame, number: str = "number") -> tuple[DataFrame, DataFrame]:
