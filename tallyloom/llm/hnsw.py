@@ -249,7 +249,8 @@ def index(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", keep
 def nearest(queries: DataFrame, shards: DataFrame, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", hold: int = SEARCH) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest rows of the index but itself, ties to the smaller id.
 
-    Queries that can't take part (see usable) and those of a length that no indexed vector has get no rows; of queries with the same id each gets its own ranks.
+    Queries that can't take part (see usable) and those of a length that no indexed vector has get no rows; queries with the same id are ranked together, and rows of their id are
+    none of their nearest.
     """
     asked = usable(queries, vec_id, vector)
     every = shards.select("shard", F.col("d").alias("_d"))

@@ -39,6 +39,10 @@ BOILERPLATE = re.compile(
     r"|login|search|searchbox|pagination|pager|copyright|legal|complementary|contentinfo|tracking)(?:$|[\s_-])",
     re.I,
 )
+#: Within an article other words say what a part is about; only these, and roles, still mark boilerplate there.
+WITHIN = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|sponsored|cookies?|consent|gdpr|notices?|newsletters?|subscribe|sidebars?|navbar|breadcrumbs?|comments?|disqus|share|sharing|pagination)(?:$|[\s_-])", re.I
+)
 #: A container is a page's, and its article and main elements are its article, if they have this part of the page's prose.
 MOST = 0.6
 #: Characters from which on a path is shortened.
@@ -57,7 +61,7 @@ class Block:
         return " ".join((entities.unescape(whole) if "&" in whole else whole).split())
 
 
-def _step(tag: str, attributes: str) -> tuple[str, bool]:
+def _step(tag: str, attributes: str, article: bool) -> tuple[str, bool]:
     """The generalised name of an element, and whether its tag, class, id or role marks boilerplate."""
     if not attributes or "=" not in attributes:
         return tag, tag in BOILERPLATE_TAGS
@@ -65,7 +69,7 @@ def _step(tag: str, attributes: str) -> tuple[str, bool]:
     name = tag + "".join("." + c for c in sorted(set(found.get("class", "").lower().split())))
     if "id" in found:
         name += "#" + found["id"].lower()
-    marked = tag in BOILERPLATE_TAGS or tag not in ("body", "html", "article", "main") and any(BOILERPLATE.search(v) for v in found.values())
+    marked = tag in BOILERPLATE_TAGS or tag not in ("body", "html", "article", "main") and any((BOILERPLATE if k == "role" or not article else WITHIN).search(v) for k, v in found.items())
     return re.sub(r"\d+", "0", name), marked
 
 
@@ -166,8 +170,8 @@ def _blocks(page: str, container: Callable[[int, str], int]) -> list[Block]:
             else:
                 while stack and stack[-1][0] == "p" or stack and tag == stack[-1][0] and tag in ("li", "dt", "dd", "td", "th", "tr", "option"):
                     opened[stack.pop()[0]] -= 1  # their end tags may be left out
-                name, marked = _step(tag, attributes or "")
                 _, under, node, article = stack[-1] if stack else ("", False, -1, False)
+                name, marked = _step(tag, attributes or "", article)
                 if tag == "header" and not opened["article"] and not opened["main"]:
                     marked = True
                 node = container(node, name) if tag in CONTAINERS else node

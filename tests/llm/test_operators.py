@@ -794,3 +794,13 @@ def test_evident_windows_are_those_that_toxic_texts_share():
     assert toxicity.Windows(["flurpish"]).strings(np.arange(1))[0] in found
     own = [w for w in found if len(w) == len("flurpish") + 2]
     assert len(own) == 1 and not toxicity.Bags(texts).evident(np.roll(y, 3), ~np.roll(y, 3))
+
+
+def test_words_of_classes_drop_nothing_of_an_article():
+    page = (
+        '<body><div class="side">menu text</div><article><div class="post-header"><h1>Title of it</h1></div><p class="legal">A legal matter.</p><p class="side">Side by side.</p>'
+        '<section id="search"><p>How we search.</p></section><p class="related">Related work.</p><div class="tracking alerts"><p>Tracking birds.</p></div><div class="ad">Buy now</div>'
+        '<div class="share-bar">Share it</div><div role="navigation">Go on</div><section id="comments"><p>A reader says.</p></section><aside>Aside</aside></article><div class="legal">Terms</div></body>'
+    )
+    kept = [b.text() for b in html_text.Page(page).blocks if not b.boilerplate and b.text()]
+    assert kept == ["Title of it", "A legal matter.", "Side by side.", "How we search.", "Related work.", "Tracking birds."]
