@@ -179,6 +179,18 @@ def edits_allowed(length: int) -> int:
     return sum(length >= x for x in (12, 21, 31))
 
 
+#: What isn't kept of a text in lower case, and ё as е.
+PLAIN = "[^0-9a-zа-яәғқңөұүһі]"
+
+
+def phrase_parts(phrase: str) -> list[str]:
+    """Parts of a phrase of which a text must hold one, if it holds the phrase with as many edits as are allowed; none if no edits are."""
+    want, _ = _kept(phrase)
+    most = edits_allowed(len(want))
+    cut = [len(want) * i // (most + 1) for i in range(most + 2)]
+    return [want[a:b] for a, b in zip(cut, cut[1:], strict=False)] if most else []
+
+
 def find_phrase(text: str, phrase: str) -> tuple[int, int] | None:
     """Where a phrase stands in a text: literally but for case, or else, line by line, with few edits and regardless of blanks and marks."""
     if not text or not phrase:
@@ -192,8 +204,7 @@ def find_phrase(text: str, phrase: str) -> tuple[int, int] | None:
     begin = 0
     for line in text.split("\n"):
         have, at = _kept(line)
-        cut = [len(want) * i // (most + 1) for i in range(most + 2)]
-        if have and any(want[a:b] in have for a, b in zip(cut, cut[1:], strict=False)):  # a part without an edit must be there
+        if have and any(part in have for part in phrase_parts(phrase)):  # a part without an edit must be there
             row = [(0, j) for j in range(len(have) + 1)]  # cost and start of the best match that ends here
             for i, x in enumerate(want, 1):
                 new = [(i, 0)]

@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.functions.text import find_phrase
+from tallyloom.functions.text import PLAIN, find_phrase, phrase_parts
+
+#: Rows of advice up to which it is broadcast.
+BROADCAST_ADVICE = 100_000
 
 
 def rule_holds(rule: dict, tags: Column, role: Column | None = None) -> Column:
@@ -53,7 +56,8 @@ def reassurance(text: Column, sensitive: list[str], reassuring: list[str], room:
 def match_phrases(rows: DataFrame, phrases: list[tuple[str, str]], text: str = "text") -> DataFrame:
     """rows with hits: for each tactic the first of its phrases that the text has, as tactic, start, end.
 
-    Texts that hold a phrase literally never leave the JVM; only the rest are searched with edits, in batches.
+    A text goes to Python, to be searched with edits, only if it holds a part of a phrase of a tactic that it doesn't have literally: of a phrase with k edits one of k + 1 parts must be there. Texts
+    with letters beyond ASCII and Cyrillic go there in any case.
     """
     tactics = list(dict.fromkeys(t for t, _ in phrases))
     kept = rows.columns
@@ -63,7 +67,12 @@ def match_phrases(rows: DataFrame, phrases: list[tuple[str, str]], text: str = "
         return F.coalesce(*tries)
 
     exact = rows.withColumn("hits", F.filter(F.array(*map(literal, tactics)), lambda h: h.isNotNull()))
-    missing = F.size("hits") < len(tactics)
+    folded = F.regexp_replace(F.replace(F.lower(text), F.lit("ё"), F.lit("е")), PLAIN, "")
+    missing = F.col(text).rlike(r"[^\x00-\x7f\xa0«»\u0400-\u04ff\u2010-\u2015\u2018-\u201f\u2026]") & (F.size("hits") < len(tactics))
+    for t in tactics:
+        if parts := sorted({x for u, p in phrases if u == t for x in phrase_parts(p)}):
+            missing = missing | (folded.rlike("|".join(parts)) & ~F.array_contains(F.transform("hits", lambda h: h["tactic"]), t))
+    missing = F.coalesce(missing, F.lit(False))
     schema = T.StructType([*rows.schema.fields, exact.schema["hits"]])
 
     def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,7 +86,7 @@ def match_phrases(rows: DataFrame, phrases: list[tuple[str, str]], text: str = "
                 found.append([have[t] for t in tactics if t in have])
             yield part[kept].assign(hits=found)
 
-    return exact.where(~missing).unionByName(exact.where(missing | F.col("hits").isNull()).mapInPandas(search, schema))
+    return exact.where(~missing).unionByName(exact.where(missing).mapInPandas(search, schema))
 
 
 def decode_tags(probabilities: Column, thresholds: dict[str, float]) -> Column:
@@ -89,7 +98,7 @@ def decode_tags(probabilities: Column, thresholds: dict[str, float]) -> Column:
 
 def advice(tags: DataFrame, table: DataFrame, call: str = "conv_id", most: int = 3) -> DataFrame:
     """call, place, text: advice for tags (call, tactic, weight, order), hard signals first, then by weight, then as tagged; each text once. table: tactic, hard, text."""
-    rows = tags.join(F.broadcast(table), "tactic")
+    rows = tags.join(F.broadcast(table) if table.count() <= BROADCAST_ADVICE else table, "tactic")
     order = Window.partitionBy(call).orderBy(F.desc("hard"), F.desc("weight"), "order")
     first = rows.withColumn("_n", F.row_number().over(order)).groupBy(call, "text").agg(F.min("_n").alias("_n"))
     return first.withColumn("place", F.row_number().over(Window.partitionBy(call).orderBy("_n"))).where(F.col("place") <= most).drop("_n")
