@@ -58,10 +58,20 @@ SCRUB = (
 )
 
 
+#: What a text must have for a pattern of a kind to be looked for; the rest need a digit.
+NEEDS = {"email": "@", "iban": "[Kk][Zz][0-9]{2}"}
+
+
+def _masked(text: Column, pattern: str, kind: str) -> Column:
+    """The text, which is computed once, without what the pattern finds; few texts have what it needs."""
+    one = F.transform(F.array(text), lambda t: F.when(t.rlike(NEEDS.get(kind, r"\p{Nd}")), F.regexp_replace(t, pattern, PLACEHOLDERS[kind])).otherwise(t))
+    return F.element_at(one, 1)
+
+
 def scrub(text: Column) -> Column:
     """Addresses, account, card, identity and phone numbers as placeholders; blank texts as they are. Applying it again changes nothing."""
     for pattern, kind in SCRUB:
-        text = F.regexp_replace(text, pattern, PLACEHOLDERS[kind])
+        text = _masked(text, pattern, kind)
     return text
 
 

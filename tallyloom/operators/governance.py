@@ -100,9 +100,16 @@ def merge_sets(a: Column, b: Column) -> Column:
 
 def match_verdict(events: DataFrame, orgs: DataFrame, least: float = 0.5) -> DataFrame:
     """event_id, org: of the organizations that share a number with the event's snapshot the first by place, else the one with the largest part of its members, if least or more."""
-    pairs = events.join(orgs, F.arrays_overlap("snapshot_numbers", "numbers") | F.arrays_overlap("snapshot_members", "members"))
-    share = F.size(F.array_intersect("snapshot_members", "members")) / F.size("snapshot_members")
-    rows = pairs.select("event_id", "org", "place", F.arrays_overlap("snapshot_numbers", "numbers").alias("by_number"), share.alias("share")).where(F.col("by_number") | (F.col("share") >= least))
+    def met(own: str, other: str) -> DataFrame:
+        """Pairs that share a value, and how many."""
+        asked = events.select("event_id", F.explode(F.array_distinct(own)).alias("v"))
+        return asked.join(orgs.select("org", F.explode(F.array_distinct(other)).alias("v")), "v").groupBy("event_id", "org").agg(F.count(F.lit(1)).alias(f"n_{other}"))
+
+    places = orgs.select("org", "place").dropDuplicates(["org"])
+    sizes = events.select("event_id", F.size("snapshot_members").alias("size")).dropDuplicates(["event_id"])
+    pairs = met("snapshot_numbers", "numbers").join(met("snapshot_members", "members"), ["event_id", "org"], "full").join(places, "org").join(sizes, "event_id")
+    share = F.coalesce("n_members", F.lit(0)) / F.col("size")
+    rows = pairs.select("event_id", "org", "place", F.col("n_numbers").isNotNull().alias("by_number"), share.alias("share")).where(F.col("by_number") | (F.col("share") >= least))
     order = Window.partitionBy("event_id").orderBy(F.desc("by_number"), F.when(F.col("by_number"), F.lit(0.0)).otherwise(-F.col("share")), "place")
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("event_id", "org")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -149,8 +150,16 @@ def upper_bound(k: int, n: int, confidence: float = 0.95) -> float | None:
 
 
 def with_interval(rows: DataFrame, k: str, n: str, confidence: float = 0.95) -> DataFrame:
-    """rows with low and high of the exact interval; one call for each row, so give it aggregates."""
-    bounds = F.udf(lambda a, b: clopper_pearson(a, b, confidence), T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]))
+    """rows with low and high of the exact interval, each different pair of k and n of a batch computed once."""
+
+    @F.pandas_udf(T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]))
+    def bounds(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        known = {}
+        for pair in set(zip(a.astype(object).where(a.notna(), None), b.astype(object).where(b.notna(), None), strict=True)):
+            known[pair] = clopper_pearson(*(None if x is None else int(x) for x in pair), confidence) or (None, None)
+        found = [known[pair] for pair in zip(a.astype(object).where(a.notna(), None), b.astype(object).where(b.notna(), None), strict=True)]
+        return pd.DataFrame(found, columns=["low", "high"], dtype=float)
+
     return rows.withColumn("_i", bounds(F.col(k), F.col(n))).select("*", F.col("_i.low").alias("low"), F.col("_i.high").alias("high")).drop("_i")
 
 

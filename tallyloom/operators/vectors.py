@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,12 +50,39 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, row_id: str = "vec_
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: Rows of a block, of which two meet in a task.
+BLOCK = 1024
+
+
 def nearest_in_group(rows: DataFrame, group: str = "label", row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """id and its highest cosine to another row of its group; -1 for a row alone."""
-    other = rows.select(F.col(group).alias("g"), F.col(row_id).alias("o"), F.col(vector).alias("w"))
-    pairs = rows.join(other, (F.col(group) == F.col("g")) & (F.col(row_id) != F.col("o")))
-    best = pairs.groupBy(row_id).agg(F.max(1 - cosine_distance(F.col(vector), F.col("w"))).alias("best"))
-    return rows.select(row_id).join(best, row_id, "left").select(row_id, F.coalesce("best", F.lit(-1.0)).alias("best"))
+    """id and its highest cosine to another row of its group; -1 for a row alone. Rows without a group or vector are alone.
+
+    Every two rows of a group meet, as the measure asks: in pairs of blocks of about BLOCK rows, so a task is of a bounded size however large a group is, and products are of whole blocks.
+    """
+    slim = rows.select(F.col(group).alias("g"), F.col(row_id).alias("i"), F.col(vector).cast("array<double>").alias("v")).where("g is not null and v is not null")
+    blocks = slim.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = slim.join(blocks, "g").withColumn("b", F.pmod(F.xxhash64("i"), F.col("blocks")))
+    met = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("g", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "b", "i", "v")
+    kind = slim.schema["i"].dataType.simpleString()
+
+    def meet(part: pd.DataFrame) -> pd.DataFrame:
+        at = part["b"].to_numpy()
+        sides = [part[at == part["x"].iloc[0]], part[at == part["y"].iloc[0]]]
+        unit = []
+        for side in sides:
+            v = np.array(side["v"].tolist(), np.float64).reshape(len(side), -1)
+            size = np.sqrt((v * v).sum(1, keepdims=True))
+            unit.append(np.divide(v, size, out=np.zeros_like(v), where=size > 0))
+        if not len(unit[0]) or not len(unit[1]):
+            return pd.DataFrame({"i": [], "best": []})
+        names = [side["i"].to_numpy() for side in sides]
+        product = unit[0] @ unit[1].T
+        product[names[0][:, None] == names[1][None, :]] = -np.inf
+        found = pd.DataFrame({"i": np.concatenate(names), "best": np.concatenate([product.max(1), product.max(0)])})
+        return found[np.isfinite(found["best"])]
+
+    best = met.groupBy("g", "x", "y").applyInPandas(meet, f"i {kind}, best double").groupBy("i").agg(F.max("best").alias("best"))
+    return rows.select(row_id).join(best, F.col(row_id) == F.col("i"), "left").select(row_id, F.coalesce("best", F.lit(-1.0)).alias("best"))
 
 
 def linear_head(vector: Column, weights: list[float], bias: float) -> Column:

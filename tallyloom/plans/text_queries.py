@@ -65,11 +65,10 @@ def phrase_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.gram_overlap(rows, "p_partkey", least=0.95).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query("degenerate_calls", f"SELECT DISTINCT lang, source FROM (SELECT lang, source, {NORM} AS t, count(*) AS n FROM documents GROUP BY ALL) WHERE n > 2")
+@query("degenerate_calls", f"SELECT DISTINCT o_custkey FROM (SELECT o_custkey, {NORM} AS t, count(*) AS n FROM (SELECT o_custkey, o_orderpriority AS text FROM orders) GROUP BY ALL) WHERE n > 2")
 def degenerate_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources, per language, that repeat a text more than twice."""
-    rows = load(spark, sf_dir, "documents").withColumn("k", F.struct("lang", "source"))
-    return corpus.degenerate(rows, "k", "text").select("k.lang", "k.source")
+    """Customers whose orders repeat a priority, normalised, more than twice."""
+    return corpus.degenerate(load(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority")
 
 
 @query("scrub_regex")
