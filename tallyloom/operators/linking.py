@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.operators.places import with_place
 from tallyloom.sources.shared import drop_but, written, written_tables
 
-#: Nodes up to which where they go (two of their names each) is broadcast; with more, all joins are shuffles.
-BROADCAST_NODES = 1_000_000
+#: Nodes up to which where they go (two of their names each) is broadcast, if names are numbers, and if they are anything else; with more, all joins are shuffles.
+BROADCAST_NODES, BROADCAST_NAMES = 1_000_000, 50_000
 
 
 def _aside(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_NODES else df
+    numbers = all(isinstance(f.dataType, T.NumericType) for f in df.schema)
+    return F.broadcast(df) if rows <= (BROADCAST_NODES if numbers else BROADCAST_NAMES) else df
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -55,15 +57,16 @@ def components(edges: DataFrame) -> DataFrame:
 def link_by_shared_keys(keys: DataFrame, record: str = "id", key: str = "key") -> DataFrame:
     """record, component: the smallest record that is reached by shared keys, transitively.
 
-    keys has a row for each record and key; a record without keys has a row with a null key and is a component of its own. Each record has an edge to the smallest
-    record of each of its keys, so a key that many records have costs no more than its rows. Rows without a record are left out.
+    keys has a row for each record and key; a record without keys has a row with a null key and is a component of its own. A key stands for its smallest record; only records of
+    several keys tie such records, so the graph has no nodes for all others, and a key that many records have costs no more than its rows. Rows without a record are left out.
     """
     rows = keys.select(F.col(record).alias("r"), F.col(key).alias("k")).where("r is not null")
     low = rows.where("k is not null").groupBy("k").agg(F.min("r").alias("m"))
-    edges = rows.where("k is not null").join(low, "k").select(F.col("r").alias("a"), F.col("m").alias("b"))
-    label = components(edges)
-    found = rows.select("r").dropDuplicates().join(label, F.col("r") == F.col("node"), "left")
-    return found.select(F.col("r").alias(record), F.coalesce("component", "r").alias("component"))
+    found = written(rows.join(low, "k", "left").select("r", "m").dropDuplicates(), "keyed")
+    least = found.groupBy("r").agg(F.min("m").alias("m"), F.max("m").alias("o"))
+    several = least.where("m <> o").select("r", F.col("m").alias("a"))
+    label = components(found.join(several, "r").select("a", F.col("m").alias("b")))
+    return least.join(label, F.col("m") == F.col("node"), "left").select(F.col("r").alias(record), F.coalesce("component", "m", "r").alias("component"))
 
 
 def merge_overlay(label: DataFrame, overlay: DataFrame, most_share: float = 0.5) -> DataFrame:
