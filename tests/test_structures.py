@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import audit, grid, stress
+from tallyloom.sources import shared
 
 KEY = b"a key"
 
@@ -45,6 +46,35 @@ def test_stress_equals_plain(spark):
     assert stress.stress_conditions(df.limit(0), conditions, resamples=1).count() == 0
 
 
+def test_stress_ids_of_several_keys(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(60), rng.choice([None, *range(30)]), rng.randrange(3)) for _ in range(110)]
+    df = spark.createDataFrame(rows, "id long, key long, truth int").repartition(3)
+    conditions = {"all": 1.0, "half": 0.5}
+    got = {r["condition"]: r for r in stress.stress_conditions(df, conditions, resamples=2).collect()}
+    kept = {(r["condition"], r["id"]) for r in stress.perturbed(df, conditions, 0, 0.8, 0).where("key is not null").collect()}
+    for name in conditions:
+        up = {}
+        find = lambda x: x if up.setdefault(x, x) == x else find(up[x])  # noqa: B023, E731
+        for i, k, _ in rows:
+            find(("i", i))
+            if k is not None and (name, i) in kept:
+                up[find(("i", i))] = find(("k", k))
+        groups = [find(("i", i)) for i, _, _ in rows]
+        r, sizes = got[name], Counter(groups)
+        assert (r["n"], r["groups"]) == (len(rows), len(sizes))
+        assert r["ari"] == pytest.approx(ari(groups, [t for _, _, t in rows])) and r["multi_member_share"] == pytest.approx(sum(n for n in sizes.values() if n > 1) / len(rows))
+
+
+def test_stress_shuffles_keys_not_runs(spark):
+    """No plan of a run broadcasts or joins rows: what is written for all runs has a row for each key, truth and sample at most, and one for each id and truth."""
+    df = spark.range(3000).selectExpr("id", "id % 10 AS key", "CAST(id % 3 AS INT) AS truth")
+    before = set(shared.written_tables())
+    stress.stress_conditions(df, {"all": 1.0, "half": 0.5, "a fifth": 0.2}, resamples=8).collect()
+    rows = [spark.read.parquet(t).count() for t in shared.written_tables() if t not in before]
+    assert sum(rows) <= 3000 + 9 * 11 * 3 + 27
+
+
 @pytest.fixture(scope="module")
 def log(spark):
     rows = spark.createDataFrame([(n, f"who{n % 3}", None if n % 4 else "x\x01 ", n / 3) for n in range(45)], "at long, who string, note string, v double").repartition(5)
