@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import char_grams, normal_form, text_hash
+from tallyloom.operators import pairs
 from tallyloom.operators.places import with_place
+from tallyloom.sources.shared import written
 
 
 def keep_first(rows: DataFrame, order: str, text: str = "text") -> DataFrame:
@@ -65,17 +67,23 @@ def seen_in(rows: DataFrame, other: DataFrame, text: str = "text") -> DataFrame:
 
 
 def gram_overlap(rows: DataFrame, row_id: str, text: str = "text", n: int = 5, least: float = 0.7) -> DataFrame:
-    """a, b, jaccard of pairs of short texts whose sets of n-character runs are that similar. Pairs come from an equi-join on the rarest runs that a pair must share."""
-    sets = rows.select(F.col(row_id).alias("id"), char_grams(normal_form(F.col(text)), n).alias("g")).where(F.size("g") > 0)
-    grams = sets.select("id", F.size("g").alias("m"), F.explode("g").alias("t"))
+    """a, b, jaccard of pairs of short texts whose sets of n-character runs are that similar. Pairs come from an equi-join on the rarest runs that a pair must share; texts of one normal form are compared as one."""
+    held = rows.select(F.col(row_id).alias("id"), normal_form(F.col(text)).alias("text"))
+    sets = written(held.select("text").dropDuplicates().select("text", char_grams(F.col("text"), n).alias("g")).where(F.size("g") > 0), "gram-sets")
+    grams = sets.select(F.col("text").alias("id"), F.size("g").alias("m"), F.explode("g").alias("t"))
     df = grams.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy("id").orderBy("df", "t")
     head = grams.join(df, "t").withColumn("k", F.row_number().over(order)).where((F.col("k") <= F.col("m") - F.ceil(F.lit(least) * F.col("m")) + 1) & (F.col("df") > 1))
-    a, b = (head.select(F.col("id").alias(x), F.col("m").alias("m" + x), "t") for x in ("a", "b"))
-    pairs = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.col("ma") >= least * F.col("mb")) & (F.col("mb") >= least * F.col("ma"))).select("a", "b").dropDuplicates()
-    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
-    both = F.size(F.array_intersect("ga", "gb"))
-    return full.select("a", "b", (both / (F.size("ga") + F.size("gb") - both)).alias("jaccard")).where(F.col("jaccard") >= least)
+    a, b = (head.select(F.col("id").alias(x), F.col("m").alias("m" + x), "t") for x in ("x", "y"))
+    near = a.join(b, "t").where((F.col("x") < F.col("y")) & (F.col("mx") >= least * F.col("my")) & (F.col("my") >= least * F.col("mx"))).select("x", "y").dropDuplicates()
+    full = near.join(sets.select(F.col("text").alias("x"), F.col("g").alias("gx")), "x").join(sets.select(F.col("text").alias("y"), F.col("g").alias("gy")), "y")
+    both = F.size(F.array_intersect("gx", "gy"))
+    alike = full.select("x", "y", (both / (F.size("gx") + F.size("gy") - both)).alias("jaccard")).where(F.col("jaccard") >= least)
+    alike = alike.unionByName(sets.select(F.col("text").alias("x"), F.col("text").alias("y"), F.lit(1.0).alias("jaccard")))
+    parts = written(pairs.blocks(held.where(F.col("text").isNotNull()), ["text"], "id"), "gram-blocks")
+    ends = [parts.select(F.col("text").alias(c), F.col("block").alias("block_" + c), F.col("ids").alias("ids_" + c)) for c in "xy"]
+    met = alike.join(ends[0], "x").join(ends[1], "y").where((F.col("x") != F.col("y")) | (F.col("block_x") <= F.col("block_y")))
+    return pairs.paired(met, ["jaccard"], (F.col("x") == F.col("y")) & (F.col("block_x") == F.col("block_y")))
 
 
 def gram_contamination(rows: DataFrame, row_id: str, other: DataFrame, other_id: str, text: str = "text", n: int = 5, least: float = 0.7) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as tx
-from tallyloom.operators import corpus, rouge, rules
+from tallyloom.operators import corpus, pairs, rouge, rules
 from tallyloom.plans.base import load, query
 from tallyloom.sources import records
+from tallyloom.sources.shared import written
 
 NORM = r"lower(trim(regexp_replace(text, '\s+', ' ', 'g')))"
 HEX = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(sha256({0}), ''), lambda c: (instr('0123456789abcdef', c) - 1)::BIGINT)), lambda a, d: (a * 16 + d) % 1000000)"
@@ -141,10 +142,14 @@ def max_rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("name_similarity", "SELECT a.p_partkey, b.p_partkey AS other, round(1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)), 6)::DOUBLE AS similarity FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey")
 def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_type")
-    other = rows.select(F.col("p_partkey").alias("other"), F.col("p_name").alias("n"), "p_brand", "p_size", "p_type")
-    pairs = rows.join(other, ["p_brand", "p_size", "p_type"]).where("p_partkey < other")
-    return pairs.select("p_partkey", "other", F.round(tx.similarity(F.col("p_name"), F.col("n")), 6).alias("similarity"))
+    """Names are compared once for all parts of one name, brand, size and type."""
+    kinds = ["p_brand", "p_size", "p_type"]
+    rows = load(spark, sf_dir, "part").select("p_partkey", "p_name", *kinds).dropna(subset=kinds)
+    parts = written(pairs.blocks(rows, [*kinds, "p_name"], "p_partkey"), "name-blocks")
+    ends = [parts.select(*kinds, F.col("p_name").alias("name_" + c), F.struct("p_name", "block").alias("at_" + c), F.col("ids").alias("ids_" + c)) for c in "xy"]
+    met = ends[0].join(ends[1], kinds).where("at_x <= at_y")
+    met = met.withColumn("similarity", F.when(F.col("name_x").isNotNull() & F.col("name_y").isNotNull(), F.round(tx.similarity(F.col("name_x"), F.col("name_y")), 6)))
+    return pairs.paired(met, ["similarity"], F.col("at_x") == F.col("at_y")).select(F.col("a").alias("p_partkey"), F.col("b").alias("other"), "similarity")
 
 
 @query("html_text")
