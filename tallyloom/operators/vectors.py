@@ -41,13 +41,68 @@ def novelty(orgs: DataFrame, most_small: int = 10, distance: float = 0.06) -> Da
     return found.withColumn("is_novel", F.coalesce((F.col("nearest") >= distance) & (F.col("has_number") | (F.col("size") >= 2)), F.lit(False)))
 
 
+#: Queries and rows of two blocks that meet in a task.
+ASKED, ROWS = 1024, 4096
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, row_id: str = "vec_id", vector: str = "embedding", least: float = 1e-12) -> DataFrame:
-    """query_id, rank, id and score: the k rows nearest to each of a stated set of queries by cosine, norms clipped below; ties to the smaller id."""
-    asked = queries.select(F.col(row_id).alias("query_id"), F.col(vector).alias("q"))
-    score = dot(F.col(vector), F.col("q")) / (F.greatest(norm(F.col(vector)), F.lit(least)) * F.greatest(norm(F.col("q")), F.lit(least)))
-    found = rows.join(asked, F.col(row_id) != F.col("query_id")).select("query_id", F.col(row_id).alias("id"), score.alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """query_id, rank, id and score: the k rows nearest to each of a stated set of queries by cosine, norms clipped below; ties to the smaller id.
+
+    Every query meets every row, as the measure asks, in pairs of blocks of a bounded size; a block gives its k best rows for each of its queries. Vectors that don't compare have no score and come last.
+    """
+    kind = rows.schema[row_id].dataType.simpleString()
+    asked, held = (t.select(F.col(row_id).alias("i"), F.col(vector).cast("array<double>").alias("v"), (F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())).alias("whole")).where("i is not null") for t in (queries, rows))
+    across, along = (max(1, -(-t.count() // n)) for t, n in ((asked, ASKED), (held, ROWS)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64("i"), F.lit(n)).cast("int")
+    dealt = asked.select(own(across).alias("x"), every(along).alias("y"), F.lit(True).alias("asks"), "*").unionByName(held.select(every(across).alias("x"), own(along).alias("y"), F.lit(False).alias("asks"), "*"))
+
+    def meet(part: pd.DataFrame) -> pd.DataFrame:
+        asks = part["asks"].to_numpy(bool)
+        q, r = part[asks], part[~asks].sort_values("i")
+        names, out = r["i"].to_numpy(), []
+        sides = [_sized(q, least), _sized(r, least)]
+        for at in range(0, len(q) if len(r) else 0, 128):
+            score, told = np.zeros((len(q.iloc[at : at + 128]), len(r))), np.zeros((len(q.iloc[at : at + 128]), len(r)), bool)
+            for size, (rows_q, v, nv) in sides[0].items():
+                mine = (rows_q >= at) & (rows_q < at + 128)
+                if mine.any() and size in sides[1]:
+                    rows_r, w, nw = sides[1][size]
+                    total = np.zeros((mine.sum(), len(rows_r)))
+                    for a, b in zip(v[mine].T, w.T, strict=True):  # place by place, so that equal vectors have equal scores
+                        total += a[:, None] * b[None, :]
+                    cells = np.ix_(rows_q[mine] - at, rows_r)
+                    score[cells], told[cells] = total / (nw[None, :] * nv[mine][:, None]), True
+            key = np.where(told, np.where(np.isnan(score), np.inf, score), -np.inf)
+            for n, name in enumerate(q["i"].iloc[at : at + 128]):
+                other = np.flatnonzero(names != name)
+                own_key = key[n, other]
+                best = np.partition(own_key, -k)[-k] if len(other) > k else -np.inf
+                near = other[own_key >= best]
+                rank = np.where(told[n, near], np.where(np.isnan(score[n, near]), 0, 1), 2)
+                near = near[np.lexsort((near, -key[n, near], rank))[:k]]
+                out.append(pd.DataFrame({"query_id": name, "id": names[near], "score": score[n, near], "told": told[n, near]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": [], "told": []})
+
+    met = dealt.groupBy("x", "y").applyInPandas(meet, f"query_id {kind}, id {kind}, score double, told boolean")
+    order = Window.partitionBy("query_id").orderBy("told", F.desc("score"), "id")
+    found = met.select("query_id", "id", F.when(F.col("told"), F.coalesce("score", F.lit(float("nan")))).alias("score"), (~F.col("told")).alias("told"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+
+
+def _sized(side: pd.DataFrame, least: float) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each number of components the places, vectors and norms (clipped below) of the vectors without a null."""
+    out: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    whole = np.flatnonzero(side["whole"].to_numpy(bool))
+    vectors = side["v"].to_numpy()[whole]
+    sizes = np.array([len(v) for v in vectors], np.int64)
+    for size in np.unique(sizes):
+        x = np.array(vectors[sizes == size].tolist(), np.float64).reshape(-1, size)
+        total = np.zeros(len(x))
+        for c in x.T:
+            total += c * c
+        out[int(size)] = whole[sizes == size], x, np.maximum(np.sqrt(total), least)
+    return out
 
 
 #: Rows of a block, of which two meet in a task.
