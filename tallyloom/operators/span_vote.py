@@ -7,11 +7,15 @@ are added up, and each run then finds its own path between the languages that it
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.sources.shared import written
+
 #: Times closer than this are one.
 EPS = 1e-6
 #: What a language counts that a frozen span doesn't have.
@@ -38,7 +42,7 @@ def _at(points: DataFrame, ranges: DataFrame, on: list[str]) -> DataFrame:
     """points (on, x) with the ranges (on, lo, hi) that hold x; both are looked up by on and a bucket of time."""
     near = points.withColumn("bucket", F.floor(F.col("x") / BUCKET))
     wide = ranges.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("lo") - EPS) / BUCKET), F.floor((F.col("hi") + EPS) / BUCKET))))
-    return near.join(wide, [*on, "bucket"]).where((F.col("lo") - EPS <= F.col("x")) & (F.col("x") < F.col("hi") + EPS)).drop("bucket")
+    return near.join(wide, [*on, "bucket"]).where((F.col("lo") - EPS <= F.col("x")) & (F.col("x") < F.col("hi") + EPS))
 
 
 def best_path(scores: np.ndarray, prices: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,8 +55,61 @@ def best_path(scores: np.ndarray, prices: np.ndarray, before: np.ndarray) -> tup
     return total, back
 
 
+def best_paths(scores: np.ndarray, prices: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The languages of the best path of each of several runs, one after the other (spans x languages), of these sizes: as best_path() has them from zeros, for all runs at once."""
+    order = np.argsort(-sizes, kind="stable")
+    begin, long = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    change = 1 - np.eye(scores.shape[1])
+    total, back = np.zeros((len(sizes), scores.shape[1])), np.zeros(scores.shape, np.int64)
+    for t in range(long[0]):
+        now = np.searchsorted(-long, -t)  # runs that are longer than t
+        at = begin[:now] + t
+        ways = total[:now, :, None] - prices[at, None, None] * change
+        back[at] = ways.argmax(1)
+        total[:now] = ways.max(1) + scores[at]
+    state, last = np.zeros(len(scores), np.int64), total.argmax(1)
+    for t in range(long[0] - 1, -1, -1):
+        now = np.searchsorted(-long, -t)
+        at = begin[:now] + t
+        state[at] = last[:now]
+        last[:now] = back[at, last[:now]]
+    return state
+
+
+def _whole_calls(parts: Iterator[pd.DataFrame], most: int = 200_000) -> Iterator[pd.DataFrame]:
+    """The rows of some calls at a time, of parts in which they lie together."""
+    held: list[pd.DataFrame] = []
+    for part in parts:
+        held.append(part)
+        if sum(map(len, held)) >= most:
+            rows = pd.concat(held, ignore_index=True)
+            cut = np.flatnonzero(rows["n"].to_numpy() == 0)[-1]
+            held = [rows.iloc[cut:]]
+            if cut:
+                yield rows.iloc[:cut]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def decoded(spans: DataFrame, languages: int) -> DataFrame:
-    """call, a, b, state of spans (call, n: place in the call, a, b, price: of a change before it, scores: one for each language)."""
+    """call, a, b, state of spans (call, n: place in the call, a, b, price: of a change before it, scores: one for each language). Calls of one run are decoded many at once, longer ones run by run."""
+    sized = written(spans.withColumn("_long", F.max("n").over(Window.partitionBy("call")) >= RUN), "vote-spans")
+    short = sized.where("not _long").select("call", "n", "a", "b", "price", *(F.col("scores")[k].alias(f"s{k}") for k in range(languages)))
+    kind = spans.schema["call"].dataType.simpleString()
+
+    def several(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole_calls(p for p in parts if len(p)):
+            first = np.flatnonzero(rows["n"].to_numpy() == 0)
+            state = best_paths(rows[[f"s{k}" for k in range(languages)]].to_numpy(), rows["price"].to_numpy(), np.diff([*first, len(rows)]))
+            yield rows[["call", "a", "b"]].assign(state=state)
+
+    found = short.repartition("call").sortWithinPartitions("call", "n").mapInPandas(several, f"call {kind}, a double, b double, state int")
+    rest = sized.where("_long").drop("_long")
+    return found if rest.isEmpty() else found.unionByName(_decoded_runs(rest, languages))
+
+
+def _decoded_runs(spans: DataFrame, languages: int) -> DataFrame:
+    """decoded() for calls of several runs."""
     kind = spans.schema["call"].dataType.simpleString()
     runs = spans.withColumn("run", F.floor(F.col("n") / RUN))
 
@@ -117,8 +174,8 @@ def labelled(words: DataFrame, languages: list[str], switch: float, missing: flo
     words = words.where("start is not null and end is not null and p is not null and call is not null").where(F.col("lang").isin(languages))
     spans = elementary_spans(words, frozen).withColumn("x", (F.col("a") + F.col("b")) / 2)
     ranges = words.select("call", "lang", F.col("start").alias("lo"), F.col("end").alias("hi"), log_odds(F.col("p")).alias("odds"))
-    heard = _at(spans, ranges, ["call"]).groupBy("call", "a", "b", "x", "lang").agg(F.min(F.struct("lo", "hi", "odds")).alias("first"))
-    odds = heard.groupBy("call", "a", "b", "x").agg(*(F.max(F.when(F.col("lang") == lang, F.col("first.odds"))).alias(f"odds{k}") for k, lang in enumerate(languages)))
+    heard = _at(spans, ranges, ["call"]).groupBy("call", "bucket", "a", "b", "x", "lang").agg(F.min(F.struct("lo", "hi", "odds")).alias("first"))
+    odds = heard.groupBy("call", "bucket", "a", "b", "x").agg(*(F.max(F.when(F.col("lang") == lang, F.col("first.odds"))).alias(f"odds{k}") for k, lang in enumerate(languages)))
     if frozen is not None:
         fixed = frozen.select("call", F.col("a").alias("lo"), F.col("b").alias("hi"), F.col("lang").alias("fixed"))
         locks = _at(odds.select("call", "a", "x"), fixed, ["call"]).groupBy("call", "a").agg(F.min_by("fixed", "lo").alias("fixed"))

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 
 from tallyloom.operators import span_vote
@@ -95,3 +96,19 @@ def test_words_and_freeze(spark):
     more, now = span_vote.advanced_freeze(spans, words, until, 1.5)
     assert more.count() == 0 and [r["until"] for r in now.collect()] == [2.5]
     assert span_vote.labelled(words.limit(0), ["a", "b"], 0.5, -2.0).count() == 0
+
+
+def test_many_calls_at_once():
+    """Paths of several runs at once are those of each run by itself."""
+    rng = np.random.default_rng(2)
+    sizes = np.array([5, 1, 40, 17, 40, 3])
+    scores, prices = rng.integers(-3, 4, (sizes.sum(), 3)).astype(float), rng.choice([0.0, 0.7], sizes.sum())
+    at, want = 0, []
+    for n in sizes:
+        total, back = span_vote.best_path(scores[at : at + n], prices[at : at + n], np.zeros(3))
+        path = [int(total.argmax())]
+        for row in back[:0:-1]:
+            path.append(int(row[path[-1]]))
+        want += path[::-1]
+        at += n
+    assert span_vote.best_paths(scores, prices, sizes).tolist() == want
