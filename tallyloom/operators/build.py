@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,8 +11,11 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text as tx
 from tallyloom.operators import corpus
+from tallyloom.sources.shared import written
 
 SUFFIX = "-asr"
+#: A whole number, perhaps in groups of three digits.
+NUMERAL = re.compile(r"\d{1,3}(?:[  ]\d{3})+|\d+")
 #: Number words of Russian and Kazakh by place: fixed values.
 RU_ONES = "ноль один два три четыре пять шесть семь восемь девять десять одиннадцать двенадцать тринадцать четырнадцать пятнадцать шестнадцать семнадцать восемнадцать девятнадцать".split()
 RU_TENS = "двадцать тридцать сорок пятьдесят шестьдесят семьдесят восемьдесят девяносто".split()
@@ -68,11 +72,10 @@ def styled(text: Column, language: Column, drop_latin: bool = False) -> Column:
         said = []
         for t, lang in zip(texts, languages, strict=True):
             lang = "kk" if lang == "kk" else "ru"
-            t = pd.Series([t]).str.replace(r"\d{1,3}(?:[  ]\d{3})+|\d+", lambda m: f" {spelt(''.join(c for c in m[0] if c.isdigit()), lang)} ", regex=True)[0]
-            said.append(t)
-        return pd.Series(said)
+            said.append(None if t is None else NUMERAL.sub(lambda m: f" {spelt(''.join(c for c in m[0] if c.isdigit()), lang)} ", t))  # noqa: B023
+        return pd.Series(said, dtype=object)
 
-    worded = F.when(text.rlike(r"[0-9]"), spell(text, F.coalesce(language, F.lit("ru")))).otherwise(text)
+    worded = F.coalesce(spell(F.when(text.rlike(r"[0-9]"), text), F.coalesce(language, F.lit("ru"))), text)
     worded = F.regexp_replace(worded, "[A-Za-z]+", " ") if drop_latin else worded
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(worded, r"(?U)[^\w]+|_+", " "), r"\s+", " ")))
 
@@ -96,25 +99,28 @@ def built(rows: DataFrame, generated: DataFrame | None = None, extra: DataFrame
     are for training alone, and a share of the training rows has a styled copy there. A text that an earlier step put into train or val isn't put there again.
     """
 
+    def first(part: DataFrame, origin: str) -> DataFrame:
+        hashed = written(part.select("id", "text", "lang", tx.text_hash(F.coalesce("text", F.lit(""))).alias("_h")), "corpus-texts")
+        return corpus.keep_first(hashed, "id", own=F.col("_h")).withColumn("origin", F.lit(origin))
+
     def ready(part: DataFrame, origin: str) -> DataFrame:
         cleaned = part.where(~tx.corrupted(F.col("text"))).withColumn("text", tx.clean(F.col("text")))
-        cleaned = cleaned.withColumn("text", mask(F.col("text"))) if mask else cleaned
-        return corpus.keep_first(cleaned.select("id", "text", "lang"), "id").withColumn("origin", F.lit(origin))
+        return first(cleaned.withColumn("text", mask(F.col("text"))) if mask else cleaned, origin)
 
     whole = ready(rows, "real").withColumn("split", tx.assign_split(F.col("id"), seed))
     steps = [] if generated is None else [ready(generated, "generated").withColumn("split", generated_split(F.col("id"), seed))]
     steps += [] if extra is None else [ready(extra, "extra").withColumn("split", F.lit("train"))]
     for step in steps:
         whole = whole.unionByName(_unseen(step, whole))
+    whole = written(whole, "corpus")
     made = styled_copies(whole.where("split = 'train'"), share, seed, style=style)
-    made = (made.withColumn("text", mask(F.col("text"))) if mask else made).withColumn("origin", F.lit("styled"))
-    return whole.unionByName(_unseen(corpus.keep_first(made, "id"), whole))
+    made = first(made.withColumn("text", mask(F.col("text"))) if mask else made, "styled").withColumn("split", F.lit("train"))
+    return whole.unionByName(_unseen(made, whole)).drop("_h")
 
 
 def _unseen(rows: DataFrame, whole: DataFrame) -> DataFrame:
-    """rows whose normalised text their own split of whole doesn't have."""
-    held = whole.select(F.col("split").alias("_s"), tx.text_hash(F.col("text")).alias("_h")).dropDuplicates()
-    return rows.join(held, (F.col("split") == F.col("_s")) & (tx.text_hash(F.col("text")) == F.col("_h")), "left_anti")
+    """rows whose normalised text (its hash: _h) their own split of whole doesn't have."""
+    return rows.join(whole.select("split", "_h").dropDuplicates(), ["split", "_h"], "left_anti")
 
 
 def provenance(rows: DataFrame, generator: str, positive: Column) -> DataFrame:

@@ -12,11 +12,11 @@ from tallyloom.operators.places import with_place
 from tallyloom.sources.shared import written
 
 
-def keep_first(rows: DataFrame, order: str, text: str = "text") -> DataFrame:
-    """The first row of each normalised text, a null text being an empty one; of rows that share an order and a text all stay. What is grouped is the hash, and each side is combined before the shuffle."""
-    own = text_hash(F.coalesce(F.col(text), F.lit("")))
-    first = rows.groupBy(own.alias("_h")).agg(F.min(order).alias("_first"))
-    return rows.join(first, (own == F.col("_h")) & (F.col(order) == F.col("_first")), "left_semi")
+def keep_first(rows: DataFrame, order: str, text: str = "text", own: Column | None = None) -> DataFrame:
+    """The first row of each normalised text, a null text being an empty one; of rows that share an order and a text all stay. What is grouped is the hash, and each side is combined before the shuffle. own: the hash, if there is one."""
+    own = text_hash(F.coalesce(F.col(text), F.lit(""))) if own is None else own
+    first = rows.groupBy(own.alias("_own")).agg(F.min(order).alias("_first"))
+    return rows.join(first, (own == F.col("_own")) & (F.col(order) == F.col("_first")), "left_semi")
 
 
 def split_counts(rows: DataFrame, split: str, language: str, positive: Column, hard: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text as tx
 from tallyloom.operators import build, corpus, intake, linking, live, metrics, places, roles, scoring
-from tallyloom.sources import records
+from tallyloom.sources import records, shared
 
 
 def test_places_are_those_of_the_whole_order(spark):
@@ -215,3 +215,11 @@ def test_grid_cues_reviews_and_lines_with_nulls(spark):
     listed = build.review_list(rows, [("z", F.col("yes") == 1), ("b", F.col("text").contains("|"))])
     assert sorted(tuple(r["reasons"]) for r in listed.collect()) == [("b", "z"), ("z",), ("z",)]
     assert {r["line"] for r in build.table_lines(rows, ["cell", "text"]).collect()} == {"| a | x\\|y |", "| a | p q |", "| c |  |", "|  |  |"}
+
+
+def test_corpus_texts_are_cleaned_once(spark):
+    before = set(shared.written_tables())
+    rows = spark.createDataFrame([(f"{i:03}", f"text {i % 40}", "en") for i in range(60)], "id string, text string, lang string")
+    made = build.built(rows, generated=rows.limit(5))
+    assert made.where("origin = 'real'").count() == 40 and set(made.columns) == {"id", "text", "lang", "split", "origin"}
+    assert sum("/corpus-texts-" in t for t in shared.written_tables() if t not in before) == 3
