@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -133,7 +133,7 @@ def verdicts_applied(orgs: DataFrame, events: DataFrame) -> DataFrame:
     """orgs (org, priority, is_novel, members, numbers) after all verdicts in order of ts and event_id: org, priority, is_novel, members, numbers, feedback; merged ones are gone.
 
     events: event_id, ts, action, org, target (matched before). Dismissals and confirmations start from the base state; a merge unites both, keeps the target's name and the higher priority,
-    and what was merged answers to the target's name from then on. Organizations that merges connect are one group, folded in a task; no other group is larger than one.
+    and what was merged answers to the target's name from then on. Organizations that merges connect are one group, folded in a task, event by event; no other group is larger than one.
     """
     merges = events.where("action = 'merge' and target is not null").select(F.col("org").alias("a"), F.col("target").alias("b"))
     label = linking.components(merges)
@@ -141,23 +141,54 @@ def verdicts_applied(orgs: DataFrame, events: DataFrame) -> DataFrame:
     said = events.join(label, F.col("org") == F.col("node"), "left").select("event_id", "ts", "action", "org", "target", F.coalesce("component", "org").alias("_group"))
     schema = T.StructType([*orgs.schema.fields, T.StructField("feedback", T.StringType())])
     names = orgs.columns
-
-    def fold(key: tuple, rows: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
-        base = {r.org: dict(zip(names, tuple(r)[: len(names)], strict=True)) | {"feedback": None} for r in rows.itertuples(index=False)}
-        now, stands = {k: dict(v) for k, v in base.items()}, {k: k for k in base}
-        for e in log.sort_values(["ts", "event_id"]).itertuples(index=False):
-            org, target = stands.get(e.org), stands.get(e.target)
-            if org is None or (e.action == "merge" and (target is None or target == org)):
-                continue
-            if e.action == "merge":
-                for state in (base, now):
-                    a, b = state.pop(org), state[target]
-                    b.update(members=sorted({*a["members"], *b["members"]}), numbers=sorted({*a["numbers"], *b["numbers"]}), priority=max(a["priority"], b["priority"]), is_novel=bool(a["is_novel"] and b["is_novel"]), feedback="merged")
-                stands = {k: target if v == org else v for k, v in stands.items()}
-            elif e.action == "dismiss":
-                now[org].update(priority=base[org]["priority"] * FACTOR, is_novel=False, feedback="dismissed")
-            else:
-                now[org] = base[org] | {"feedback": "confirmed"}
-        return pd.DataFrame(list(now.values()), columns=[*names, "feedback"])
-
-    return held.groupBy("_group").cogroup(said.groupBy("_group")).applyInPandas(lambda key, a, b: fold(key, a.drop(columns="_group"), b), schema)
+    both = held.withColumn("_kind", F.lit(0)).unionByName(said.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    order = [F.col("_group"), F.col("_kind"), F.col("ts").asc_nulls_last(), F.col("event_id").asc_nulls_last()]
+    dealt = both.repartition("_group").sortWithinPartitions(*order).select("_group", "_kind", "action", "target", *names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Group after group, each one's organizations before its events."""
+        base: dict[object, dict] = {}
+        now: dict[object, dict] = {}
+        stands: dict[object, object] = {}
+        group, done, fields = object(), [], None
+
+        def out() -> pa.RecordBatch:
+            told = [{**o, "priority": None if o["priority"] != o["priority"] else o["priority"]} for o in done]
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array([o[f.name] for o in told], f.type) for f in fields], schema=pa.schema(fields))
+
+        for batch in batches:
+            fields = [pa.field(c, batch.schema.field(c).type) for c in names] + [pa.field("feedback", pa.string())]
+            for g, kind, action, target, *org in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if g != group:
+                    done += now.values()
+                    group, base, now, stands = g, {}, {}, {}
+                row = dict(zip(names, org, strict=True))
+                if kind:
+                    _fold(base, now, stands, action, row["org"], target)
+                else:
+                    row = {**row, "priority": float("nan") if row["priority"] is None else row["priority"], "feedback": None}
+                    base[row["org"]], now[row["org"]], stands[row["org"]] = row, dict(row), row["org"]
+            if len(done) >= 10_000:
+                yield out()
+        done += now.values()
+        if done:
+            yield out()
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _fold(base: dict, now: dict, stands: dict, action: str, name: object, target: object) -> None:
+    """What an event does to a group: its organizations' base states, present states, and the names that they now answer to."""
+    org, target = stands.get(name), stands.get(target)
+    if org is None or (action == "merge" and (target is None or target == org)):
+        return
+    if action == "merge":
+        for state in (base, now):
+            a, b = state.pop(org), state[target]
+            b.update(members=sorted({*a["members"], *b["members"]}), numbers=sorted({*a["numbers"], *b["numbers"]}), priority=max(a["priority"], b["priority"]), is_novel=bool(a["is_novel"] and b["is_novel"]), feedback="merged")
+        stands.update({k: target for k, v in stands.items() if v == org})
+    elif action == "dismiss":
+        now[org].update(priority=base[org]["priority"] * FACTOR, is_novel=False, feedback="dismissed")
+    else:
+        now[org] = base[org] | {"feedback": "confirmed"}

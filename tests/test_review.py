@@ -223,3 +223,13 @@ def test_corpus_texts_are_cleaned_once(spark):
     made = build.built(rows, generated=rows.limit(5))
     assert made.where("origin = 'real'").count() == 40 and set(made.columns) == {"id", "text", "lang", "split", "origin"}
     assert sum("/corpus-texts-" in t for t in shared.written_tables() if t not in before) == 3
+
+
+def test_verdicts_stream(spark):
+    """No group is gathered: groups go through a task one after the other."""
+    orgs = spark.createDataFrame([(k, float(k), True, [f"m{k}"], [f"n{k}"]) for k in range(1, 6)], "org long, priority double, is_novel boolean, members array<string>, numbers array<string>")
+    events = spark.createDataFrame([(1, 1, "dismiss", 3, None), (2, 2, "merge", 1, 2), (3, 3, "confirm", 1, None), (4, 4, "dismiss", 4, None), (5, 0, "merge", 5, 9)], "event_id long, ts long, action string, org long, target long")
+    done = intake.verdicts_applied(orgs, events)
+    assert "CoGroup" not in done._jdf.queryExecution().toString()
+    got = {r["org"]: (round(r["priority"], 6), r["is_novel"], r["members"], r["feedback"]) for r in done.collect()}
+    assert got == {2: (2.0, True, ["m1", "m2"], "confirmed"), 3: (0.6, False, ["m3"], "dismissed"), 4: (0.8, False, ["m4"], "dismissed"), 5: (5.0, True, ["m5"], None)}
