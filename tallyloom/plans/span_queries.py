@@ -85,9 +85,11 @@ def commit_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("speech_segments")
 def speech_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases in frames that stand for sound: each character of a turn is two frames, loud where it isn't a blank."""
-    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "")).alias("k", "c"))
-    frames = rows.select("conv_id", (F.col("turn") * 100_000 + F.col("k")).alias("frame"), F.when(F.col("c").rlike(r"[\s.,]"), -70.0).otherwise(-20.0).alias("db"), F.lit(500.0).alias("crossings"))
-    return speech.segments(frames, "conv_id")
+    rows = load(spark, sf_dir, "conversations").where("text is not null")
+    total = rows.agg(F.sum(F.length("text"))).collect()[0][0] or 0
+    db = F.transform(F.split("text", ""), lambda c: F.when(c.isin(*" \t\n\x0b\f\r.,"), -70.0).otherwise(-20.0))
+    frames = rows.select("conv_id", F.col("turn").alias("frame"), db.alias("db")).withColumn("crossings", F.transform("db", lambda _: F.lit(500.0)))
+    return speech.segments(frames, "conv_id", total=total)
 
 
 @query("lock_decodes")
