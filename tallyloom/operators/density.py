@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.operators.linking import components
+from tallyloom.operators.linking import aside, components
 from tallyloom.operators.places import with_place
 from tallyloom.sources.shared import drop_but, written, written_tables
 
 #: Rows of a leaf, in which all distances are computed, and how many ways the rows are dealt to leaves.
 LEAF, TREES = 1024, 12
+#: Leaves of a partition, about.
+LEAVES = 8
 #: Edges that one task merges.
 SLICE = 200_000
 #: Distances below this count as this.
@@ -33,14 +35,51 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((y - row) ** 2).sum(1)) for row in x]) if len(x) else np.zeros((0, len(y)))
 
 
+def nearest_within(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest other rows of each row of x, ties to the earlier, and their distances().
+
+    A product of matrices tells a few more than k that may be nearest; their distances decide, where the product's error can't have left out any other row, and else those of all rows.
+    """
+    n, few = len(x), min(k, len(x) - 1) + 8
+    k = min(k, n - 1)
+    if k < 1 or few >= n - 1:
+        d = distances(x, x)
+        np.fill_diagonal(d, np.inf)
+        near = np.argsort(d, axis=1, kind="stable")[:, :k]
+        return near, np.take_along_axis(d, near, 1)
+    with np.errstate(all="ignore"):
+        sq = (x * x).sum(1)
+        about = sq[:, None] + sq - 2 * (x @ x.T)
+        np.fill_diagonal(about, np.inf)
+        near = np.argpartition(about, few - 1, axis=1)[:, :few]
+        least = np.take_along_axis(about, near[:, -1:], 1)[:, 0] - 4 * (x.shape[1] + 8) * np.finfo(float).eps * (np.sqrt(sq) + np.sqrt(sq.max())) ** 2  # of the squares of all other rows
+        near.sort(axis=1)
+        d = np.sqrt(((x[near] - x[:, None]) ** 2).sum(2))
+        order = np.argsort(d, axis=1, kind="stable")[:, :k]
+        near, d = np.take_along_axis(near, order, 1), np.take_along_axis(d, order, 1)
+        unsure = np.flatnonzero(~(least > d[:, -1] ** 2 * (1 + 1e-12)))
+    for i in unsure:
+        every = distances(x[i : i + 1], x)[0]
+        every[i] = np.inf
+        near[i] = np.argsort(every, kind="stable")[:k]
+        d[i] = every[near[i]]
+    return near, d
+
+
+def _vectors(column: pa.Array, size: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), size)
+
+
 def near_graph(points: DataFrame, k: int, leaf: int = LEAF, trees: int = TREES, seed: int = 1) -> DataFrame:
-    """a, b, d: the k nearest nodes b of each node a of points (node, v), ties to the smaller.
+    """a, b, d: the k nearest nodes b of each node a of points (node: a whole number, v), ties to the smaller.
 
     Exact where all points fit into one leaf. Else points are dealt to leaves several times, each time by the side of random planes through their mean on which they lie; a bucket that is
-    too large is cut along one more direction. The nearest of all leaves of a point are taken.
+    too large is cut along one more direction. The nearest of all leaves of a point are taken. Sorted rows stream through tasks, in partitions of a few leaves each: first leaf by leaf, then node by node.
     """
     n = points.count()
     bits = max(0, math.ceil(math.log2(max(n, 1) / leaf)))
+    wide = len((points.select("v").first() or [[]])[0])
+    rows = points.select(F.col("node").cast("long").alias("node"), "v")
     if bits:
         means = points.select(F.posexplode("v").alias("j", "x")).groupBy("j").agg(F.avg("x").alias("m")).orderBy("j").collect()
         mean = np.array([r["m"] for r in means])
@@ -48,43 +87,81 @@ def near_graph(points: DataFrame, k: int, leaf: int = LEAF, trees: int = TREES,
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                v = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, len(mean)) - mean
+                v = _vectors(batch.column(1), wide) - mean
                 for t in range(trees):
                     side = v @ planes[t].T
                     code = ((side[:, :bits] > 0) << np.arange(bits)).sum(1)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t)), pa.array(code.astype(np.int64)), pa.array(side[:, bits]), batch.column(0), batch.column(1)], names=["tree", "code", "at", "node", "v"])
 
-        kind = points.schema["node"].dataType.simpleString()
-        dealt = points.select("node", "v").mapInArrow(deal, f"tree long, code long, at double, node {kind}, v array<double>")
-        order = Window.partitionBy("tree", "code").orderBy("at", "node")
-        dealt = dealt.withColumn("part", F.floor((F.row_number().over(order) - 1) / leaf))
+        dealt = rows.mapInArrow(deal, "tree long, code long, at double, node long, v array<double>")
     else:
-        dealt = points.select(F.lit(0).alias("tree"), F.lit(0).alias("code"), F.lit(0).alias("part"), "node", "v")
+        dealt = rows.select(F.lit(0).cast("long").alias("tree"), F.lit(0).cast("long").alias("code"), F.lit(0.0).alias("at"), "node", "v")
 
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node", ignore_index=True)
-        d = distances(*[np.array(rows["v"].tolist(), np.float64)] * 2)
-        np.fill_diagonal(d, np.inf)
-        near = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(rows) - 1)]
-        a = np.repeat(np.arange(len(rows)), near.shape[1])
-        b = near.ravel()
-        return pd.DataFrame({"a": rows["node"].to_numpy()[a], "b": rows["node"].to_numpy()[b], "d": d[a, b]})
+    def met(nodes: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(nodes)
+        nodes = nodes[order]
+        near, d = nearest_within(x[order], k)
+        ends = pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * near.shape[1])
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.ListArray.from_arrays(ends, pa.array(nodes[near].ravel())), pa.ListArray.from_arrays(ends, pa.array(d.ravel()))], names=["a", "b", "d"])
 
-    kind = points.schema["node"].dataType.simpleString()
-    found = dealt.groupBy("tree", "code", "part").applyInPandas(meet, f"a {kind}, b {kind}, d double").dropDuplicates(["a", "b"])
-    return found.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("nth") <= k).drop("nth")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, nodes, x = None, np.zeros(0, np.int64), np.zeros((0, wide))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tree, code, own = (batch.column(c).to_numpy() for c in range(3))
+            v = _vectors(batch.column(3), wide)
+            cuts = [0, *(np.flatnonzero((np.diff(tree) != 0) | (np.diff(code) != 0)) + 1).tolist(), len(own)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if of is not None and of != (tree[i], code[i]):
+                    yield met(nodes, x)
+                    nodes, x = nodes[:0], x[:0]
+                of = tree[i], code[i]
+                nodes, x = np.concatenate([nodes, own[i:j]]), np.concatenate([x, v[i:j]])
+                while len(nodes) > leaf:
+                    yield met(nodes[:leaf], x[:leaf])
+                    nodes, x = nodes[leaf:], x[leaf:]
+        if of is not None:
+            yield met(nodes, x)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, d = held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, (b, d) = batch.column(0).to_numpy(), (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (1, 2))
+            more = np.repeat(own, np.diff(batch.column(1).offsets.to_numpy())), b, d
+            a, b, d = (np.concatenate(c) for c in zip(held, more, strict=True))
+            last = a == own[-1]  # may go on in the next batch
+            held = [c[last] for c in (a, b, d)]
+            yield first(*(c[~last] for c in (a, b, d)))
+        yield first(*held)
+
+    def first(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((b, d, a))
+        a, b, d = a[order], b[order], d[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        a, b, d = a[new], b[new], d[new]
+        nth = np.arange(len(a)) - np.searchsorted(a, a)
+        return pa.RecordBatch.from_arrays([pa.array(c[nth < k]) for c in (a, b, d)], names=["a", "b", "d"])
+
+    parts = max(1, math.ceil(n * (trees if bits else 1) / (LEAVES * leaf)))
+    found = dealt.repartition(parts, "tree", "code").sortWithinPartitions("tree", "code", "at", "node").select("tree", "code", "node", "v").mapInArrow(meet, "a long, b array<long>, d array<double>")
+    return found.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(best, "a long, b long, d double")
 
 
 def reachable(points: DataFrame, near: DataFrame, k: int) -> DataFrame:
     """a, b (a < b), w: the graph's edges by mutual reachability. points: node, weight. A node's own copies count as neighbours."""
-    weight = points.select(F.col("node").alias("b"), F.col("weight").alias("wb"))
-    own = points.select(F.col("node").alias("a"), F.col("weight").alias("wa"))
+    n = points.count()
+    weight, own = (aside(points.select(F.col("node").alias(c), F.col("weight").alias(f"w{c}")), n) for c in "ba")
     met = near.join(weight, "b").join(own, "a")
     before = F.sum("wb").over(Window.partitionBy("a").orderBy("d", "b").rowsBetween(Window.unboundedPreceding, 0)) + F.col("wa") - 1
     enough = met.withColumn("held", before).groupBy("a").agg(F.min(F.when(F.col("held") >= k, F.col("d"))).alias("kth"), F.max("d").alias("far"), F.first("wa").alias("wa"))
     core = enough.select(F.col("a").alias("node"), F.when(F.col("wa") > k, F.lit(0.0)).otherwise(F.coalesce("kth", "far")).alias("core"))
     edges = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d").dropDuplicates(["a", "b"])
-    ends = [core.select(F.col("node").alias(c), F.col("core").alias(f"core_{c}")) for c in "ab"]
+    core = written(core, "core")
+    ends = [aside(core.select(F.col("node").alias(c), F.col("core").alias(f"core_{c}")), n) for c in "ab"]
     return edges.join(ends[0], "a").join(ends[1], "b").select("a", "b", F.greatest("d", "core_a", "core_b").alias("w"))
 
 
@@ -93,12 +170,13 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     before, taken = written_tables(), []
     now = written(edges.select(F.col("a").alias("ga"), F.col("b").alias("gb"), F.struct("w", "a", "b").alias("e")), "forest-edges")
     while not now.isEmpty():
-        both = now.select(F.col("ga").alias("g"), "e").unionByName(now.select(F.col("gb").alias("g"), "e"))
-        light = both.groupBy("g").agg(F.min("e").alias("e")).select("e").dropDuplicates()
-        chosen = written(now.join(light, "e", "left_semi"), "forest-chosen")
+        both = [now.select(F.col(end).alias("g"), F.struct("e", "ga", "gb").alias("m")) for end in ("ga", "gb")]
+        light = both[0].unionByName(both[1]).groupBy("g").agg(F.min("m").alias("m"))
+        chosen = written(light.select("m.ga", "m.gb", "m.e").dropDuplicates(), "forest-chosen")
         taken.append(chosen)
         label = components(chosen.select(F.col("ga").alias("a"), F.col("gb").alias("b")))
-        ends = [label.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in ("ga", "gb")]
+        n = label.count()
+        ends = [aside(label.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")), n) for c in ("ga", "gb")]
         moved = now.join(ends[0], "ga").join(ends[1], "gb").where("c_ga <> c_gb")
         pair = moved.select(F.least("c_ga", "c_gb").alias("ga"), F.greatest("c_ga", "c_gb").alias("gb"), "e")
         now = written(pair.groupBy("ga", "gb").agg(F.min("e").alias("e")), "forest-edges")

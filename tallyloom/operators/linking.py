@@ -13,7 +13,8 @@ from tallyloom.sources.shared import drop_but, written, written_tables
 BROADCAST_NODES, BROADCAST_NAMES = 1_000_000, 50_000
 
 
-def _aside(df: DataFrame, rows: int) -> DataFrame:
+def aside(df: DataFrame, rows: int) -> DataFrame:
+    """df, which has so many rows, as a side of a join: broadcast if that is few enough."""
     numbers = all(isinstance(f.dataType, T.NumericType) for f in df.schema)
     return F.broadcast(df) if rows <= (BROADCAST_NODES if numbers else BROADCAST_NAMES) else df
 
@@ -38,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
         moved = written(step.join(onward, "up").select("node", "to"), "moves")
         rows = moved.count()
         moves.append((moved, rows))
-        ends = [_aside(moved.select(F.col("node").alias(c), F.col("to").alias(c + "_to")), rows) for c in "ab"]
+        ends = [aside(moved.select(F.col("node").alias(c), F.col("to").alias(c + "_to")), rows) for c in "ab"]
         met = now.join(ends[0], "a").join(ends[1], "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))
         now = written(met.where("a <> b").dropDuplicates(), "edges")
     if not moves:
@@ -46,10 +47,10 @@ def components(edges: DataFrame) -> DataFrame:
     label = moves[-1][0]
     for (moved, _), (_, rows) in zip(moves[-2::-1], moves[:0:-1], strict=True):
         on = label.select(F.col("node").alias("to"), F.col("to").alias("last"))
-        label = moved.join(_aside(on, rows), "to", "left").select("node", F.coalesce("last", "to").alias("to"))
+        label = moved.join(aside(on, rows), "to", "left").select("node", F.coalesce("last", "to").alias("to"))
     label = written(label, "labels")
     first = label.groupBy("to").agg(F.min("node").alias("component"))
-    named = written(label.join(_aside(first, moves[0][1]), "to").select("node", "component"), "components")
+    named = written(label.join(aside(first, moves[0][1]), "to").select("node", "component"), "components")
     drop_but(spark, before, named)
     return named
 

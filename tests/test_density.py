@@ -122,6 +122,28 @@ def test_leaves_find_near_neighbours(spark):
     assert len(found & want) > 0.9 * len(want) and len(found) == len(want)
 
 
+@pytest.mark.parametrize("kind", ["plain", "grid", "far", "few"])
+def test_nearest_within_equals_all_distances(kind):
+    """Candidates by a product of matrices: the same neighbours, ties and distances to the last bit, also where the product tells nothing."""
+    rng = np.random.default_rng(6)
+    x = {"plain": rng.normal(size=(400, 64)), "grid": rng.integers(0, 3, size=(400, 4)).astype(float), "far": 1e9 + rng.normal(size=(300, 5)), "few": rng.normal(size=(9, 3))}[kind]
+    d = density.distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, axis=1, kind="stable")[:, :12][:, : len(x) - 1]
+    near, got = density.nearest_within(x, 12)
+    assert (near == want).all() and (got == np.take_along_axis(d, want, 1)).all()
+
+
+def test_leaves_stream_through_partitions(spark):
+    """A partition has a few leaves; no task gathers groups, and no row is made for a pair that a nearer one of another leaf displaces."""
+    points = spark.createDataFrame([(i, [float(i % 37), float(i)]) for i in range(900)], "node long, v array<double>")
+    graph = density.near_graph(points, 3, leaf=50)
+    plan = graph._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "FlatMapGroups" not in plan and graph.rdd.getNumPartitions() == -(-900 * density.TREES // (density.LEAVES * 50))
+    rows = graph.collect()
+    assert len(rows) == len({(r["a"], r["b"]) for r in rows}) == 2700
+
+
 def test_overlay_takes_density_clusters(spark):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(0, 0.1, size=(10, 2)) + 1, rng.normal(9, 0.1, size=(30, 2))])
