@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences: toxicity, quality, exact copies, near copies, packing.
 
 Each stage works on all rows that the one before kept. run() writes each stage's rows, and then deletes the tables that the stage has made in the shared folder
-on its way; a stage that is called by itself leaves them. Stages lower the session's number of rows that go to a Python worker at once to BATCH_ROWS, and leave it so: what
+on its way; a stage that is called by itself leaves them. Stages lower the session's number of rows that go to a Python worker at once to BATCH_ROWS or FEW_ROWS, and leave it so: what
 they return runs later.
 """
 
@@ -19,17 +19,20 @@ from tallyloom.llm.toxicity import THRESHOLD, learn, with_score
 
 #: Rows that go to a Python worker at once, at most: whole texts can be long.
 BATCH_ROWS = 1000
+#: The same where texts are worked on one by one, so that the JVM's buffers for them, which the system doesn't get back, stay small.
+FEW_ROWS = 128
 
 
-def _few_rows(spark: SparkSession) -> None:
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+def _few_rows(spark: SparkSession, most: int = BATCH_ROWS) -> None:
+    name, kept = "spark.sql.execution.arrow.maxRecordsPerBatch", "tallyloom.pipeline.ownRows"
+    own = int(spark.conf.get(kept, spark.conf.get(name)))  # the session's, before any stage
+    spark.conf.set(kept, own)
+    spark.conf.set(name, min(own, most) if own > 0 else most)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted toxic. The model learns from labelled rows of docs that aren't held out."""
-    _few_rows(spark)
+    _few_rows(spark, FEW_ROWS)
     scored = with_score(docs, learn(docs, table(spark, sf_dir, "labels")), out="_toxicity")
     return scored.where(F.col("_toxicity") < THRESHOLD).select(*docs.columns)
 
@@ -53,7 +56,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document and its place in a sequence."""
-    _few_rows(spark)
+    _few_rows(spark, FEW_ROWS)
     return packed(docs)
 
 

@@ -11,6 +11,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, np.uint64)
+#: Bytes of texts whose words are hashed at once, but for a longer text: some ten numbers of 8 bytes are held for each.
+AT_ONCE = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -27,15 +29,32 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str], at_once: int = AT_ONCE) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word of texts, A-Z lower-cased, and how many words each text has. Words are runs of other than ASCII white space."""
-    raw = [t.encode("utf-8", "surrogatepass") + b" " for t in texts]
+    words, count, some, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], 0
+
+    def add() -> None:
+        for to, x in zip((words, count), _word_hashes(some), strict=True):
+            to.append(x)
+
+    for t in texts:
+        raw = t.encode("utf-8", "surrogatepass") + b" "
+        if some and size + len(raw) > at_once:
+            add()
+            some, size = [], 0
+        some.append(raw)
+        size += len(raw)
+    add()
+    return np.concatenate(words), np.concatenate(count)
+
+
+def _word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     flat = _LOWER[np.frombuffer(b"".join(raw), np.uint8)]
     white = _WHITE[flat]
     start = np.flatnonzero(~white & np.concatenate([[True], white[:-1]]))
     stop = np.flatnonzero(white & np.concatenate([[False], ~white[:-1]]))
     if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(raw), np.int64)
     size = stop - start
     inside = np.flatnonzero(~white)
     first = np.cumsum(size) - size

@@ -428,7 +428,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str =
             if r["_size"] <= left:
                 left -= r["_size"]
                 chosen.append((r["_id"], label))
-    ids = docs.sparkSession.createDataFrame(chosen, "_id long, _toxic int")
+    ids = docs.sparkSession.createDataFrame(pa.table({"_id": pa.array([i for i, _ in chosen], pa.int64()), "_toxic": pa.array([x for _, x in chosen], pa.int32())}))  # a list would start workers of another kind
     found = docs.select(F.col(row_id).alias("_id"), text_or_empty(text).alias("_text")).join(F.broadcast(ids), "_id").dropDuplicates(["_id"]).orderBy("_id").collect()
     return fit([r["_text"] for r in found], [r["_toxic"] for r in found])
 

@@ -1,7 +1,8 @@
 """Token ids of whole texts with the tokenizers library, each distinct word encoded once per worker.
 
 The tokenizer used here drops white space before its merges, so a text's ids are those of its words in order. A worker keeps
-the ids of the words it has seen as packed bytes, in a table of bounded size that is emptied when full.
+the ids of the words that it has seen twice as packed bytes, in a table of bounded size that is emptied when full; words seen once, most of which never come
+again, wait in a smaller one.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from tokenizers import Tokenizer
 MODEL = "word_bpe_49k.json"
 #: The end id after each document.
 END = 1
-#: Words in a worker's table.
-WORDS = 250_000
+#: Words in a worker's table, and words seen once that wait beside it.
+WORDS, ONCE = 80_000, 20_000
 
 
 #: A lower-case Latin-1 word and what follows it; both are pre-tokens of their own.
@@ -54,14 +55,15 @@ class WordEncoder(dict):
     """ids(text) for a byte-level tokenizer that normalises to NFC and lower case and splits into letters, digits and the rest.
 
     Latin-1 texts are lower-cased before the look-up, and their plain words go straight to the library's model; all else, and any text
-    with the start of a special token, goes through the library's whole pipeline word by word. The dict holds the words' packed ids.
+    with the start of a special token, goes through the library's whole pipeline word by word. The dict holds the packed ids of words seen twice.
     """
 
-    def __init__(self, path: str, words: int = WORDS) -> None:
+    def __init__(self, path: str, words: int = WORDS, once: int = ONCE) -> None:
         super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.limit = words
+        self.limit, self.once_limit = words, once
+        self.once: dict[str, bytes] = {}
         self.small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.byte = byte_letters()
 
@@ -79,6 +81,10 @@ class WordEncoder(dict):
         return packed([x.id for x in self.model.tokenize(word)])
 
     def __missing__(self, word: str) -> bytes:
+        found = self.once.pop(word, None)
+        if found is not None:
+            self[word] = found
+            return found
         if word.isascii() and word.isalpha() and word.islower():
             found = packed([x.id for x in self.model.tokenize(word)])
         elif parts := WORD.fullmatch(word):
@@ -89,7 +95,9 @@ class WordEncoder(dict):
                 found = self._letters(letters)
         else:
             found = self._whole(word)
-        self[word] = found
+        if len(self.once) >= self.once_limit:
+            self.once = {}
+        self.once[word] = found
         return found
 
     def ids(self, text: str) -> bytes:
