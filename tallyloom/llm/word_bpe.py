@@ -20,7 +20,7 @@ MODEL = "word_bpe_49k.json"
 #: The end id after each document.
 END = 1
 #: Words in a worker's table, and words seen once that wait beside it.
-WORDS, ONCE = 80_000, 20_000
+WORDS, ONCE = 250_000, 50_000
 
 
 #: A lower-case Latin-1 word and what follows it; both are pre-tokens of their own.
